@@ -1,0 +1 @@
+"""Kept empty on purpose: the workload has no unbounded inputs, so nothing here is a stream."""
