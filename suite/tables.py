@@ -40,7 +40,8 @@ _ROLES = {
         FROM supplier"""),
     "sites": ("part", """
         SELECT p_partkey AS site_id,
-               'T' || lpad(cast(p_partkey % 500 AS {text}), 4, '0') AS source_tract_geoid,
+               CASE WHEN p_partkey % 11 = 0 THEN 'T999999'
+                    ELSE 'T' || lpad(cast(p_partkey % 500 AS {text}), 6, '0') END AS source_tract_geoid,
                lpad(cast(p_partkey % 50 + 1 AS {text}), 2, '0') AS state_fips,
                25 + (((p_partkey + 50021) * 7919) % 24000) / cast(1000 AS double) AS latitude,
                -67 - (((p_partkey + 50021) * 104729) % 57000) / cast(1000 AS double) AS longitude,
