@@ -86,7 +86,7 @@ def lookup_by_value(facts: DataFrame, lookup: DataFrame, on: Sequence[str], weig
 
 def percentile_scores(df: DataFrame, key: str, scores: Mapping[str, Column], groups: Sequence[str] = (),
                       inverted: Sequence[str] = (), policy: str = "keep") -> DataFrame:
-    """key plus one average-rank percentile per entry of ``scores`` (rank / non-null rows).
+    """key (unique) plus one average-rank percentile per entry of ``scores`` (rank / non-null rows).
 
     policy "keep": null stays null. "zero": null becomes 0. "half_constant": null becomes 0 and a
     column with a single distinct value scores 0.5. All scores are ranked in one pass: the values

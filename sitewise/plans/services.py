@@ -67,7 +67,8 @@ REQUIRED = ["site_id", "latitude", "longitude", "source_tract_geoid", "overall_s
 def one_row_per_site(sites: DataFrame) -> DataFrame:
     """Keep the best scenario where a site appears more than once."""
     require_columns(sites, REQUIRED)
-    return ranking.top_of_each(sites, ["site_id"], [F.col("overall_score").desc_nulls_last(), F.col("configuration_id")], 1)
+    tie = "configuration_ordinal" if "configuration_ordinal" in sites.columns else "candidate_id"
+    return ranking.top_of_each(sites, ["site_id"], [F.col("overall_score").desc_nulls_last(), F.col(tie)], 1)
 
 
 def attach_demographics(sites: DataFrame, areas: DataFrame, area_key: str = "tract_geoid") -> DataFrame:
