@@ -46,7 +46,7 @@ base AS (SELECT demand_id, arg_min(facility_id, miles) AS nearest_id, min(minute
 
 SITE_SQL = f"""
 s AS (SELECT sites.*, coalesce(a.detour, 1.25) AS site_detour, coalesce(a.mph, 40) AS site_mph
-      FROM sites LEFT JOIN d a ON source_tract_geoid = 'T' || lpad(a.demand_id::varchar, 6, '0') AND a.demand_id < 1000000),
+      FROM sites LEFT JOIN d a ON source_tract_geoid = 'T' || lpad(a.demand_id::varchar, 6, '0')),
 sd AS (SELECT s.site_id, d.*, b.base_minutes, site_detour, site_mph,
               {sql_miles('s.latitude', 's.longitude', 'd.latitude', 'd.longitude')} AS miles
        FROM s CROSS JOIN d JOIN base b USING (demand_id)),

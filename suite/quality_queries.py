@@ -74,8 +74,8 @@ _BAD = {"bed_cnt": (8, {3: "Invalid numeric value", 5: "Value is not an int64",
 
 
 @case("typ14_problem_samples", _TYPED + ", e AS (" + " UNION ALL ".join(
-    f"SELECT k AS row, {list(_RAW_COLUMNS).index(c)} AS ordinal, '{c}' AS column, '{error}' AS error FROM o WHERE k % {n} = {r}"
-    for c, (n, errors) in _BAD.items() for r, error in errors.items()) + ") SELECT row, column, error FROM e ORDER BY row, ordinal LIMIT 100")
+    f"SELECT k AS row, {list(_RAW_COLUMNS).index(c)} AS ordinal, '{c}' AS col, '{error}' AS error FROM o WHERE k % {n} = {r}"
+    for c, (n, errors) in _BAD.items() for r, error in errors.items()) + ") SELECT row, col AS \"column\", error FROM e ORDER BY row, ordinal LIMIT 100")
 def samples(spark, folder):
     cells, rules = _cells(spark, folder)
     return typing.problem_samples(cells, list(rules)).select("row", "column", "error")
@@ -147,7 +147,7 @@ def component_mismatches(spark, folder):
     return survey.component_mismatches(rows).select("c_custkey")
 
 
-_ASSEMBLY = """WITH g AS (SELECT '1400000US' || lpad(c_custkey::varchar, 11, '0') AS id, c_custkey AS k FROM customer WHERE c_custkey < 1000000)"""
+_ASSEMBLY = """WITH g AS (SELECT '1400000US' || lpad(c_custkey::varchar, 11, '0') AS id, c_custkey AS k FROM customer)"""
 
 
 @case("jn04_survey_assembly", _ASSEMBLY + """
