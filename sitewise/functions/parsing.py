@@ -73,9 +73,8 @@ def parsed_value(value: Column | str, rule: Rule) -> tuple[Column, Column]:
     special = F.lower(text).rlike("^[+-]?(inf|infinity|nan|snan)$")
     error = F.when(special, F.lit("Non-finite number")).when(number.isNull(), F.lit("Invalid numeric value"))
     if rule.type == "int64":
-        # Exact for every 64-bit integer, also when written as "5.0" or "1e3".
+        # Twenty digits before the point: exact for every 64-bit integer, also written as "5.0" or "1e3".
         exact = text.try_cast("decimal(38,18)")
-        exact = F.coalesce(exact, text.try_cast("decimal(38,0)"))
         whole = F.when(exact == F.floor(exact), exact.try_cast("bigint"))
         error = F.coalesce(error, F.when(whole.isNull(), F.lit("Value is not an int64")))
         result = whole
