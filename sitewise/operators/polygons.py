@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.exprs import as_column
+from ..session import parallel_tasks, settle
 from . import spatial
 
 # The WGS84 ellipsoid and the standard parallel of the equal-area projection.
@@ -194,61 +195,69 @@ def site_ids(points: DataFrame, key: str) -> DataFrame:
 
 # --- overlay ---------------------------------------------------------------------------------
 
+def _flat(edge_array: str) -> Column:
+    """Edges as one array of doubles: a compact, copy-free column on the Python side."""
+    return F.expr(f"flatten(transform({edge_array}, e -> array(e.x1, e.y1, e.x2, e.y2)))")
+
+
 def _edge_rows(value) -> np.ndarray:
-    return np.array([(e["x1"], e["y1"], e["x2"], e["y2"]) for e in value], dtype=float).reshape(-1, 4)
+    return np.asarray(value, dtype=float).reshape(-1, 4)
 
 
 def _breaks(all_edges: np.ndarray) -> np.ndarray:
     """Sorted x positions between which no two edges cross."""
     x1, y1, x2, y2 = all_edges.T
     found = [x1, x2]
-    for i in range(len(all_edges) - 1):
-        ax, ay, bx, by = all_edges[i]
-        dx, dy = bx - ax, by - ay
-        ex, ey = x2[i + 1:] - x1[i + 1:], y2[i + 1:] - y1[i + 1:]
-        den = dx * ey - dy * ex
+    dx, dy = x2 - x1, y2 - y1
+    for start in range(0, len(all_edges), 256):
+        i = slice(start, start + 256)
+        den = dx[i, None] * dy - dy[i, None] * dx
+        ox, oy = x1 - x1[i, None], y1 - y1[i, None]
         with np.errstate(divide="ignore", invalid="ignore"):
-            t = ((x1[i + 1:] - ax) * ey - (y1[i + 1:] - ay) * ex) / den
-            u = ((x1[i + 1:] - ax) * dy - (y1[i + 1:] - ay) * dx) / den
-        hit = (den != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
-        found.append(ax + t[hit] * dx)
+            t = (ox * dy - oy * dx) / den
+            u = (ox * dy[i, None] - oy * dx[i, None]) / den
+        row, col = np.nonzero((den != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1))
+        found.append(x1[i][row] + t[row, col] * dx[i][row])
     return np.unique(np.concatenate(found))
 
 
-def _spans(edge_rows: np.ndarray, x: float) -> np.ndarray:
-    """Inside stretches of a polygon on a vertical line, as rows (low, high)."""
+def _spans(edge_rows: np.ndarray, owner: np.ndarray, x: float) -> np.ndarray:
+    """Inside stretches on a vertical line, rows (low, high), of all polygons at once; ``owner`` tells whose edge it is."""
     x1, y1, x2, y2 = edge_rows.T
     cut = (x1 > x) != (x2 > x)
-    ys = np.sort(y1[cut] + (y2[cut] - y1[cut]) * (x - x1[cut]) / (x2[cut] - x1[cut]))
-    return ys.reshape(-1, 2)
+    ys = y1[cut] + (y2[cut] - y1[cut]) * (x - x1[cut]) / (x2[cut] - x1[cut])
+    return ys[np.lexsort((ys, owner[cut]))].reshape(-1, 2)
 
 
-def _merged(spans: np.ndarray) -> list[tuple[float, float]]:
-    out: list[tuple[float, float]] = []
-    for low, high in sorted(map(tuple, spans)):
-        if out and low <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], high))
-        else:
-            out.append((low, high))
-    return out
+def _merged(spans: np.ndarray) -> np.ndarray:
+    """Union of stretches as disjoint sorted rows."""
+    if len(spans) < 2:
+        return spans
+    spans = spans[np.argsort(spans[:, 0])]
+    tops = np.maximum.accumulate(spans[:, 1])
+    starts = np.flatnonzero(np.concatenate([[True], spans[1:, 0] > tops[:-1]]))
+    return np.column_stack([spans[starts, 0], tops[np.concatenate([starts[1:] - 1, [len(spans) - 1]])]])
 
 
 def covered_area(area: np.ndarray, covers_: list[np.ndarray], low: float = -math.inf, high: float = math.inf) -> float:
     """Area of (polygon and union of polygons) for x in [low, high): widths of slabs times covered height at mid slab."""
-    xs = _breaks(np.vstack([area, *covers_]))
+    cover = np.vstack(covers_)
+    owner = np.repeat(np.arange(len(covers_)), [len(c) for c in covers_])
     left, right = max(area[:, [0, 2]].min(), low), min(area[:, [0, 2]].max(), high)
     if not left < right:
         return 0.0
+    xs = _breaks(np.vstack([area, cover]))
     xs = np.unique(np.concatenate([xs[(xs > left) & (xs < right)], [left, right]]))
+    own = np.zeros(len(area), dtype=int)
     total = 0.0
     for a, b in zip(xs[:-1], xs[1:]):
         mid = (a + b) / 2
-        mine = _spans(area, mid)
+        mine = _spans(area, own, mid)
         if not len(mine):
             continue
-        theirs = _merged(np.vstack([_spans(c, mid) for c in covers_]))
-        height = sum(max(0.0, min(h1, h2) - max(l1, l2)) for l1, h1 in mine for l2, h2 in theirs)
-        total += (b - a) * height
+        theirs = _merged(_spans(cover, owner, mid))
+        shared = np.minimum(mine[:, None, 1], theirs[None, :, 1]) - np.maximum(mine[:, None, 0], theirs[None, :, 0])
+        total += (b - a) * float(np.maximum(shared, 0.0).sum())
     return total
 
 
@@ -261,11 +270,14 @@ def overlay(areas: DataFrame, designations: DataFrame, key: str, rings: str = "r
     links: key, designation_id, designation_kind, overlap_area_m2, boundary_area_fraction for every
     positive overlap. coverage: key, designation_kind, designation_count, boundary_area_fraction of the union.
     """
-    from ..session import settle
-
-    left = settle(areas.select(key, edges("_p").alias("_area")) if "_p" in areas.columns else
-                  areas.withColumn("_p", projected(rings)).select(key, edges("_p").alias("_area")))
-    right = settle(designations.withColumn("_p", projected(rings)).select("designation_id", "designation_kind", edges("_p").alias("_cover")))
+    def shaped(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
+        """Projected edges and bounding box of each polygon."""
+        return settle(df.withColumn("_p", projected(rings)).select(*columns, edges("_p").alias("_e")).select(
+            *columns, _flat("_e").alias(name), *[F.expr(f"array_{f}(transform(_e, e -> {g}(e.{t}1, e.{t}2))) AS {name}_{t}{n}")
+                                                 for t in "xy" for n, f, g in ((0, "min", "least"), (1, "max", "greatest"))]))
+
+    left = shaped(areas, [key], "_area")
+    right = shaped(designations, ["designation_id", "designation_kind"], "_cover")
     pairs = _bbox_pairs(left, right, key, cell_metres)
 
     def measure(batches):
@@ -277,7 +289,8 @@ def overlay(areas: DataFrame, designations: DataFrame, key: str, rings: str = "r
 
     kind = left.schema[key].dataType.simpleString()
     did = right.schema["designation_id"].dataType.simpleString()
-    measured = pairs.mapInPandas(measure, f"{key} {kind}, designation_id {did}, designation_kind string, overlap_area_m2 double, area_m2 double")
+    # The work per pair dwarfs its bytes, so the task count must not follow the bytes.
+    measured = pairs.repartition(parallel_tasks(pairs.sparkSession), key, "designation_id").mapInPandas(measure, f"{key} {kind}, designation_id {did}, designation_kind string, overlap_area_m2 double, area_m2 double")
     links = settle(measured.where(F.col("overlap_area_m2") > 0).withColumn("boundary_area_fraction", F.col("overlap_area_m2") / F.col("area_m2")))
     totals = links.groupBy(key, "designation_kind").agg(
         F.countDistinct("designation_id").alias("designation_count"), F.max("area_m2").alias("area_m2"),
@@ -292,36 +305,31 @@ def overlay(areas: DataFrame, designations: DataFrame, key: str, rings: str = "r
 
 
 def _bbox_pairs(left: DataFrame, right: DataFrame, key: str, size: float) -> DataFrame:
-    def boxed(df: DataFrame, shape: str, p: str) -> DataFrame:
-        return df.selectExpr(
-            "*", f"array_min(transform({shape}, e -> least(e.x1, e.x2))) AS {p}x0", f"array_max(transform({shape}, e -> greatest(e.x1, e.x2))) AS {p}x1",
-            f"array_min(transform({shape}, e -> least(e.y1, e.y2))) AS {p}y0", f"array_max(transform({shape}, e -> greatest(e.y1, e.y2))) AS {p}y1")
-
-    def celled(df: DataFrame, p: str) -> DataFrame:
-        s = f"{size!r}D"
-        return df.selectExpr("*", f"explode(sequence(floor({p}x0 / {s}), floor({p}x1 / {s}))) AS cx").selectExpr(
-            "*", f"explode(sequence(floor({p}y0 / {s}), floor({p}y1 / {s}))) AS cy", "0L AS cz")
-
-    a = celled(boxed(left, "_area", "a"), "a")
-    b = celled(boxed(right, "_cover", "b"), "b")
-    met = spatial._cell_join(a.drop("_area"), b.drop("_cover"), spatial.CROWDED_ROWS).where(
-        "ax0 < bx1 AND bx0 < ax1 AND ay0 < by1 AND by0 < ay1 "
+    """Area and designation pairs whose boxes overlap. Only boxes travel through the cell join."""
+    w = f"{size!r}D"
+
+    def celled(df: DataFrame, name: str, column: str) -> DataFrame:
+        return df.select(column, *[f"{name}_{t}{n}" for t in "xy" for n in (0, 1)]).selectExpr(
+            "*", f"explode(sequence(floor({name}_x0 / {w}), floor({name}_x1 / {w}))) AS cx").selectExpr(
+            "*", f"explode(sequence(floor({name}_y0 / {w}), floor({name}_y1 / {w}))) AS cy", "0L AS cz")
+
+    met = spatial._cell_join(celled(left, "_area", key), celled(right, "_cover", "designation_id"), spatial.CROWDED_ROWS).where(
+        "_area_x0 < _cover_x1 AND _cover_x0 < _area_x1 AND _area_y0 < _cover_y1 AND _cover_y0 < _area_y1 "
         # Two boxes may share several cells: the pair is kept in the first one only.
-        f"AND cx = floor(greatest(ax0, bx0) / {size!r}D) AND cy = floor(greatest(ay0, by0) / {size!r}D)")
-    return met.select(key, "designation_id").join(left, key).join(right, "designation_id")
+        f"AND cx = floor(greatest(_area_x0, _cover_x0) / {w}) AND cy = floor(greatest(_area_y0, _cover_y0) / {w})")
+    return met.select(key, "designation_id").join(left.select(key, "_area"), key).join(
+        right.select("designation_id", "designation_kind", "_cover"), "designation_id")
 
 
 def _union_areas(open_: DataFrame, links: DataFrame, left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """key, designation_kind, union_m2. Areas with many members are cut into vertical strips, one task group each."""
     strips = F.greatest(F.lit(1), F.ceil(F.col("designation_count") / STRIP_MEMBERS)).cast("int")
     shaped = open_.select(key, "designation_kind", strips.alias("_strips")).join(left, key).selectExpr(
-        "*", "array_min(transform(_area, e -> least(e.x1, e.x2))) AS _x0", "array_max(transform(_area, e -> greatest(e.x1, e.x2))) AS _x1").selectExpr(
         "*", "explode(sequence(0, _strips - 1)) AS _strip").selectExpr(
-        "*", "_x0 + (_x1 - _x0) * _strip / _strips AS _low", "_x0 + (_x1 - _x0) * (_strip + 1) / _strips AS _high")
-    members = links.select(key, "designation_kind", "designation_id").join(right.drop("designation_kind"), "designation_id").selectExpr(
-        "*", "array_min(transform(_cover, e -> least(e.x1, e.x2))) AS _c0", "array_max(transform(_cover, e -> greatest(e.x1, e.x2))) AS _c1")
+        "*", "_area_x0 + (_area_x1 - _area_x0) * _strip / _strips AS _low", "_area_x0 + (_area_x1 - _area_x0) * (_strip + 1) / _strips AS _high")
+    members = links.select(key, "designation_kind", "designation_id").join(right.drop("designation_kind"), "designation_id")
     # Copies of one shape count once.
-    grouped = shaped.join(members, [key, "designation_kind"]).where("_c0 < _high AND _c1 > _low").groupBy(
+    grouped = shaped.join(members, [key, "designation_kind"]).where("_cover_x0 < _high AND _cover_x1 > _low").groupBy(
         key, "designation_kind", "_strip", "_cover").agg(F.first("_area").alias("_area"), F.first("_low").alias("_low"), F.first("_high").alias("_high"))
     kind = left.schema[key].dataType.simpleString()
 
@@ -330,5 +338,6 @@ def _union_areas(open_: DataFrame, links: DataFrame, left: DataFrame, right: Dat
         value = covered_area(_edge_rows(row["_area"]), [_edge_rows(c) for c in pdf["_cover"]], row["_low"], row["_high"])
         return pd.DataFrame({key: [row[key]], "designation_kind": [row["designation_kind"]], "part_m2": [value]})
 
+    grouped = grouped.repartition(parallel_tasks(grouped.sparkSession), key, "designation_kind", "_strip")
     parts = grouped.groupBy(key, "designation_kind", "_strip").applyInPandas(unite, f"{key} {kind}, designation_kind string, part_m2 double")
     return parts.groupBy(key, "designation_kind").agg(F.sum("part_m2").alias("union_m2"))

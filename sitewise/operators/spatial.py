@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.geo import EARTH_MILES, arc_of, chord_col, chord_of, haversine, sphere_x, sphere_y, sphere_z
-from ..session import BROADCAST_ROWS, settle
+from ..session import BROADCAST_ROWS, parallel_tasks, settle
 
 INDEX_ROWS = 20_000    # most right-hand points that are shipped whole to every task (480 kB)
 CROWDED_ROWS = 20_000  # rows of one side in one cell above which the cell is treated as crowded
@@ -90,7 +90,7 @@ def _cell_join(left: DataFrame, right: DataFrame, crowded_rows: int) -> DataFram
     """Equi-join on the cell. Crowded cells are cut into a grid of (left part, right part)."""
     hot, found, limit = _crowded_cells(left, right, crowded_rows)
     if found == 0:
-        return left.join(right, CELL)
+        return _joined(left, right, CELL)
     parts = F.broadcast(hot.select(
         *CELL, F.ceil(F.col("l") / limit).cast("int").alias("_lp"), F.ceil(F.col("r") / limit).cast("int").alias("_rp")))
 
@@ -103,8 +103,15 @@ def _cell_join(left: DataFrame, right: DataFrame, crowded_rows: int) -> DataFram
             .withColumn(other_part, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)))
             .drop("_lp", "_rp"))
 
-    return (cut(left, "_lp", "_rp", "_li", "_ri")
-            .join(cut(right, "_rp", "_lp", "_ri", "_li"), [*CELL, "_li", "_ri"]).drop("_li", "_ri"))
+    return _joined(cut(left, "_lp", "_rp", "_li", "_ri"), cut(right, "_rp", "_lp", "_ri", "_li"), [*CELL, "_li", "_ri"]).drop("_li", "_ri")
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The join with a fixed task count: a row meets many partners, so bytes say little about work.
+
+    Both sides are partitioned alike, which the join reuses."""
+    tasks = parallel_tasks(left.sparkSession)
+    return left.repartition(tasks, *keys).join(right.repartition(tasks, *keys), list(keys))
 
 
 def radius_pairs(left: DataFrame, right: DataFrame, miles: float, *,
@@ -203,7 +210,7 @@ def radius_totals(left: DataFrame, right: DataFrame, key: str, radii: Sequence[f
     if found == 0:
         sums = [F.sum(F.when(_chord2("_l", "_r") <= F.lit(chord_of(r, radius) ** 2), F.col(f"_v_{out}"))).alias(column(r, out))
                 for r, out in names]
-        near = l_points.join(r_points, CELL).where(_chord2("_l", "_r") <= F.lit(chord * chord)).groupBy(key).agg(*sums)
+        near = _joined(l_points, r_points, CELL).where(_chord2("_l", "_r") <= F.lit(chord * chord)).groupBy(key).agg(*sums)
     else:
         lp = _prefixed(narrow, left_at, "_l", "_ls", size)
         rp = _prefixed(right, right_at, "_r", "_rs", size)
@@ -317,7 +324,7 @@ def _closest_within(pending: DataFrame, targets: DataFrame, right_key: str, left
     own = _own_cell(pending.drop("_copies"), "_l", size)
     around = _copied_to_cells(targets, "_r", size, chord)
     if crowded_rows is None or _crowded_cells(own, around, crowded_rows)[1] == 0:
-        pairs = own.join(around, CELL)
+        pairs = _joined(own, around, CELL)
     else:
         # Keep only sub-cells that can hold the closest point: those no farther than the
         # smallest "everything in it is at most this far" bound of the left sub-cell.

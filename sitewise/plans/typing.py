@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.parsing import Rule, parsed_cell
+from ..functions.parsing import Rule, parsed_cells
 from ..operators.checks import ContractError
 
 # The rule book. One entry per source: (column pattern, rule); first match wins.
@@ -89,33 +89,31 @@ def override_problems(catalog: DataFrame, overrides: DataFrame) -> DataFrame:
     return unknown.unionByName(wrong).unionByName(scope)
 
 
-def parse_cells(df: DataFrame, rules: Mapping[str, Rule], row: str = "_stage2_source_row") -> DataFrame:
-    """Every ruled column replaced by its parsed struct next to the raw text; parsed once, used three times."""
-    keep = [c for c in df.columns if c not in rules]
-    cells = [F.struct(F.col(c).alias("raw"), parsed_cell(c, rule).alias("cell")).alias(c) for c, rule in rules.items()]
-    return df.select(*keep, *cells)
+def parse_cells(df: DataFrame, rules: Mapping[str, Rule]) -> DataFrame:
+    """Every ruled column replaced by struct(raw, value, status, error); parsed once, used three times."""
+    return parsed_cells(df, rules)
 
 
 def typed_table(cells: DataFrame, rules: Mapping[str, Rule]) -> DataFrame:
     """Typed columns plus the ordered quality flags of the row (null when there are none)."""
     keep = [c for c in cells.columns if c not in rules]
     flags = F.filter(F.array(*[_flag(c) for c in rules]), lambda f: f.isNotNull())
-    return cells.select(*keep, *[F.col(f"{c}.cell.value").alias(c) for c in rules],
+    return cells.select(*keep, *[F.col(f"{c}.value").alias(c) for c in rules],
                         F.when(F.size(flags) > 0, flags).alias("_stage2_quality_flags"))
 
 
 def _flag(column: str):
-    status = F.col(f"{column}.cell.status")
+    status = F.col(f"{column}.status")
     reason = F.when(status == "invalid_warned", F.lit("invalid_value")).otherwise(status)
     return F.when(~status.isin("present", "blank", "sentinel", "invalid"), F.struct(
         F.lit(column).alias("column"), F.col(f"{column}.raw").alias("raw_value"), reason.alias("reason"),
-        F.col(f"{column}.cell.error").alias("error")))
+        F.col(f"{column}.error").alias("error")))
 
 
 def cell_counts(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
     """column, status, cells."""
     return cells.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"{c}.cell.status").alias("status")) for c in columns])).alias("s")
+        F.struct(F.lit(c).alias("column"), F.col(f"{c}.status").alias("status")) for c in columns])).alias("s")
     ).groupBy("s.column", "s.status").agg(F.count("*").alias("cells"))
 
 
@@ -124,7 +122,7 @@ def problem_samples(cells: DataFrame, columns: Sequence[str], status: str = "inv
     """The first problems in row, then column order."""
     found = cells.select(F.col(row).alias("row"), F.explode(F.array(*[
         F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column"), F.col(f"{c}.raw").alias("value"),
-                 F.col(f"{c}.cell.status").alias("status"), F.col(f"{c}.cell.error").alias("error"))
+                 F.col(f"{c}.status").alias("status"), F.col(f"{c}.error").alias("error"))
         for i, c in enumerate(columns)])).alias("p")).select("row", "p.*").where(F.col("status") == status)
     return found.orderBy("row", "ordinal").limit(limit).drop("ordinal", "status")
 
@@ -132,7 +130,7 @@ def problem_samples(cells: DataFrame, columns: Sequence[str], status: str = "inv
 def publishable(cells: DataFrame, rules: Mapping[str, Rule]) -> DataFrame:
     """The typed table, or an error when any cell is invalid under a rejecting rule."""
     rejecting = [c for c, rule in rules.items() if rule.on_invalid == "reject"]
-    bad = cells.agg(*[F.count_if(F.col(f"{c}.cell.status") == "invalid").alias(c) for c in rejecting]).first().asDict() if rejecting else {}
+    bad = cells.agg(*[F.count_if(F.col(f"{c}.status") == "invalid").alias(c) for c in rejecting]).first().asDict() if rejecting else {}
     total = sum(bad.values())
     if total:
         raise ContractError(f"{total} invalid cells: {({c: n for c, n in bad.items() if n})}")

@@ -34,3 +34,10 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def parallel_tasks(spark: SparkSession) -> int:
+    """Task count for stages whose work is far larger than their bytes.
+
+    The planner sizes tasks by bytes and would run such a stage in one or two tasks."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)

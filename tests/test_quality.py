@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitewise.functions import text
-from sitewise.functions.parsing import Rule, parsed_cell
+from sitewise.functions.parsing import Rule, parsed_cells
 from sitewise.operators import checks
 from sitewise.operators.checks import ContractError
 from sitewise.plans import addresses, align, registry, survey, typing
@@ -12,7 +12,7 @@ from sitewise.sources import sinks, staging
 
 
 def parse(spark, value, rule):
-    return spark.createDataFrame([(value,)], "v string").select(parsed_cell("v", rule).alias("c")).first()["c"]
+    return parsed_cells(spark.createDataFrame([(value,)], "v string"), {"v": rule}).first()["v"]
 
 
 @pytest.mark.parametrize("value,rule,want", [
