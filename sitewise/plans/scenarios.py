@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from ..functions.exprs import clip01, numeric
 from ..operators import ranking, skyline
 from ..operators.checks import duplicate_keys, require_columns, require_none
-from ..session import settle
+from ..session import parallel_tasks, settle
 
 # The facility designs. Capital cost = fixed + beds * per bed (million USD).
 DESIGN_COLUMNS = (
@@ -42,6 +42,14 @@ REQUIRED = ["site_id", "source_tract_geoid", "latitude", "longitude", "populatio
             "newly_accessible_population_30min", "existing_beds_30min", "access_improvement_score", "capacity_gap_score",
             "vulnerability_catchment_score", "stage6_access_score"]
 
+# What the scores are computed from. Scenarios are five times the sites, so only these columns are
+# carried through them; ``with_site_columns`` brings the rest back where it is wanted.
+INPUTS = ["site_id", "source_tract_geoid", "state_fips", "population_within_30min", "population_within_45min", "existing_beds_30min",
+          "nearest_existing_hospital_minutes", "new_access_score", "capacity_gap_score", "access_improvement_score",
+          "vulnerability_catchment_score", "weighted_drive_minutes_saved", "newly_accessible_population_30min"]
+DESIGN_LABELS = ["configuration_name", "proposed_icu_beds", "proposed_ed_bays", "has_emergency", "has_surgery", "has_maternity",
+                 "has_cardiology", "operating_cost_index"]
+
 SKYLINE_COLUMNS = ["access_score", "capacity_score", "vulnerability_score", "configuration_fit_score", "cost_efficiency_score"]
 
 
@@ -75,6 +83,8 @@ def with_fit(sites: DataFrame, cfg: ScenarioConfig = ScenarioConfig(), null_isol
     A site with no hospital in range has null minutes. ``null_isolation="zero"`` treats that as
     not isolated, ``"max"`` as fully isolated.
     """
+    # Five rows and some thirty expressions per site: far more work than bytes, so the task count is set here.
+    sites = sites.select(*[c for c in INPUTS if c in sites.columns]).repartition(parallel_tasks(sites.sparkSession), "site_id")
     minutes = numeric(sites, "nearest_existing_hospital_minutes")
     isolation = F.coalesce(clip01(F.greatest(minutes, F.lit(0.0)) / 45.0) if null_isolation == "max" else
                            clip01(F.greatest(F.coalesce(minutes, F.lit(0.0)), F.lit(0.0)) / 45.0),
@@ -88,7 +98,7 @@ def with_fit(sites: DataFrame, cfg: ScenarioConfig = ScenarioConfig(), null_isol
         "_gap": clip01(numeric(sites, "capacity_gap_score", 0)),
     }).withColumn("target_beds_30min", F.col("_pop30") * F.lit(cfg.beds_per_1000) / 1000.0).withColumn(
         "modeled_unmet_beds_30min", F.greatest(F.col("target_beds_30min") - F.col("_beds30"), F.lit(0.0)))
-    crossed = base.crossJoin(F.broadcast(designs(sites.sparkSession).drop("fixed_cost_musd", "cost_per_bed_musd")))  # 5 rows
+    crossed = base.crossJoin(F.broadcast(designs(sites.sparkSession).drop("fixed_cost_musd", "cost_per_bed_musd", *DESIGN_LABELS)))  # 5 rows
     return (
         crossed.withColumns({
             "modeled_remaining_bed_gap_30min": F.expr("greatest(0D, modeled_unmet_beds_30min - proposed_beds)"),
@@ -114,14 +124,15 @@ def scenario_scores(sites: DataFrame, cfg: ScenarioConfig = ScenarioConfig(), nu
     crossed = with_fit(sites, cfg, null_isolation).withColumn("cost_efficiency_raw", F.expr(
         "(ln(1 + greatest(coalesce(weighted_drive_minutes_saved, 0), 0)) + 2 * ln(1 + greatest(coalesce(newly_accessible_population_30min, 0), 0)) "
         "+ 4 * ln(1 + least(modeled_unmet_beds_30min, proposed_beds))) / greatest(estimated_capital_cost_musd, 1)"))
-    crossed = settle(crossed)
+    crossed = settle(crossed.drop("min_catchment_population_45min", "weighted_drive_minutes_saved", "newly_accessible_population_30min",
+                                  "population_within_30min", "population_within_45min", "existing_beds_30min", "nearest_existing_hospital_minutes"))
     ranked = ranking.add_percentiles(crossed, "candidate_id", {"cost_efficiency_score": F.col("cost_efficiency_raw")},
                                      policy="half_constant")
     ranked = ranked.withColumns({
         "access_score": clip01(numeric(ranked, "access_improvement_score", 0)) * 0.65 + clip01(numeric(ranked, "new_access_score", 0)) * 0.35,
         "capacity_score": clip01(numeric(ranked, "capacity_gap_score", 0)),
         "vulnerability_score": clip01(numeric(ranked, "vulnerability_catchment_score", 0)),
-    })
+    }).drop("access_improvement_score", "new_access_score", "capacity_gap_score", "vulnerability_catchment_score")
     poor = F.col("configuration_fit_score") < F.lit(cfg.minimum_fit)
     score = weighted_mean(ranked, cfg.score_weights())
     return ranked.withColumns({
@@ -130,6 +141,13 @@ def scenario_scores(sites: DataFrame, cfg: ScenarioConfig = ScenarioConfig(), nu
     })
 
 
+def with_site_columns(scenarios: DataFrame, sites: DataFrame) -> DataFrame:
+    """Scenario rows with every site column and the design's description."""
+    labels = designs(sites.sparkSession).select("configuration_id", *DESIGN_LABELS)
+    rest = [c for c in sites.columns if c == "site_id" or (c not in scenarios.columns and c not in DESIGN_LABELS)]
+    return scenarios.join(sites.select(*rest), "site_id").join(F.broadcast(labels), "configuration_id")  # 5 rows
+
+
 # Equal scores keep the order design by design, then by site.
 SCENARIO_ORDER = [("overall_score", True), ("configuration_ordinal", False), ("site_id", False)]
 

@@ -9,7 +9,7 @@ from ..functions import road
 from ..functions.exprs import clip01, col_or_default, numeric, saturate, share
 from ..operators import ranking
 from ..operators.checks import require_columns
-from ..session import settle
+from ..session import parallel_tasks, settle
 
 BANDS = (15, 30, 45, 60)
 
@@ -159,6 +159,8 @@ def service_recommendations(sites: DataFrame, cfg: FinalConfig = FinalConfig())
     recommended ones among the first ``max_services``. Eleven elements per row, so the rank is
     a sort of an array and nothing is shuffled.
     """
+    # Eleven scores and a sort per row: more work than bytes, so the task count is set here.
+    sites = sites.repartition(parallel_tasks(sites.sparkSession), "site_id")
     inputs = {f"_in_{name}": value for name, value in service_inputs(sites).items()}
     framed = sites.withColumns(inputs)
     entries = []
@@ -191,8 +193,11 @@ def services_long(recommended: DataFrame) -> DataFrame:
 def services_wide(recommended: DataFrame) -> DataFrame:
     """Score, recommended, included and gap columns per service, counts, name list and service fit."""
     wide = {}
-    for sid in SERVICE_IDS:
-        one = f"filter(services, s -> s.service_id = '{sid}')[0]"
+    # Back in service order, so that a service is found by position.
+    ordered = "array_sort(transform(services, s -> named_struct('o', s.ordinal, 's', s)))"
+    recommended = recommended.withColumn("_ordered", F.expr(ordered))
+    for position, sid in enumerate(SERVICE_IDS):
+        one = f"_ordered[{position}].s"
         for field_, name in (("service_score", "score"), ("recommended", "recommended"),
                              ("archetype_includes", "archetype_includes"), ("service_gap", "gap")):
             wide[f"service_{sid}_{name}"] = F.expr(f"{one}.{field_}")
@@ -202,8 +207,8 @@ def services_wide(recommended: DataFrame) -> DataFrame:
         "service_fit_score": F.expr(
             "aggregate(slice(transform(services, s -> s.service_score), 1, 3), 0D, (a, x) -> a + x) / 3"),
         "recommended_services": F.expr(
-            "array_join(transform(array_sort(transform(filter(services, s -> s.recommended), s -> named_struct('o', s.ordinal, 'n', s.service_name))), s -> s.n), ', ')"),
-    })
+            "array_join(transform(filter(_ordered, o -> o.s.recommended), o -> o.s.service_name), ', ')"),
+    }).drop("_ordered")
 
 
 def final_scores(wide: DataFrame, cfg: FinalConfig = FinalConfig()) -> DataFrame:
@@ -212,15 +217,19 @@ def final_scores(wide: DataFrame, cfg: FinalConfig = FinalConfig()) -> DataFrame
         clip01(numeric(wide, "overall_score", 0)) * cfg.weight_scenario
         + clip01(numeric(wide, "drive_access_score", 0)) * cfg.weight_drive
         + clip01(numeric(wide, "service_fit_score", 0)) * cfg.weight_service))
-    scored = settle(ranking.add_percentiles(scored, "site_id", {"_new": numeric(wide, "newly_accessible_population_30min", 0)}, policy="zero"))
+    # Ranks need a few columns only; the wide rows are joined once at the end.
+    keys = scored.select("site_id", "state_fips", "stage8_score", "service_fit_score", numeric(wide, "newly_accessible_population_30min", 0).alias("_new_people"))
+    full = wide
+    scored = settle(ranking.add_percentiles(keys, "site_id", {"_new": F.col("_new_people")}, policy="zero"))
     order = [("stage8_score", True), ("site_id", False)]
     scored = (scored.join(ranking.ordered_rank(scored, "site_id", order, "stage8_rank"), "site_id")
               .join(ranking.ordered_rank(scored, "site_id", order, "stage8_state_rank", ["state_fips"]), "site_id"))
     cut = ranking.quantiles(scored, "stage8_score", [0.98]).select(F.col("q0").alias("_cut"))  # one row
-    return scored.crossJoin(F.broadcast(cut)).withColumns({
+    final = scored.crossJoin(F.broadcast(cut)).withColumns({
         "frontend_priority_score": clip01(F.expr("0.65D * stage8_score + 0.20D * _new + 0.15D * coalesce(service_fit_score, 0D)")),
         "precise_routing_priority": (F.col("stage8_score") >= F.col("_cut")) | (F.col("stage8_state_rank") <= 3),
-    }).drop("_new", "_cut")
+    }).drop("_new", "_new_people", "_cut", "state_fips", "service_fit_score")
+    return full.join(final, "site_id")
 
 
 def service_definitions(spark: SparkSession) -> DataFrame:

@@ -119,7 +119,7 @@ fr AS (SELECT *, row_number() OVER (ORDER BY stage8_score DESC, site_id)::int AS
 
 def _travelled(spark, folder):
     ranked = settle(scenarios.scenario_ranks(_scenarios(spark, folder)))
-    best = settle(ranked.where("site_configuration_rank = 1"))
+    best = settle(scenarios.with_site_columns(ranked.where("site_configuration_rank = 1"), role(spark, folder, "scored")))
     return settle(services.travel_metrics(best, F.col("rurality")))
 
 
@@ -183,7 +183,7 @@ area AS (SELECT 'T' || lpad((c_custkey % 400)::varchar, 6, '0') AS tract_geoid,
 SELECT site_id, configuration_id, round(overall, 6) AS overall_score, share AS source_poverty_pct FROM b LEFT JOIN area ON tract_geoid = source_tract_geoid""")
 def best_row(spark, folder):
     from .tables import table
-    best = services.one_row_per_site(_scenarios(spark, folder))
+    best = services.one_row_per_site(scenarios.with_site_columns(_scenarios(spark, folder), role(spark, folder, "scored")))
     areas = table(spark, folder, "customer").groupBy(
         F.format_string("T%06d", F.expr("c_custkey % 400")).alias("tract_geoid")).agg(F.expr("min(c_custkey % 53)").alias("poverty_pct"))
     return services.attach_demographics(best, areas).select(
