@@ -311,6 +311,9 @@ def _nearest_of_few(left: DataFrame, points, targets: DataFrame, key: str, right
                     "chord": np.sqrt(gap2[np.arange(len(part)), best])})
 
     rows = _on_sphere(left, left_at, "_l").select(key, "_lx", "_ly", "_lz")
+    if len(points) >= 1_000:
+        # Thousands of comparisons for every few bytes: worth one narrow shuffle to use all tasks.
+        rows = rows.repartition(parallel_tasks(left.sparkSession), key)
     placed = rows.where(F.col("_lx").isNotNull() & F.col("_lz").isNotNull()).mapInPandas(search, schema)
     nowhere = rows.where(F.col("_lx").isNull() | F.col("_lz").isNull()).select(
         key, F.lit(None).cast(targets.schema[right_key].dataType).alias(right_key), F.lit(None).cast("double").alias("chord"))
