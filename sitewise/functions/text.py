@@ -59,9 +59,12 @@ def name_tokens(value: Column | str, stopwords: Sequence[str] = NAME_STOPWORDS)
 
 
 def jaccard(a: Column | str, b: Column | str) -> Column:
-    """Shared words over all words; null when there are none."""
-    both = F.size(F.array_union(as_column(a), as_column(b)))
-    return F.when(both > 0, F.size(F.array_intersect(as_column(a), as_column(b))) / both)
+    """Shared words over all words of two distinct word lists; null when both are empty.
+
+    The intersection is the costly part, so it is bound once and the union follows from the sizes."""
+    a, b = as_column(a), as_column(b)
+    shared = F.array(F.size(F.array_intersect(a, b)))
+    return F.element_at(F.transform(shared, lambda n: F.try_divide(n, F.size(a) + F.size(b) - n)), 1)
 
 
 def house_number(street: Column | str) -> Column:

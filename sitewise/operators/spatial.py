@@ -40,28 +40,25 @@ def _chord2(a: str, b: str) -> Column:
     return F.expr(" + ".join(f"({a}{t} - {b}{t}) * ({a}{t} - {b}{t})" for t in "xyz"))
 
 
-def _reachable_cells(prefix: str, size: float, reach: float) -> Column:
-    """Array of the cells around a point that touch both the sphere and the search ball."""
-    w = f"{size!r}D"
-    steps = {"x": "i div 9", "y": "i div 3 % 3", "z": "i % 3"}
-    cells = ", ".join(f"'c{t}', floor({prefix}{t} / {w}) + {steps[t]} - 1" for t in "xyz")
-    low = {t: f"(c.c{t} * {w})" for t in "xyz"}
-    high = {t: f"(c.c{t} * {w} + {w})" for t in "xyz"}
-    gap2 = " + ".join(f"pow(greatest({low[t]} - {prefix}{t}, {prefix}{t} - {high[t]}, 0D), 2)" for t in "xyz")
-    nearest2 = " + ".join(f"pow(greatest({low[t]}, -{high[t]}, 0D), 2)" for t in "xyz")
-    farthest2 = " + ".join(f"greatest(pow({low[t]}, 2), pow({high[t]}, 2))" for t in "xyz")
-    return F.expr(
-        f"filter(transform(sequence(0, 26), i -> named_struct({cells})), c -> "
-        f"{gap2} <= {reach * reach + SLACK!r}D AND {nearest2} <= {1 + SLACK!r}D AND {farthest2} >= {1 - SLACK!r}D)")
-
-
 def _own_cell(df: DataFrame, prefix: str, size: float) -> DataFrame:
     return df.selectExpr("*", *[f"floor({prefix}{t} / {size!r}D) AS c{t}" for t in "xyz"])
 
 
 def _copied_to_cells(df: DataFrame, prefix: str, size: float, reach: float) -> DataFrame:
-    return (df.withColumn("_cell", F.explode(_reachable_cells(prefix, size, reach)))
-            .selectExpr("* EXCEPT (_cell)", "_cell.cx AS cx", "_cell.cy AS cy", "_cell.cz AS cz"))
+    """One row per cell around a point that touches both the sphere and the search ball.
+
+    The 27 neighbours are generated as rows and filtered, which stays inside generated code."""
+    w = f"{size!r}D"
+    steps = {"x": "_i div 9", "y": "_i div 3 % 3", "z": "_i % 3"}
+    low = {t: f"(c{t} * {w})" for t in "xyz"}
+    high = {t: f"(c{t} * {w} + {w})" for t in "xyz"}
+    gap2 = " + ".join(f"pow(greatest({low[t]} - {prefix}{t}, {prefix}{t} - {high[t]}, 0D), 2)" for t in "xyz")
+    nearest2 = " + ".join(f"pow(greatest({low[t]}, -{high[t]}, 0D), 2)" for t in "xyz")
+    farthest2 = " + ".join(f"greatest(pow({low[t]}, 2), pow({high[t]}, 2))" for t in "xyz")
+    return (
+        df.selectExpr("*", "explode(sequence(0, 26)) AS _i")
+        .selectExpr("* EXCEPT (_i)", *[f"floor({prefix}{t} / {w}) + {steps[t]} - 1 AS c{t}" for t in "xyz"])
+        .where(f"{gap2} <= {reach * reach + SLACK!r}D AND {nearest2} <= {1 + SLACK!r}D AND {farthest2} >= {1 - SLACK!r}D"))
 
 
 CELL = ["cx", "cy", "cz"]

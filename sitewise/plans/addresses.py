@@ -80,13 +80,13 @@ def name_matches(unplaced: DataFrame, places: DataFrame, key: str, miles: float
     """Best same-named place near each facility's anchor, by similarity, then distance.
 
     unplaced: key, name, anchor_lat, anchor_lon. places: place_id, latitude, longitude, names (array).
-    Sharing a word is required for any similarity, so the word joins together with the grid cell
-    only through the distance join's filter; nothing is collected per area.
+    Pairs within reach stream through the similarity filter into a minimum; nothing is collected per area.
     """
-    wanted = unplaced.select(key, F.col("anchor_lat").alias("latitude"), F.col("anchor_lon").alias("longitude"),
-                             name_tokens("name", stopwords).alias("wanted")).where(F.size("wanted") > 0)
-    labels = places.select("place_id", F.col("latitude").alias("to_latitude"), F.col("longitude").alias("to_longitude"),
-                           F.explode("names").alias("label")).withColumn("got", name_tokens("label", stopwords)).where(F.size("got") > 0)
+    # Tokens are cut once here: both frames are read for the crowding check and again by the join.
+    wanted = settle(unplaced.select(key, F.col("anchor_lat").alias("latitude"), F.col("anchor_lon").alias("longitude"),
+                             name_tokens("name", stopwords).alias("wanted"))).where(F.size("wanted") > 0)
+    labels = settle(places.select("place_id", F.col("latitude").alias("to_latitude"), F.col("longitude").alias("to_longitude"),
+                           F.explode("names").alias("label")).withColumn("got", name_tokens("label", stopwords))).where(F.size("got") > 0)
     pairs = spatial.radius_pairs(wanted, labels, miles, radius=EARTH_MILES_ROUNDED).withColumn("similarity", jaccard("wanted", "got"))
     best = pairs.where(F.col("similarity") >= minimum).groupBy(key).agg(F.min(F.struct(
         (-F.col("similarity")).alias("rank"), "miles", "place_id", "label", F.col("to_latitude").alias("latitude"),
