@@ -130,6 +130,18 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
     return bins, offsets, np.asarray(gaps, np.int64)
 
 
+def _filler(size, length, order, columns, level, tolerance):
+    def fill(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values([length, *order], ascending=[False] + [True] * len(order), kind="stable")
+        bins, offsets, gaps = sum_of_squares(frame[length].to_numpy(), size)
+        out = frame[columns].copy()
+        out["sequence_id"] = (level << 56) + (int(frame["_block"].iloc[0]) << 24) + bins
+        out["offset"] = offsets
+        out["_open"] = gaps[bins] > tolerance
+        return out
+    return fill
+
+
 def pack(pieces: DataFrame, size: int = 2048, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """``pieces`` with sequence_id and offset: at most ``size`` in each sequence, gapless from 0.
 
@@ -147,20 +159,10 @@ def pack(pieces: DataFrame, size: int = 2048, length: str = "length", order: tup
         blocks = max(1, -(-rows // BLOCK_PIECES))
         if before is not None and blocks >= before:
             blocks = max(1, before // 2)
-        last, before, tag = blocks == 1, blocks, level
-
-        def fill(frame: pd.DataFrame, last=last, tag=tag) -> pd.DataFrame:
-            frame = frame.sort_values([length, *order], ascending=[False] + [True] * len(order), kind="stable")
-            bins, offsets, gaps = sum_of_squares(frame[length].to_numpy(), size)
-            block = int(frame["_block"].iloc[0])
-            out = frame[columns].copy()
-            out["sequence_id"] = (tag << 56) + (block << 24) + bins
-            out["offset"] = offsets
-            out["_open"] = False if last else gaps[bins] > tolerance
-            return out
+        last, before = blocks == 1, blocks
 
         packed = settle(rest.withColumn("_block", F.pmod(F.xxhash64(*order, F.lit(level)), F.lit(blocks)))
-                        .groupBy("_block").applyInPandas(fill, f"{fields}, sequence_id long, offset long, _open boolean"))
+                        .groupBy("_block").applyInPandas(_filler(size, length, order, columns, level, size if last else tolerance), f"{fields}, sequence_id long, offset long, _open boolean"))
         done.append(packed.where("not _open").drop("_open"))
         if last:
             break

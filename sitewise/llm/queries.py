@@ -31,3 +31,24 @@ def crc32_of(column: str):
 def op5(spark, folder):
     from .ngram_join import shingle_components
     return shingle_components(table(spark, folder, "documents"), width=3, num=90, den=100)
+
+
+@case("op1_best_fit_packing")
+def op1(spark, folder):
+    import public_tokenizers
+
+    from .packing import pack, token_pieces
+    pieces = token_pieces(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=2048)
+    return pack(pieces, size=2048)
+
+
+def remainder(divisor: int):
+    """crc32 of doc_id as text, modulo; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % divisor
+
+
+@case("op8_lm_scoring")
+def op8(spark, folder):
+    from .language_model import score_texts
+    docs = table(spark, folder, "documents").select("doc_id", "text", (remainder(7) == 2).alias("held_out"))
+    return score_texts(docs, docs.where("not held_out"), carry=("held_out",))
