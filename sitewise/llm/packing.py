@@ -1,8 +1,8 @@
 """Pack token sequences of documents by the sum-of-squares rule.
 
-Each piece goes to the place (an open bin of some residual gap, or a new bin) after which the sum, over all gaps,
-of the squared counts of open bins with that gap is smallest; ties go to the tighter bin. Blocks of pieces are
-packed in parallel, longest first. Bins that a block could not fill are dissolved and packed again with those of
+Each piece goes to the open bin after which the sum, over all residual gaps, of the squared counts of open bins
+with that gap is smallest; ties go to the tighter bin. As all pieces are known and the longest come first, a new
+bin is opened only where no open one has room. Blocks of pieces are packed in parallel. Bins that a block could not fill are dissolved and packed again with those of
 other blocks, in fewer blocks each time, so that only the last block leaves half-filled bins.
 """
 from __future__ import annotations
@@ -114,8 +114,7 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
         if len(change) and held[0]:
             change[0] = 1 - 2 * held[0]  # a filled bin leaves the sum
         best = int(change.argmin()) if len(change) else 0
-        new = 2 * int(count[size - s]) + 1 if s < size else 0
-        if len(change) and change[best] <= new:
+        if len(change) and held[best]:
             gap = best + s
             b = open_bins[gap].pop()
             count[gap] -= 1

@@ -52,3 +52,20 @@ def op8(spark, folder):
     from .language_model import score_texts
     docs = table(spark, folder, "documents").select("doc_id", "text", (remainder(7) == 2).alias("held_out"))
     return score_texts(docs, docs.where("not held_out"), carry=("held_out",))
+
+
+@case("op2_language_id")
+def op2(spark, folder):
+    from . import language_id
+    docs = table(spark, folder, "documents").withColumn("held_out", remainder(3) == 1)
+    model = language_id.fit(docs.where("not held_out"))
+    return language_id.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@case("op4_toxicity")
+def op4(spark, folder):
+    from . import toxicity
+    docs = table(spark, folder, "documents").select("doc_id", "text", (remainder(5) == 0).alias("held_out"))
+    training = toxicity.labelled_texts(docs.where("not held_out"), table(spark, folder, "labels"))
+    return toxicity.score(docs, toxicity.fit(training)).select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
