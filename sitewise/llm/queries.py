@@ -69,3 +69,22 @@ def op4(spark, folder):
     training = toxicity.labelled_texts(docs.where("not held_out"), table(spark, folder, "labels"))
     return toxicity.score(docs, toxicity.fit(training)).select(
         "doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@case("op9_exact_topk", """
+WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+           FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""")
+def op9(spark, folder):
+    from .topk_search import top_k
+    return top_k(table(spark, folder, "embeddings"), k=5, query_divisor=50)
+
+
+@case("op10_kd_tree_sharding")
+def op10(spark, folder):
+    from .sharding import kd_shards
+    return kd_shards(table(spark, folder, "documents"), 8, ("lang", "source", "n_chars", "doc_id")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
