@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sitewise.session import settle
 
 COORDINATE_BITS = 20
-TIE_BITS = 43
+TIE_BITS = 40
 BIN_BITS = 12
 # A cut may miss its share of the node's bytes by this much.
 TOLERANCE = 1e-5
