@@ -88,3 +88,13 @@ def op10(spark, folder):
     from .sharding import kd_shards
     return kd_shards(table(spark, folder, "documents"), 8, ("lang", "source", "n_chars", "doc_id")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@case("op6_secret_scan")
+def op6(spark, folder):
+    from .secrets import find_secrets, span_text
+    found = find_secrets(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+    count = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("secret_spans", lambda s: s["kind"] < 3)
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+                        F.sha2(span_text(base).cast("binary"), 256).alias("base_sha256"), span_text(F.col("secret_spans")).alias("spans"))
