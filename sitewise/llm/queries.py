@@ -98,3 +98,15 @@ def op6(spark, folder):
     base = F.filter("secret_spans", lambda s: s["kind"] < 3)
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
                         F.sha2(span_text(base).cast("binary"), 256).alias("base_sha256"), span_text(F.col("secret_spans")).alias("spans"))
+
+
+@case("op3_decontamination")
+def op3(spark, folder):
+    from .decontamination import contaminated
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@case("op7_license_scan")
+def op7(spark, folder):
+    from .licenses import find_licences
+    return find_licences(table(spark, folder, "documents"))
