@@ -91,15 +91,24 @@ def share(numerator: Column | str, denominator: Column | str) -> Column:
     return clip01(F.coalesce(finite(F.when(bottom != 0, as_column(numerator).cast("double") / bottom)), F.lit(0.0)))
 
 
+# Everything that counts as white space in a cell: controls, no-break and typographic spaces.
+WHITE_SPACE = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def strip(value: Column | str) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.btrim(as_column(value).cast("string"), F.lit(WHITE_SPACE))
+
+
 def boolish(value: Column | str) -> Column:
     """Text spelling of truth -> boolean; anything else, null included, is false."""
-    text = F.lower(F.trim(as_column(value).cast("string")))
+    text = F.lower(strip(value))
     return F.coalesce(text.isin("true", "1", "yes", "y", "t"), F.lit(False))
 
 
 def first_nonblank(*values: Column | str) -> Column:
     """First value that is not null and not blank, otherwise null."""
-    return F.coalesce(*[F.when(F.trim(as_column(v)) != "", as_column(v)) for v in values])
+    return F.coalesce(*[F.when(strip(v) != "", as_column(v)) for v in values])
 
 
 def any_of(conditions: Sequence[Column]) -> Column:

@@ -6,6 +6,8 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .exprs import strip
+
 # The type names of a rule and their Spark types.
 TYPES = {"string": "string", "int64": "bigint", "float64": "double", "bool": "boolean", "date": "date",
          "interval": "struct<lower:double,upper:double>"}
@@ -123,7 +125,7 @@ def parsed_cells(df: DataFrame, rules: Mapping[str, Rule]) -> DataFrame:
     text = {c: F.col(f"{c}#text") for c in rules}
     parts = {c: candidate_parts(text[c], rule) for c, rule in rules.items()}
     named = {c: {p: F.col(f"{c}#{p}") for p in parts[c]} for c in rules}
-    with_text = df.select("*", *[F.trim(F.col(c)).alias(f"{c}#text") for c in rules])
+    with_text = df.select("*", *[strip(c).alias(f"{c}#text") for c in rules])
     with_parts = with_text.select("*", *[value.alias(f"{c}#{p}") for c in rules for p, value in parts[c].items()])
     with_errors = with_parts.select("*", *[cell_error(text[c], named[c], rule).alias(f"{c}#error") for c, rule in rules.items()])
     with_status = with_errors.select("*", *[cell_status(text[c], F.col(f"{c}#error"), rule).alias(f"{c}#status") for c, rule in rules.items()])

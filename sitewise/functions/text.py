@@ -5,7 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from .exprs import as_column
+from .exprs import as_column, strip
 
 # Parts of an address that cannot be placed on a map.
 PO_BOX_PATTERN = r"(?i)\b(P\.?\s?O\.?\s*BOX|BOX)\s*\d+\b[\s,/-]*"
@@ -25,7 +25,7 @@ DIRECTIONS = {"NORTH": "N", "SOUTH": "S", "EAST": "E", "WEST": "W", "NORTHEAST":
 
 def text(value: Column | str) -> Column:
     """Trimmed text, '' for null."""
-    return F.coalesce(F.trim(as_column(value).cast("string")), F.lit(""))
+    return F.coalesce(strip(value), F.lit(""))
 
 
 def normalized(value: Column | str) -> Column:

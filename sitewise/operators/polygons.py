@@ -277,7 +277,7 @@ def overlay(areas: DataFrame, designations: DataFrame, key: str, rings: str = "r
                                                  for t in "xy" for n, f, g in ((0, "min", "least"), (1, "max", "greatest"))]))
 
     left = shaped(areas, [key], "_area")
-    right = shaped(designations, ["designation_id", "designation_kind"], "_cover")
+    right = shaped(with_shape(designations), ["_shape", "designation_id", "designation_kind"], "_cover")
     pairs = _bbox_pairs(left, right, key, cell_metres)
 
     def measure(batches):
@@ -285,23 +285,38 @@ def overlay(areas: DataFrame, designations: DataFrame, key: str, rings: str = "r
             shapes = [(_edge_rows(a), _edge_rows(c)) for a, c in zip(batch["_area"], batch["_cover"])]
             batch["overlap_area_m2"] = [covered_area(a, [c]) for a, c in shapes]
             batch["area_m2"] = [abs(float((a[:, 0] * a[:, 3] - a[:, 2] * a[:, 1]).sum()) / 2) for a, _ in shapes]
-            yield batch[[key, "designation_id", "designation_kind", "overlap_area_m2", "area_m2"]]
+            yield batch[[key, "_shape", "designation_id", "designation_kind", "overlap_area_m2", "area_m2"]]
 
     kind = left.schema[key].dataType.simpleString()
     did = right.schema["designation_id"].dataType.simpleString()
     # The work per pair dwarfs its bytes, so the task count must not follow the bytes.
-    measured = pairs.repartition(parallel_tasks(pairs.sparkSession), key, "designation_id").mapInPandas(measure, f"{key} {kind}, designation_id {did}, designation_kind string, overlap_area_m2 double, area_m2 double")
-    links = settle(measured.where(F.col("overlap_area_m2") > 0).withColumn("boundary_area_fraction", F.col("overlap_area_m2") / F.col("area_m2")))
+    measured = pairs.repartition(parallel_tasks(pairs.sparkSession), key, "_shape").mapInPandas(
+        measure, f"{key} {kind}, _shape string, designation_id {did}, designation_kind string, overlap_area_m2 double, area_m2 double")
+    shapes = settle(measured.where(F.col("overlap_area_m2") > 0))
+    links = shapes.groupBy(key, "designation_id", "designation_kind").agg(
+        F.max("overlap_area_m2").alias("overlap_area_m2"), F.max("area_m2").alias("area_m2"), F.count("*").alias("_shapes"))
+    if "component" in designations.columns:
+        # Several components of one designation in one area count once where they overlap.
+        several = settle(links.where("_shapes > 1"))
+        links = links.join(_union_areas(several, shapes, left, right, key, "designation_id"), [key, "designation_id"], "left").withColumn(
+            "overlap_area_m2", F.coalesce("union_m2", "overlap_area_m2")).drop("union_m2")
+    links = settle(links.withColumn("boundary_area_fraction", F.col("overlap_area_m2") / F.col("area_m2")))
     totals = links.groupBy(key, "designation_kind").agg(
-        F.countDistinct("designation_id").alias("designation_count"), F.max("area_m2").alias("area_m2"),
+        F.count("*").alias("designation_count"), F.sum("_shapes").alias("_shapes"), F.max("area_m2").alias("area_m2"),
         F.max("boundary_area_fraction").alias("_largest"))
     # One designation already covers the area, or a single one touches it: nothing to unite.
     open_ = totals.where((F.col("_largest") < 1 - 1e-12) & (F.col("designation_count") > 1))
-    united = _union_areas(open_, links, left, right, key)
+    united = _union_areas(open_, shapes, left, right, key, "designation_kind")
     coverage = totals.join(united, [key, "designation_kind"], "left").select(
         key, "designation_kind", "designation_count",
         F.least(F.coalesce(F.col("union_m2") / F.col("area_m2"), "_largest"), F.lit(1.0)).alias("boundary_area_fraction"))
-    return links.drop("area_m2"), coverage
+    return links.select(key, "designation_id", "designation_kind", "overlap_area_m2", "boundary_area_fraction"), coverage
+
+
+def with_shape(designations: DataFrame) -> DataFrame:
+    """A key for each polygon: the designation, or its component if it comes in several."""
+    parts = ["designation_id", *[c for c in ("component",) if c in designations.columns]]
+    return designations.withColumn("_shape", F.concat_ws("/", *[F.col(c).cast("string") for c in parts]))
 
 
 def _bbox_pairs(left: DataFrame, right: DataFrame, key: str, size: float) -> DataFrame:
@@ -313,31 +328,31 @@ def _bbox_pairs(left: DataFrame, right: DataFrame, key: str, size: float) -> Dat
             "*", f"explode(sequence(floor({name}_x0 / {w}), floor({name}_x1 / {w}))) AS cx").selectExpr(
             "*", f"explode(sequence(floor({name}_y0 / {w}), floor({name}_y1 / {w}))) AS cy", "0L AS cz")
 
-    met = spatial._cell_join(celled(left, "_area", key), celled(right, "_cover", "designation_id"), spatial.CROWDED_ROWS).where(
+    met = spatial._cell_join(celled(left, "_area", key), celled(right, "_cover", "_shape"), spatial.CROWDED_ROWS).where(
         "_area_x0 < _cover_x1 AND _cover_x0 < _area_x1 AND _area_y0 < _cover_y1 AND _cover_y0 < _area_y1 "
         # Two boxes may share several cells: the pair is kept in the first one only.
         f"AND cx = floor(greatest(_area_x0, _cover_x0) / {w}) AND cy = floor(greatest(_area_y0, _cover_y0) / {w})")
-    return met.select(key, "designation_id").join(left.select(key, "_area"), key).join(
-        right.select("designation_id", "designation_kind", "_cover"), "designation_id")
+    return met.select(key, "_shape").join(left.select(key, "_area"), key).join(
+        right.select("_shape", "designation_id", "designation_kind", "_cover"), "_shape")
 
 
-def _union_areas(open_: DataFrame, links: DataFrame, left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """key, designation_kind, union_m2. Areas with many members are cut into vertical strips, one task group each."""
-    strips = F.greatest(F.lit(1), F.ceil(F.col("designation_count") / STRIP_MEMBERS)).cast("int")
-    shaped = open_.select(key, "designation_kind", strips.alias("_strips")).join(left, key).selectExpr(
+def _union_areas(open_: DataFrame, shapes: DataFrame, left: DataFrame, right: DataFrame, key: str, group: str) -> DataFrame:
+    """key, group, union_m2 of the shapes of a group in an area. Areas with many are cut into vertical strips, one task group each."""
+    strips = F.greatest(F.lit(1), F.ceil(F.col("_shapes") / STRIP_MEMBERS)).cast("int")
+    shaped = open_.select(key, group, strips.alias("_strips")).join(left, key).selectExpr(
         "*", "explode(sequence(0, _strips - 1)) AS _strip").selectExpr(
         "*", "_area_x0 + (_area_x1 - _area_x0) * _strip / _strips AS _low", "_area_x0 + (_area_x1 - _area_x0) * (_strip + 1) / _strips AS _high")
-    members = links.select(key, "designation_kind", "designation_id").join(right.drop("designation_kind"), "designation_id")
+    members = shapes.select(key, group, "_shape").join(right.drop("designation_id", "designation_kind"), "_shape")
     # Copies of one shape count once.
-    grouped = shaped.join(members, [key, "designation_kind"]).where("_cover_x0 < _high AND _cover_x1 > _low").groupBy(
-        key, "designation_kind", "_strip", "_cover").agg(F.first("_area").alias("_area"), F.first("_low").alias("_low"), F.first("_high").alias("_high"))
-    kind = left.schema[key].dataType.simpleString()
+    grouped = shaped.join(members, [key, group]).where("_cover_x0 < _high AND _cover_x1 > _low").groupBy(
+        key, group, "_strip", "_cover").agg(F.first("_area").alias("_area"), F.first("_low").alias("_low"), F.first("_high").alias("_high"))
+    kinds = {c: shapes.schema[c].dataType.simpleString() for c in (key, group)}
 
     def unite(pdf: pd.DataFrame) -> pd.DataFrame:
         row = pdf.iloc[0]
         value = covered_area(_edge_rows(row["_area"]), [_edge_rows(c) for c in pdf["_cover"]], row["_low"], row["_high"])
-        return pd.DataFrame({key: [row[key]], "designation_kind": [row["designation_kind"]], "part_m2": [value]})
+        return pd.DataFrame({key: [row[key]], group: [row[group]], "part_m2": [value]})
 
-    grouped = grouped.repartition(parallel_tasks(grouped.sparkSession), key, "designation_kind", "_strip")
-    parts = grouped.groupBy(key, "designation_kind", "_strip").applyInPandas(unite, f"{key} {kind}, designation_kind string, part_m2 double")
-    return parts.groupBy(key, "designation_kind").agg(F.sum("part_m2").alias("union_m2"))
+    grouped = grouped.repartition(parallel_tasks(grouped.sparkSession), key, group, "_strip")
+    parts = grouped.groupBy(key, group, "_strip").applyInPandas(unite, f"{key} {kinds[key]}, {group} {kinds[group]}, part_m2 double")
+    return parts.groupBy(key, group).agg(F.sum("part_m2").alias("union_m2"))

@@ -40,7 +40,14 @@ def _with_starts(sliced: DataFrame, groups: Sequence[str], weight: Column) -> Da
     starts = _slice_starts(sliced, groups, weight)
     if not groups:
         starts = F.broadcast(starts)  # one row per shuffle partition
-    return sliced.join(starts, ["slice", *groups])
+    return join_null_safe(sliced, starts, ["slice", *groups])
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys meet; the key columns are kept once, from the left."""
+    named = right.select(*[F.col(c).alias(f"_right_{c}") if c in on else F.col(c) for c in right.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in on]
+    return left.join(named, same, how).drop(*[f"_right_{c}" for c in on])
 
 
 def cumulative_counts(df: DataFrame, value: Column | str, groups: Sequence[str] = ()) -> DataFrame:
@@ -73,14 +80,13 @@ def lookup_by_value(facts: DataFrame, lookup: DataFrame, on: Sequence[str], weig
         hot = lookup.where(F.col(weight) > hot_rows)
         found = hot.limit(BROADCAST_ROWS + 1).count()
         if found == 0:
-            return facts.join(lookup, on)
+            return join_null_safe(facts, lookup, on)
         if found <= BROADCAST_ROWS:
             break
         hot_rows *= 2
     hot_keys = hot.select(*on)
-    heavy = facts.join(F.broadcast(hot), on)
-    light = (facts.join(F.broadcast(hot_keys), on, "left_anti")
-             .join(lookup.where(F.col(weight) <= hot_rows), on))
+    heavy = join_null_safe(facts, F.broadcast(hot), on)
+    light = join_null_safe(join_null_safe(facts, F.broadcast(hot_keys), on, "left_anti"), lookup.where(F.col(weight) <= hot_rows), on)
     return heavy.unionByName(light)
 
 

@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..functions.exprs import finite
 from ..functions.geo import EARTH_MILES, arc_of, chord_col, chord_of, haversine, sphere_x, sphere_y, sphere_z
 from ..session import BROADCAST_ROWS, parallel_tasks, settle
 
@@ -254,13 +255,13 @@ def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, *,
     without one, and left points at one location are searched once. Rows without coordinates, or
     an empty right side, give nulls.
     """
-    targets = (right.where(F.col(right_at[0]).isNotNull() & F.col(right_at[1]).isNotNull())
+    targets = (right.where(finite(right_at[0]).isNotNull() & finite(right_at[1]).isNotNull())
                .groupBy(*right_at).agg(F.min(right_key).alias(right_key)))
     targets = _on_sphere(targets, right_at, "_r").drop(*right_at)
     few = targets.limit(index_rows + 1).toPandas()
     if 0 < len(few) <= index_rows:
         return _nearest_of_few(left, few.sort_values(right_key, ignore_index=True), targets, key, right_key, left_at)
-    spots = (left.where(F.col(left_at[0]).isNotNull() & F.col(left_at[1]).isNotNull())
+    spots = (left.where(finite(left_at[0]).isNotNull() & finite(left_at[1]).isNotNull())
              .groupBy(*left_at).agg(F.count("*").alias("_copies")))
     targets = settle(targets)
     pending = settle(_on_sphere(spots, left_at, "_l"))
@@ -311,8 +312,8 @@ def _nearest_of_few(left: DataFrame, points, targets: DataFrame, key: str, right
     if len(points) >= 1_000:
         # Thousands of comparisons for every few bytes: worth one narrow shuffle to use all tasks.
         rows = rows.repartition(parallel_tasks(left.sparkSession), key)
-    placed = rows.where(F.col("_lx").isNotNull() & F.col("_lz").isNotNull()).mapInPandas(search, schema)
-    nowhere = rows.where(F.col("_lx").isNull() | F.col("_lz").isNull()).select(
+    placed = rows.where(finite("_lx").isNotNull() & finite("_lz").isNotNull()).mapInPandas(search, schema)
+    nowhere = rows.where(finite("_lx").isNull() | finite("_lz").isNull()).select(
         key, F.lit(None).cast(targets.schema[right_key].dataType).alias(right_key), F.lit(None).cast("double").alias("chord"))
     return placed.unionByName(nowhere)
 

@@ -9,103 +9,63 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.geo import EARTH_MILES_ROUNDED
 from ..session import settle
-from . import spatial
 
-POOL_ROWS = 30_000  # pools up to this size are walked in one task
+# Rows that are looked at one after the other at a time.
+BLOCK_ROWS = 4_000
 
 
-def spread(pool: DataFrame, key: str, rank: str, thresholds: Sequence[float], limit: int, *,
-           at: Sequence[str] = ("latitude", "longitude"), radius: float = EARTH_MILES_ROUNDED,
-           pool_rows: int = POOL_ROWS) -> DataFrame:
-    """key and pick (1-based order of selection). ``rank`` must be unique; smaller is better."""
-    narrow = settle(pool.select(key, F.col(rank).alias("_rank"), F.col(at[0]).alias("_lat"), F.col(at[1]).alias("_lon"))
-                    .where(F.col("_lat").isNotNull() & F.col("_lon").isNotNull()))
-    if narrow.limit(pool_rows + 1).count() <= pool_rows:
-        return _walk(narrow, key, list(thresholds), limit, radius)
-    return _rounds(narrow, key, list(thresholds), limit, radius)
-
-
-def _walk(pool: DataFrame, key: str, thresholds: list[float], limit: int, radius: float) -> DataFrame:
-    schema = T.StructType([pool.schema[key], T.StructField("pick", T.IntegerType())])
-
-    def pick(batches):
-        parts = list(batches)
-        if not parts:
-            return
-        rows = pd.concat(parts).sort_values("_rank", ignore_index=True)
-        lat, lon = np.radians(rows["_lat"].to_numpy()), np.radians(rows["_lon"].to_numpy())
-
-        def near(i: int, threshold: float) -> np.ndarray:
-            h = np.sin((lat - lat[i]) / 2) ** 2 + np.cos(lat) * np.cos(lat[i]) * np.sin((lon - lon[i]) / 2) ** 2
-            return 2 * radius * np.arcsin(np.minimum(1.0, np.sqrt(h))) < threshold
-
-        chosen: list[int] = []
-        taken = np.zeros(len(rows), dtype=bool)
-        for threshold in thresholds:
-            blocked = taken.copy()
-            for i in chosen if threshold else []:
-                blocked |= near(i, threshold)
-            for i in range(len(rows)):
-                if blocked[i]:
-                    continue
-                if len(chosen) >= limit:
-                    break
-                chosen.append(i)
-                taken[i] = True
-                if threshold:
-                    blocked |= near(i, threshold)
-        yield pd.DataFrame({key: rows[key].to_numpy()[chosen], "pick": np.arange(1, len(chosen) + 1)})
-
-    return pool.repartition(1).mapInPandas(pick, schema)
-
-
-def _rounds(pool: DataFrame, key: str, thresholds: list[float], limit: int, radius: float) -> DataFrame:
-    """The same selection as rounds over conflict pairs: every row without a better-ranked open
-    neighbour is taken, its neighbours close, repeat until nothing is open."""
-    picked: DataFrame | None = None
-    for step, threshold in enumerate(thresholds):
-        open_rows = pool if picked is None else settle(pool.join(picked.select(key), key, "left_anti"))
-        if not threshold:
-            new = open_rows.select(key, "_rank", "_lat", "_lon", F.lit(step).alias("_step"))
-            picked = new if picked is None else picked.unionByName(new)
-            break
-        if picked is not None:
-            open_rows = settle(open_rows.join(_closer(open_rows, picked, key, threshold, radius), key, "left_anti"))
-        pairs = settle(
-            spatial.radius_pairs(
-                open_rows.select(F.col(key).alias("_worse"), F.col("_rank").alias("_worse_rank"),
-                                 F.col("_lat").alias("latitude"), F.col("_lon").alias("longitude")),
-                open_rows.select(F.col(key).alias("_better"), F.col("_rank").alias("_better_rank"),
-                                 F.col("_lat").alias("to_latitude"), F.col("_lon").alias("to_longitude")),
-                threshold, radius=radius)
-            .where((F.col("_better_rank") < F.col("_worse_rank")) & (F.col("miles") < threshold)).select("_worse", "_better"))
-        while not open_rows.isEmpty():
-            behind = pairs.select(F.col("_worse").alias(key)).distinct()
-            taken = settle(open_rows.join(behind, key, "left_anti"))
-            closed = pairs.join(taken.select(F.col(key).alias("_better")), "_better", "left_semi").select(F.col("_worse").alias(key)).distinct()
-            new = taken.select(key, "_rank", "_lat", "_lon", F.lit(step).alias("_step"))
-            picked = new if picked is None else picked.unionByName(new)
-            open_rows = settle(open_rows.join(taken.select(key), key, "left_anti").join(closed, key, "left_anti"))
-            alive = open_rows.select(key)
-            pairs = settle(pairs.join(alive.withColumnRenamed(key, "_worse"), "_worse", "left_semi")
-                           .join(alive.withColumnRenamed(key, "_better"), "_better", "left_semi"))
-        picked = settle(picked)
-        if picked.count() >= limit:
-            break
-    first = picked.orderBy("_step", "_rank").limit(limit)  # at most ``limit`` rows from here on
-    return first.select(key, F.row_number().over(Window.orderBy("_step", "_rank")).alias("pick"))
+def _near(lat, lon, to_lat: float, to_lon: float, threshold: float, radius: float) -> np.ndarray:
+    """Which points (radians) are closer than the threshold to one point."""
+    h = np.sin((lat - to_lat) / 2) ** 2 + np.cos(lat) * np.cos(to_lat) * np.sin((lon - to_lon) / 2) ** 2
+    return 2 * radius * np.arcsin(np.minimum(1.0, np.sqrt(h))) < threshold
 
 
-def _closer(rows: DataFrame, picked: DataFrame, key: str, threshold: float, radius: float) -> DataFrame:
-    pairs = spatial.radius_pairs(
-        rows.select(key, F.col("_lat").alias("latitude"), F.col("_lon").alias("longitude")),
-        picked.select(F.col("_lat").alias("to_latitude"), F.col("_lon").alias("to_longitude")), threshold, radius=radius)
-    return pairs.where(F.col("miles") < threshold).select(key).distinct()
+def spread(ranked: DataFrame, key: str, rank: str, thresholds: Sequence[float], limit: int, *,
+           at: Sequence[str] = ("latitude", "longitude"), radius: float = EARTH_MILES_ROUNDED, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """key and pick (1-based order of selection). ``rank`` must be unique; smaller is better.
+
+    All rows take part, in blocks: rows that are not too close to the picks so far (at most ``limit`` places, sent to
+    the tasks) are found in parallel, the best ranked of them are walked, and what follows them in the ranking makes
+    the next block. Rows without a position are never picked.
+    """
+    narrow = settle(ranked.select(key, F.col(rank).alias("_rank"), F.radians(at[0]).alias("_lat"), F.radians(at[1]).alias("_lon"))
+                    .where(F.col("_lat").isNotNull() & F.col("_lon").isNotNull()))
+    picks: list[tuple] = []
+
+    def clear_of(taken: list[tuple], threshold: float):
+        def run(batches):
+            for batch in batches:
+                blocked = batch["_rank"].isin([p[1] for p in taken]).to_numpy()
+                for _, _, lat, lon in taken if threshold else []:
+                    blocked |= _near(batch["_lat"].to_numpy(), batch["_lon"].to_numpy(), lat, lon, threshold, radius)
+                yield batch[~blocked]
+        return run
+
+    for threshold in thresholds:
+        after = None
+        while len(picks) < limit:
+            rows = narrow if after is None else narrow.where(F.col("_rank") > after)
+            if picks:
+                rows = rows.mapInPandas(clear_of(list(picks), threshold), narrow.schema)
+            block = rows.orderBy("_rank").limit(block_rows).collect()
+            if not block:
+                break
+            lat, lon = np.array([r["_lat"] for r in block]), np.array([r["_lon"] for r in block])
+            blocked = np.zeros(len(block), dtype=bool)
+            for i, row in enumerate(block):
+                if len(picks) < limit and not blocked[i]:
+                    picks.append((row[key], row["_rank"], row["_lat"], row["_lon"]))
+                    if threshold:
+                        blocked |= _near(lat, lon, lat[i], lon[i], threshold, radius)
+            after = block[-1]["_rank"]
+        if len(picks) >= limit:
+            break
+    schema = T.StructType([ranked.schema[key], T.StructField("pick", T.IntegerType())])
+    return ranked.sparkSession.createDataFrame([(p[0], i) for i, p in enumerate(picks, 1)], schema)
 
 
 # Shares of the initial separation tried in turn.
@@ -116,12 +76,20 @@ def relaxing_thresholds(initial: float) -> list[float]:
     return [initial * share for share in RELAXATION]
 
 
+# Starting miles for the whole country, within a state, and the least for a viewport;
+# the share of the viewport's diagonal that the square root of the number of results divides.
+NATIONAL_MILES, STATE_MILES, LEAST_MILES, DIAGONAL_SHARE = 75.0, 40.0, 5.0, 0.75
+
+
+def _on_sphere(lon: float, lat: float) -> tuple[float, float, float]:
+    lam, phi = math.radians(lon), math.radians(lat)
+    return math.cos(phi) * math.cos(lam), math.cos(phi) * math.sin(lam), math.sin(phi)
+
+
 def initial_separation(limit: int, bbox: tuple[float, float, float, float] | None, state: str | None) -> float:
-    """Miles to start from: by viewport size and result count, else 40 within a state, 75 nationally."""
-    if bbox:
-        west, south, east, north = bbox
-        p1, p2 = math.radians(south), math.radians(north)
-        h = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin(math.radians(east - west) / 2) ** 2
-        diagonal = 2 * EARTH_MILES_ROUNDED * math.asin(min(1.0, math.sqrt(h)))
-        return max(5.0, min(75.0, diagonal * 0.75 / math.sqrt(max(1, limit))))
-    return 40.0 if state else 75.0
+    """Miles to start from: what lets the results fill the viewport, else by state or nation."""
+    if not bbox:
+        return STATE_MILES if state else NATIONAL_MILES
+    half_chord = math.dist(_on_sphere(*bbox[:2]), _on_sphere(*bbox[2:])) / 2
+    diagonal = 2 * EARTH_MILES_ROUNDED * math.asin(min(half_chord, 1.0))
+    return min(max(DIAGONAL_SHARE * diagonal / max(limit, 1) ** 0.5, LEAST_MILES), NATIONAL_MILES)

@@ -5,7 +5,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.exprs import as_column, first_nonblank
+from ..functions.exprs import as_column, first_nonblank, strip
 from ..functions.geo import EARTH_MILES_ROUNDED, haversine, wkt_lat, wkt_lon
 from ..functions.text import NAME_STOPWORDS, clean_address, clean_street, directions, has_po_box, house_number, jaccard, name_tokens, text
 from ..operators import spatial
@@ -185,7 +185,7 @@ def facility_set(providers: DataFrame, general: DataFrame) -> DataFrame:
     other = F.col("in_pos_active") & (F.col("category") != "01")
     classed = joined.withColumn("facility_class", F.when(hospital, F.lit("hospital")).when(other, F.lit("other")))
     return classed.where(F.col("facility_class").isNotNull()).select(
-        "ccn", "facility_class", F.trim(F.coalesce("name", "p_name")).alias("name"),
+        "ccn", "facility_class", strip(F.coalesce("name", "p_name")).alias("name"),
         F.when(F.col("in_hgi"), F.col("hospital_type")).otherwise(F.col("p_type")).alias("type"),
         F.coalesce("state", "p_state").alias("state"), F.coalesce("county_fips", F.lit("")).alias("county_fips"),
         F.coalesce("county", F.lit("")).alias("county"), "beds", "in_hgi", "in_pos_active")
@@ -199,8 +199,8 @@ def candidate_addresses(parts: Sequence[DataFrame]) -> DataFrame:
     rows = None
     for part in parts:
         rows = part if rows is None else rows.unionByName(part)
-    cleaned = rows.select("ccn", "source", clean_street("street").alias("street"), F.upper(F.trim("city")).alias("city"), "state",
-                          F.substring(F.when(F.length(F.trim("zip")) < 5, F.lpad(F.trim("zip"), 5, "0")).otherwise(F.trim("zip")), 1, 5).alias("zip"))
+    cleaned = rows.select("ccn", "source", clean_street("street").alias("street"), F.upper(strip("city")).alias("city"), "state",
+                          F.substring(F.when(F.length(strip("zip")) < 5, F.lpad(strip("zip"), 5, "0")).otherwise(strip("zip")), 1, 5).alias("zip"))
     useful = cleaned.where(F.col("street").rlike(r"\d") | (F.length("street") > 5))
     order = _map({k: str(v) for k, v in SOURCE_ORDER.items()})[F.col("source")]
     unique = useful.groupBy("ccn", "street", "city", "state", "zip").agg(F.min_by("source", order).alias("source"))
@@ -301,7 +301,7 @@ def zip_placement(hospitals: DataFrame, zcta: DataFrame, counties: DataFrame) ->
     hospitals: facility_id, zip, state, county. zcta: zip, lon, lat. counties: state, county, lon, lat.
     Only ZIPs that are not themselves known look for a neighbour, once per distinct ZIP.
     """
-    frame = hospitals.withColumn("zip", F.substring(F.when(F.length(F.trim("zip")) < 5, F.lpad(F.trim("zip"), 5, "0")).otherwise(F.trim("zip")), 1, 5))
+    frame = hospitals.withColumn("zip", F.substring(F.when(F.length(strip("zip")) < 5, F.lpad(strip("zip"), 5, "0")).otherwise(strip("zip")), 1, 5))
     exact = frame.join(zcta.select("zip", F.col("lon").alias("z_lon"), F.col("lat").alias("z_lat")), "zip", "left")
     unknown = frame.select("zip").distinct().join(zcta.select("zip"), "zip", "left_anti").withColumn("_zip3", F.substring("zip", 1, 3))
     near = unknown.join(zcta.select(F.col("zip").alias("_other"), F.substring("zip", 1, 3).alias("_zip3"), "lon", "lat"), "_zip3").groupBy("zip").agg(

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.exprs import strip
 from ..operators.checks import ContractError, duplicate_keys, orphans, require_columns, require_none
 
 
@@ -23,7 +24,7 @@ def checked_crosswalk(crosswalk: DataFrame, source: DataFrame, source_key: str,
     require_none(crosswalk.where(empty), "Crosswalk rows need source, target and evidence")
     require_none(duplicate_keys(crosswalk, ["source_geoid"]), "Crosswalk source used twice")
     require_none(duplicate_keys(crosswalk, ["target_geoid"]), "Crosswalk target used twice")
-    ids = source.select(F.trim(F.col(source_key)).alias("source_geoid"))
+    ids = source.select(strip(source_key).alias("source_geoid"))
     require_none(orphans(crosswalk, ids, "source_geoid", "source_geoid"), "Crosswalk source absent from the table")
     require_none(orphans(crosswalk, base, "target_geoid", target_key), "Crosswalk target absent from the reference")
     return crosswalk
@@ -38,7 +39,7 @@ def align(base: DataFrame, source: DataFrame, source_key: str, target_key: str,
     digits = digits or (11 if target_key == "tract_geoid" else 5)
     require_columns(source, [source_key, *(selected or [])])
     columns = list(dict.fromkeys(selected)) if selected is not None else [c for c in source.columns if not c.startswith("_stage2_")]
-    rows = source.withColumn("_raw", F.trim(F.col(source_key).cast("string")))
+    rows = source.withColumn("_raw", strip(source_key))
     if crosswalk is not None:
         crosswalk = checked_crosswalk(crosswalk, source, source_key, base, target_key)
         rows = rows.join(crosswalk.select(F.col("source_geoid").alias("_raw"), F.col("target_geoid").alias("_target")), "_raw", "left")

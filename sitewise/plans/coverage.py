@@ -71,26 +71,11 @@ def scored_placements(factors: DataFrame, weights: Mapping[str, float]) -> DataF
 
 
 def top_placements(factors: DataFrame, key: str, weights: Mapping[str, float], radius: float, k: int) -> DataFrame:
-    """The best k areas with at least ``radius`` miles between them.
-
-    The walk only looks at a prefix of the ranking, so it runs on the best rows and doubles the
-    prefix until k are found or everything was seen.
-    """
-    scored = settle(scored_placements(factors, weights))
-    order = [F.col("score").desc(), F.col("uncovered_pop").desc(), F.col(key)]
-    total, prefix = scored.count(), max(1_000, 40 * k)
-    while True:
-        if prefix >= total:
-            ranked = ranking.add_rank(scored, key, [("score", True), ("uncovered_pop", True), (key, False)], "_place")
-        else:
-            from pyspark.sql import Window
-
-            ranked = scored.orderBy(*order).limit(prefix).withColumn("_place", F.row_number().over(Window.orderBy(*order)))
-        ranked = settle(ranked)
-        picks = settle(spread.spread(ranked, key, "_place", [radius], k))
-        if prefix >= total or picks.count() >= k:
-            return ranked.drop("_place").join(F.broadcast(picks), key).withColumnRenamed("pick", "rank")  # <= k rows
-        prefix *= 2
+    """The best k areas with at least ``radius`` miles between them, of all areas."""
+    order = [("score", True), ("uncovered_pop", True), (key, False)]
+    ranked = settle(ranking.add_rank(settle(scored_placements(factors, weights)), key, order, "_place"))
+    picks = spread.spread(ranked, key, "_place", [radius], k)
+    return ranked.drop("_place").join(F.broadcast(picks), key).withColumnRenamed("pick", "rank")  # <= k rows
 
 
 def placement_meta(factors: DataFrame) -> DataFrame:

@@ -3,8 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.exprs import strip
 from ..operators.checks import require_none, require_rows
-from ..operators.polygons import overlay, points_in_polygons, ring_problems
+from ..operators.polygons import overlay, points_in_polygons, ring_problems, with_shape
 
 # Designation types and the kind they belong to; the form of an identifier.
 KINDS = {
@@ -14,27 +15,40 @@ ID_PATTERN = r"^([0-9]{5}|[0-9]{10})$"
 
 
 def load_designations(components: DataFrame) -> DataFrame:
-    """Active components dissolved into designations.
+    """Active components, one row each: designation_id, designation_kind, imu_score, component, rings.
 
+    A designation is the union of its components, which may overlap or lie within one another: operators test and
+    measure each component and join what belongs to one id. Equal components of an id are one.
     components: designation_id, designation_status, designation_type, imu_score, rings.
     Unknown ids, unknown active types and components that disagree are errors.
     """
-    rows = components.withColumn("designation_id", F.trim("designation_id"))
+    rows = components.withColumn("designation_id", strip("designation_id"))
     require_none(rows.where(~F.coalesce(F.col("designation_id").rlike(ID_PATTERN), F.lit(False))).select("designation_id"), "Unexpected designation ids")
     kinds = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
-    active = rows.where(F.lower(F.trim("designation_status")) == "designated").withColumn(
-        "designation_kind", kinds[F.lower(F.trim("designation_type"))])
+    active = rows.where(F.lower(strip("designation_status")) == "designated").withColumn(
+        "designation_kind", kinds[F.lower(strip("designation_type"))])
     require_rows(active, 1, "active designation components")
     require_none(active.where(F.col("designation_kind").isNull()).select("designation_type"), "Unknown designation type")
     require_none(ring_problems(active, "designation_id", "rings"), "Invalid designation rings")
     merged = active.groupBy("designation_id").agg(
         F.min("designation_kind").alias("designation_kind"), F.max("designation_kind").alias("_kind"),
-        F.min("imu_score").alias("imu_score"), F.max("imu_score").alias("_score"), F.count("imu_score").alias("_scores"), F.count("*").alias("_rows"),
-        F.flatten(F.collect_list("rings")).alias("rings"))
+        F.min("imu_score").alias("imu_score"), F.max("imu_score").alias("_score"), F.count("imu_score").alias("_scores"), F.count("*").alias("_rows"))
     disagree = (F.col("designation_kind") != F.col("_kind")) | (F.col("imu_score") != F.col("_score")) | (
         (F.col("_scores") > 0) & (F.col("_scores") < F.col("_rows")))
     require_none(merged.where(disagree).select("designation_id"), "Components disagree on kind or score")
-    return merged.drop("_kind", "_score", "_scores", "_rows")
+    shapes = active.select("designation_id", F.xxhash64("rings").alias("component"), "rings").groupBy("designation_id", "component").agg(
+        F.first("rings").alias("rings"))
+    return shapes.join(merged.select("designation_id", "designation_kind", "imu_score"), "designation_id")
+
+
+def dissolved_count(components: DataFrame) -> DataFrame:
+    """designation_id, designation_kind, imu_score, components: one row per designation."""
+    return components.groupBy("designation_id", "designation_kind", "imu_score").agg(F.count("*").alias("components"))
+
+
+def without_record(designations: DataFrame, records: DataFrame) -> DataFrame:
+    """Ids with a boundary but no row in the table of records."""
+    return designations.select("designation_id").distinct().join(records.select("designation_id"), "designation_id", "left_anti")
 
 
 def area_coverage(areas: DataFrame, designations: DataFrame, key: str, rings: str = "rings") -> DataFrame:
@@ -51,7 +65,9 @@ def area_coverage(areas: DataFrame, designations: DataFrame, key: str, rings: st
 
 def facility_links(facilities: DataFrame, designations: DataFrame) -> DataFrame:
     """Distinct facility_id, designation_id, designation_kind of facilities inside designations."""
-    return points_in_polygons(facilities, designations, "facility_id", "designation_id", extra=["designation_kind"]).distinct()
+    shapes = with_shape(designations)
+    return points_in_polygons(facilities, shapes, "facility_id", "_shape", extra=["designation_id", "designation_kind"]).select(
+        "facility_id", "designation_id", "designation_kind").distinct()
 
 
 def with_membership(facilities: DataFrame, links: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.exprs import first_nonblank
+from ..functions.exprs import first_nonblank, strip
 from ..functions.text import ANY_PO_BOX_PATTERN, normalized, text, zip5
 from ..operators.ranking import lookup_by_value
 from ..session import settle
@@ -82,7 +82,7 @@ def merge_records(records: DataFrame) -> DataFrame:
     """
     order = F.struct("priority", "source_table", "source_row")
     cells = records.select("facility_id", order.alias("order"), F.explode(F.array(*[
-        F.struct(F.lit(name).alias("field"), F.trim(F.col(name)).alias("value")) for name in MERGED_FIELDS])).alias("c")
+        F.struct(F.lit(name).alias("field"), strip(name).alias("value")) for name in MERGED_FIELDS])).alias("c")
     ).select("facility_id", "order", "c.*").where(F.coalesce(F.col("value"), F.lit("")) != "")
     values = cells.groupBy("facility_id", "field", "value").agg(F.min("order").alias("order"))
     fields = values.groupBy("facility_id", "field").agg(

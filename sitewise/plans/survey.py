@@ -5,7 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.exprs import as_column
+from ..functions.exprs import as_column, strip
 from ..operators.checks import duplicate_keys, malformed_keys, orphans, require_none, require_rows
 
 # Tokens that stand for "no number here", and "1,234+" style thresholds.
@@ -16,17 +16,17 @@ AREA_PATTERN = r"^(1400000US[0-9]{11}|0500000US[0-9]{5})$"
 
 
 def is_special(raw: Column | str) -> Column:
-    text = F.trim(as_column(raw))
+    text = strip(raw)
     return text.isin(*SPECIAL_TOKENS) | text.rlike(THRESHOLD_PATTERN)
 
 
 def survey_value(raw: Column | str) -> Column:
-    return F.when(~is_special(raw), F.trim(as_column(raw)).try_cast("double"))
+    return F.when(~is_special(raw), strip(raw).try_cast("double"))
 
 
 def survey_annotation(raw: Column | str) -> Column:
     """The special token of the cell, if it has a non-blank one."""
-    text = F.trim(as_column(raw))
+    text = strip(raw)
     return F.when(is_special(raw) & (text != ""), text)
 
 
@@ -53,7 +53,7 @@ def require_expected(df: DataFrame, columns: Sequence[str]) -> None:
 def special_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """column, token, cells."""
     return df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.when(is_special(c), F.trim(F.col(c))).alias("token")) for c in columns])).alias("s")
+        F.struct(F.lit(c).alias("column"), F.when(is_special(c), strip(c)).alias("token")) for c in columns])).alias("s")
     ).where(F.col("s.token").isNotNull()).groupBy("s.column", "s.token").agg(F.count("*").alias("cells"))
 
 
@@ -80,22 +80,23 @@ def unpaired_columns(columns: DataFrame) -> DataFrame:
         columns.select(F.col("column").alias("partner")), "partner", "left_anti").select("column", "partner")
 
 
-def label_paths(lines: DataFrame, depths: int = 12) -> DataFrame:
+def label_paths(lines: DataFrame) -> DataFrame:
     """Full label path per (table, line) from indentation.
 
-    At each depth the last label counts only if nothing shallower came after it.
+    At each depth the last label counts only if nothing shallower came after it. The depths are those found.
     """
+    depths = sorted(r["indent"] for r in lines.select("indent").where("indent is not null").distinct().collect())
     w = Window.partitionBy("table").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    at = {d: F.last(F.when(F.col("indent") == d, F.struct("line", "label")), ignorenulls=True).over(w) for d in range(depths)}
+    at = {d: F.last(F.when(F.col("indent") == d, F.struct("line", "label")), ignorenulls=True).over(w) for d in depths}
     framed = lines.withColumns({f"_d{d}": c for d, c in at.items()})
     parts = []
-    for d in range(depths):
-        shallower = [F.col(f"_d{s}.line") for s in range(d)]
+    for d in depths:
+        shallower = [F.col(f"_d{s}.line") for s in depths if s < d]
         newest = F.greatest(*shallower) if len(shallower) > 1 else (shallower[0] if shallower else F.lit(None).cast("long"))
         mine = F.col(f"_d{d}.line")
         keep = (mine > F.coalesce(newest, F.lit(-1))) & (F.lit(d) <= F.col("indent"))
         parts.append(F.when(keep, F.col(f"_d{d}.label")))
-    return framed.withColumn("label_path", F.concat_ws(" > ", *parts)).drop(*[f"_d{d}" for d in range(depths)])
+    return framed.withColumn("label_path", F.concat_ws(" > ", *parts)).drop(*[f"_d{d}" for d in depths])
 
 
 def assemble(geographies: DataFrame, tables: dict[str, DataFrame], year: int, key: str = "GEO_ID") -> DataFrame:

@@ -1,6 +1,7 @@
 """Lossless staging: any delimited text -> all-string table, with the checks that make it safe."""
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Mapping, Sequence
 
@@ -13,15 +14,25 @@ LEGACY = "windows-1252"
 
 
 def normalize_headers(headers: Sequence[str | None]) -> list[str]:
-    """Lower snake case; blanks become column_N; collisions get __2, __3, ..."""
-    names: list[str] = []
-    for position, header in enumerate(headers, 1):
-        base = re.sub("[^a-z0-9]+", "_", (header or "").strip().lower()).strip("_") or f"column_{position}"
-        name, copies = base, 2
-        while name in names:
-            name, copies = f"{base}__{copies}", copies + 1
-        names.append(name)
-    return names
+    """Column names of lower-case letters, digits and single underscores, all different.
+
+    A header without any of these characters is named after its position. Of headers with the same name the second
+    one gets __2 and so on, passing over names that are taken.
+    """
+    plain = ["_".join(re.findall("[a-z0-9]+", strip_text(h).lower())) for h in headers]
+    plain = [name or f"column_{place}" for place, name in enumerate(plain, 1)]
+    used: set[str] = set()
+
+    def free(name: str) -> str:
+        wanted = next(w for w in itertools.chain([name], (f"{name}__{n}" for n in itertools.count(2))) if w not in used)
+        used.add(wanted)
+        return wanted
+
+    return [free(name) for name in plain]
+
+
+def strip_text(value: str | None) -> str:
+    return (value or "").strip()
 
 
 def choose_encoding(identity: str, source: str, overrides: Mapping[str, str], legacy: Sequence[str]) -> str:
@@ -76,7 +87,8 @@ def stage_csv(spark: SparkSession, path: str, encoding: str = "utf-8", separator
     if drop_blank_tail and headers[-1] == "":
         tail = names[-1]
         # Rows that already lack the trailing delimiter are one field short and are accepted here.
-        fields = F.size(F.split(F.coalesce(F.col(CORRUPT), F.lit("")), separator))
+        outside = re.escape(separator) + '(?=(?:[^"]*"[^"]*")*[^"]*$)'  # a separator within quotes is text
+        fields = F.size(F.split(F.coalesce(F.col(CORRUPT), F.lit("")), outside))
         rows = rows.withColumn(CORRUPT, F.when(fields == len(names) - 1, F.lit(None)).otherwise(F.col(CORRUPT)))
         require_none(rows.where(F.col(tail) != "").select(tail), f"{path}: extra field is not blank")
         names = names[:-1]
@@ -100,17 +112,22 @@ def column_profile(staged: DataFrame) -> DataFrame:
 
 # --- inventory -------------------------------------------------------------------------------
 
-def inventory(spark: SparkSession, root: str, hash_bytes: int = 1 << 30) -> DataFrame:
+# Fixed value: names of road extracts, which are listed without being read.
+ROAD_FILES = r"\.osm\.pbf$"
+
+
+def inventory(spark: SparkSession, root: str, deferred: str = ROAD_FILES) -> DataFrame:
     """source, path, bytes, modified, sha256, hash_status for every file under root/<source>/.
 
-    Files above ``hash_bytes`` are listed but their content is not read.
+    Files whose path matches ``deferred`` are listed but their content is not read. Others are hashed whatever their
+    size; the file source behind this takes files of up to 2 GiB.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     named = files.where(~F.col("path").endswith(".receipt.json") & ~F.col("path").endswith(".part"))
     relative = F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)
     columns = [relative.alias("path"), F.substring_index(relative, "/", 1).alias("source"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified")]
-    hashed = named.where(F.col("length") <= hash_bytes).select(*columns, F.sha2("content", 256).alias("sha256"), F.lit("computed").alias("hash_status"))
-    listed = named.where(F.col("length") > hash_bytes).select(*columns, F.lit(None).cast("string").alias("sha256"), F.lit("deferred").alias("hash_status"))
+    hashed = named.where(~F.col("path").rlike(deferred)).select(*columns, F.sha2("content", 256).alias("sha256"), F.lit("computed").alias("hash_status"))
+    listed = named.where(F.col("path").rlike(deferred)).select(*columns, F.lit(None).cast("string").alias("sha256"), F.lit("deferred").alias("hash_status"))
     return hashed.unionByName(listed)
 
 
@@ -243,10 +260,19 @@ def read_area_file(spark: SparkSession, path: str, key: str = "GEO_ID") -> DataF
     """Pipe-delimited national file cut down to tract and county rows, keys unique."""
     from ..plans.survey import area_rows
 
-    rows = spark.read.options(**_options("utf-8", "|", False)).csv(path, header=True, inferSchema=False)
-    if key not in rows.columns:
+    names = spark.read.options(**_options("utf-8", "|", False)).csv(path, header=True, inferSchema=False).columns
+    if key not in names:
         raise ContractError(f"{path}: no {key}")
-    return area_rows(rows.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in rows.columns]), key)
+    return area_rows(_strict_rows(spark, path, names, "|", header=True), key)
+
+
+def _strict_rows(spark: SparkSession, path: str, names: Sequence[str], separator: str, header: bool) -> DataFrame:
+    """Text columns of a delimited file, blanks as ''; a line with too few or too many fields is an error."""
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
+    rows = spark.read.options(**_options("utf-8", separator, False), mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT).csv(
+        path, header=header, schema=schema)
+    require_none(ragged_rows(rows), f"{path}: wrong number of fields")
+    return rows.select(*[F.coalesce(F.col(n), F.lit("")).alias(n) for n in names])
 
 
 # Columns of a headerless geocoder reply.
@@ -255,8 +281,9 @@ REPLY_COLUMNS = ["id", "input_address", "match_status", "match_type", "matched_a
 
 
 def read_replies(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in REPLY_COLUMNS])
-    return spark.read.options(**_options("utf-8", ",", False)).csv(path, header=False, schema=schema)
+    """Replies of twelve fields each; blanks become null. Any other line is an error."""
+    rows = _strict_rows(spark, path, REPLY_COLUMNS, ",", header=False)
+    return rows.select(*[F.when(F.col(c) != "", F.col(c)).alias(c) for c in REPLY_COLUMNS])
 
 
 def read_geocode_cache(spark: SparkSession, path: str) -> DataFrame:

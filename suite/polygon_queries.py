@@ -146,12 +146,27 @@ def membership(spark, folder):
 
 
 @case("src16_load_designations", """WITH c AS (SELECT c_custkey % 300 AS d, c_custkey FROM customer WHERE c_custkey % 300 % 10 <> 9)
-SELECT lpad(d::varchar, 5, '0') AS designation_id, CASE WHEN d % 4 IN (0, 2) THEN 'mua' ELSE 'mup' END AS designation_kind, (d % 62)::double AS imu_score, count(*)::int AS rings FROM c GROUP BY d""")
+SELECT lpad(d::varchar, 5, '0') AS designation_id, CASE WHEN d % 4 IN (0, 2) THEN 'mua' ELSE 'mup' END AS designation_kind, (d % 62)::double AS imu_score, count(*) AS components FROM c GROUP BY d""")
 def load(spark, folder):
     parts = _rects(spark, folder, "designation", "c_custkey % 300 AS d").selectExpr(
         "concat(' ', lpad(string(d), 5, '0')) AS designation_id", "CASE WHEN d % 10 = 9 THEN 'Withdrawn' ELSE 'Designated ' END AS designation_status", "double(d % 62) AS imu_score", "rings",
         """CASE d % 4 WHEN 0 THEN 'Medically Underserved Area' WHEN 1 THEN 'medically underserved population' WHEN 2 THEN "Medically Underserved Area-Governor's Exception" ELSE "Medically Underserved Population-Governor's Exception" END AS designation_type""")
-    return designations.load_designations(parts).select("designation_id", "designation_kind", "imu_score", F.size("rings").alias("rings"))
+    return designations.dissolved_count(designations.load_designations(parts))
+
+
+@case("src16_sp09_overlapping_components", _OVER.replace("lpad(c_custkey::varchar, 5, '0') AS designation_id, CASE WHEN c_custkey % 2 = 0 THEN 'mua' ELSE 'mup' END AS designation_kind",
+                                                        "lpad((c_custkey % 40)::varchar, 5, '0') AS designation_id, CASE WHEN c_custkey % 2 = 0 THEN 'mua' ELSE 'mup' END AS designation_kind") + """,
+xs AS (SELECT tract_geoid, designation_id, x, lead(x) OVER (PARTITION BY tract_geoid, designation_id ORDER BY x) AS nx FROM (SELECT DISTINCT tract_geoid, designation_id, unnest([a0, a1]) AS x FROM o)),
+ys AS (SELECT tract_geoid, designation_id, y, lead(y) OVER (PARTITION BY tract_geoid, designation_id ORDER BY y) AS ny FROM (SELECT DISTINCT tract_geoid, designation_id, unnest([b0, b1]) AS y FROM o)),
+cells AS (SELECT * FROM xs JOIN ys USING (tract_geoid, designation_id) WHERE nx IS NOT NULL AND ny IS NOT NULL)
+SELECT tract_geoid, designation_id, round(sum((nx - x) * (ny - y)) / 1000000, 3) AS overlap_km2 FROM cells c
+WHERE EXISTS (SELECT 1 FROM o WHERE o.tract_geoid = c.tract_geoid AND o.designation_id = c.designation_id AND a0 <= x AND a1 >= nx AND b0 <= y AND b1 >= ny) GROUP BY 1, 2""")
+def overlapping_components(spark, folder):
+    parts = _rects(spark, folder, "designation", "lpad(string(c_custkey % 40), 5, '0') AS designation_id", "c_custkey").selectExpr(
+        "designation_id", "'Designated' AS designation_status", "double(int(designation_id)) AS imu_score", "rings",
+        "CASE WHEN c_custkey % 2 = 0 THEN 'Medically Underserved Area' ELSE 'Medically Underserved Population' END AS designation_type")
+    links, _ = polygons.overlay(_tracts(spark, folder), designations.load_designations(parts), "tract_geoid")
+    return links.select("tract_geoid", "designation_id", F.round(F.col("overlap_area_m2") / 1e6, 3).alias("overlap_km2"))
 
 
 @case("src15_reference_problems", """WITH t AS (SELECT CASE WHEN s_suppkey % 17 = 3 THEN s_suppkey::varchar ELSE lpad((s_suppkey // 2 * 2)::varchar, 11, '0') END AS g, lpad((s_suppkey // 4)::varchar, 5, '0') AS c, s_suppkey AS k FROM supplier),

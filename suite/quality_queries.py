@@ -135,7 +135,7 @@ anc AS (SELECT c.tab, c.line, a.line AS aline, a.label FROM l c JOIN l a ON a.ta
 SELECT tab AS "table", line, string_agg(label, ' > ' ORDER BY aline) AS label_path FROM anc GROUP BY 1, 2""")
 def label_paths(spark, folder):
     lines = table(spark, folder, "orders").selectExpr("o_custkey AS table", "o_orderkey AS line", "int(o_orderkey * 7 % 5) AS indent", "concat('L', o_orderkey) AS label")
-    return survey.label_paths(lines, depths=5).select("table", "line", "label_path")
+    return survey.label_paths(lines).select("table", "line", "label_path")
 
 
 @case("src14_component_mismatches", """SELECT c_custkey FROM customer WHERE c_custkey % 8 = 3 OR c_custkey % 10 = 9""")

@@ -56,7 +56,7 @@ def filter_all(spark, folder):
 d AS (SELECT * FROM final WHERE {_LOCATED} QUALIFY row_number() OVER (PARTITION BY floor(longitude / 1.25::double), floor(latitude / 1.25::double) ORDER BY stage8_score DESC NULLS LAST, site_id) <= 2)
 SELECT site_id, row_number() OVER (ORDER BY stage8_score DESC NULLS LAST, site_id)::int AS rank, round(stage8_score, 6) AS score FROM d ORDER BY stage8_score DESC NULLS LAST, site_id LIMIT 100""")
 def grid(spark, folder):
-    return serving.top_candidates(role(spark, folder, "final"), zoom=6).select("site_id", "rank", F.round("query_score", 6).alias("score"))
+    return serving.top_candidates(role(spark, folder, "final"), zoom=6, limit=serving.default_limit(6)).select("site_id", "rank", F.round("query_score", 6).alias("score"))
 
 
 @case("wn10_one_per_tract", FINAL + f"""
@@ -83,7 +83,7 @@ _DEFAULT_SCORE_SQL = " + ".join(f"{w!r}::double * coalesce({serving.COMPONENTS[k
 @case("md18_tk02_distance_diversified", FINAL + f""",
 s AS (SELECT *, {_DEFAULT_SCORE_SQL} AS query_score FROM final WHERE {_LOCATED}),
 u AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY coalesce(source_tract_geoid, site_id::varchar) ORDER BY query_score DESC NULLS LAST, site_id) = 1),
-pool AS (SELECT *, row_number() OVER (ORDER BY query_score DESC NULLS LAST, site_id) AS place FROM u ORDER BY place LIMIT 2400),
+pool AS (SELECT *, row_number() OVER (ORDER BY query_score DESC NULLS LAST, site_id) AS place FROM u),
 thresholds AS (SELECT unnest([75.0::double, 56.25, 37.5, 18.75, 7.5, 0.0]) AS t),""" + greedy_sql("pool", "thresholds", 60) + """
 SELECT site_id, rank, round(query_score, 6) AS score FROM picked JOIN pool USING (site_id)""")
 def diversified(spark, folder):
@@ -160,7 +160,7 @@ _POINTS = """WITH f AS (SELECT s_suppkey AS facility_id, CASE WHEN s_suppkey % 4
 SELECT facility_id, coalesce(latitude, fallback_latitude) AS display_latitude, coalesce(longitude, fallback_longitude) AS display_longitude,
   latitude IS NOT NULL AND longitude IS NOT NULL AS counts_for_distance_model FROM f
 WHERE lower(facility_type) = 'hospital' AND coalesce(latitude, fallback_latitude) BETWEEN 26 AND 48 AND coalesce(longitude, fallback_longitude) BETWEEN -120 AND -70
-  AND emergency_services ORDER BY facility_id LIMIT 5000""")
+  AND emergency_services """)
 def hospital_points(spark, folder):
     from .tables import table
     f = table(spark, folder, "supplier").selectExpr(
@@ -175,7 +175,7 @@ def hospital_points(spark, folder):
 @case("md24_md22_population_points", with_roles("demand") + """
 SELECT latitude, longitude, population, round(least(population / 8000.0::double, 1), 6) AS weight,
   round(CASE WHEN coalesce(demand_id % 70, 0) > 30 THEN least(population / 8000.0::double, 1) ELSE 0 END, 6) AS uncovered_weight
-FROM demand WHERE population > 0 AND state_fips = '07' ORDER BY demand_id LIMIT 100000""")
+FROM demand WHERE population > 0 AND state_fips = '07'""")
 def population_points(spark, folder):
     areas = role(spark, folder, "demand").withColumns({
         "geoid": F.concat("state_fips", F.format_string("%09d", "demand_id")), "nearest_hospital_miles": F.expr("cast(demand_id % 70 AS double)")})

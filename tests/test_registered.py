@@ -10,9 +10,13 @@ SOME = ["flagship_ranked_demand", "sp05_radius_totals", "sp10_existing_access",
         "typ02_to_typ12_typed_values", "jn01_alignment", "sp07_point_in_polygon", "adr12_src19_verdicts", "src03_src06_staged_csv"]
 
 
-def test_every_query_has_an_oracle():
+def test_oracles_belong_to_queries_and_the_first_modules_have_one_each():
+    from suite.registry import ORACLES, QUERIES
+
+    entry.queries()
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert len(entry.queries()) > 120
+    assert set(ORACLES) == set(QUERIES)
+    assert len(QUERIES) > 120
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables not present")

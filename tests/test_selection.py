@@ -28,14 +28,14 @@ def greedy(rows, thresholds, limit):
 
 
 @pytest.mark.parametrize("seed,limit", [(1, 12), (2, 40)])
-def test_both_walks_equal_the_greedy_loop(spark, seed, limit):
+def test_blocks_equal_the_greedy_loop(spark, seed, limit):
     rng = np.random.default_rng(seed)
     rows = [(int(i), float(a), float(b)) for i, (a, b) in enumerate(rng.uniform([30, -100], [34, -96], (60, 2)))]
     pool = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "site long, latitude double, longitude double, place int")
     thresholds = [75.0, 40.0, 10.0, 0.0]
     want = greedy(rows, thresholds, limit)
-    for pool_rows in (30_000, 10):
-        got = spread.spread(pool, "site", "place", thresholds, limit, pool_rows=pool_rows).orderBy("pick").collect()
+    for block_rows in (4_000, 7):
+        got = spread.spread(pool, "site", "place", thresholds, limit, block_rows=block_rows).orderBy("pick").collect()
         assert [r["site"] for r in got] == want
         assert [r["pick"] for r in got] == list(range(1, len(want) + 1))
 
