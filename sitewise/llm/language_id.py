@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chars import presence
+from .words import slices
 
 SPECTRUM = (1, 2, 3)
 BITS = 15
@@ -60,7 +61,7 @@ def fit(labelled: DataFrame, label: str = "lang", text: str = "text") -> Kernel
     rows = rows.withColumn("draw", draw).where(F.col("draw") < F.coalesce(share[F.col("label")], F.lit(0.0)))
 
     def pack(batches):
-        for batch in batches:
+        for batch in slices(batches):
             bits = []
             for _, matrix in presence(batch.column("text").to_pylist(), SPECTRUM, BITS):
                 bits += [m.tobytes() for m in np.packbits(matrix, axis=1)]
@@ -102,15 +103,17 @@ def identify(docs: DataFrame, model: Kernel | None, text: str = "text", name: st
     names = docs.columns
 
     def predict(batches):
-        for batch in batches:
-            found = model.scores(batch.column("_text").to_pylist())
+        for batch in slices(batches):
+            found = model.scores(batch.column(body).to_pylist())
             best = found.argmax(1)
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in names], batch.column("_lettered"), pa.array([model.labels[b] for b in best], pa.string()),
                  pa.array(np.clip((found[np.arange(len(best)), best] + 1) / 2, 0, 1))], names=[*names, "_lettered", name, score])
 
     schema = docs.schema.simpleString()[len("struct<"):-1]
-    out = docs.withColumns({"_text": F.col(text).cast("string"), "_lettered": lettered}).mapInArrow(
+    # the text travels once, unless it is no string yet
+    body = text if dict(docs.dtypes)[text] == "string" else "_text"
+    out = docs.withColumns({"_lettered": lettered, body: F.col(text).cast("string")}).mapInArrow(
         predict, f"{schema}, _lettered boolean, {name} string, {score} double")
     return out.withColumns({name: F.when(F.col("_lettered"), F.col(name)).otherwise("und"),
                             score: F.when(F.col("_lettered"), F.col(score)).otherwise(0.0)}).drop("_lettered")

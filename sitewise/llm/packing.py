@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from sitewise.session import settle
 
+from .words import slices
+
 BLOCK_PIECES = 20_000
 # A bin whose gap is at most this share of it is not dissolved.
 FULL_SHARE = 1 / 256
@@ -83,7 +85,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int
     def cut(batches):
         encoder = _encoder(tokenizer)
         tail = np.asarray([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             owner, piece, start, length, crc = [], [], [], [], []
             for i, value in enumerate(batch.column("text")):
                 ids = encoder.encode(value.as_py() or "") + tail

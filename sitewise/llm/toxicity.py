@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chars import buckets, chunks
-from .words import lists
+from .words import lists, slices
 
 SIZES = (3, 4, 5)
 BITS = 18
@@ -61,7 +61,7 @@ def fit(labelled: DataFrame, label: str = "toxic", text: str = "text") -> Toxic
     def count(batches):
         total = np.zeros((2, 1 << BITS), np.int64)
         n = np.zeros(2, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             texts, y = batch.column("text").to_pylist(), batch.column("y").to_numpy(zero_copy_only=False).astype(bool)
             n += [(~y).sum(), y.sum()]
             place = np.arange(1 << BITS)
@@ -92,7 +92,7 @@ def fit(labelled: DataFrame, label: str = "toxic", text: str = "text") -> Toxic
     share = min(1.0, FIT_ROWS / (p + q))
 
     def sample(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             who, what = present(texts, place)
             ends = np.searchsorted(who, np.arange(len(texts) + 1))
@@ -147,7 +147,7 @@ def score(docs: DataFrame, model: Toxic | None, text: str = "text", name: str =
     names = docs.columns
 
     def predict(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("_text").to_pylist()
             who, what = present(texts, model.place)
             z = np.bincount(who, model.weights[what], minlength=len(texts)) + model.bias

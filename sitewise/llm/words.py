@@ -9,7 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 4 << 20
+# Rows of a batch that are worked on at a time, and bytes of their text: what a task holds beside the batch itself.
+SLICE_ROWS = 500
+PIECE_BYTES = 1 << 20
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -99,6 +101,13 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mix(total, wide)
 
 
+def slices(batches):
+    """Arrow batches cut into smaller ones, which share their memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
