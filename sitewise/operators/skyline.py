@@ -1,9 +1,9 @@
 """Rows not dominated on several maximised columns.
 
-Every partition first drops what it can dominate itself. The survivors are then worked off in
-blocks of the highest column sums: a dominator never sorts after what it dominates, so a block's
-own skyline is final, and one pass per block filters the rest. No task ever holds more than its
-partition's current skyline plus one block.
+Every partition first drops what it can dominate itself. The survivors are cut into blocks by their column sums: a
+dominator never has a smaller sum than what it dominates, so each block is compared with itself and the blocks above
+it, all pairs of blocks in parallel. The first block, which dominates most, goes first and alone. No task holds more
+than two blocks, or its partition's current skyline, and no row passes the driver.
 """
 from __future__ import annotations
 
@@ -45,7 +45,7 @@ def _own_skyline(points: np.ndarray) -> np.ndarray:
 
 
 def skyline(df: DataFrame, key: str, columns: Sequence[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """key of every non-dominated row. Nulls count as 0; equal rows are all kept."""
+    """key (unique) of every non-dominated row. Nulls count as 0; equal rows are all kept."""
     columns = list(columns)
     narrow = df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
 
@@ -59,26 +59,24 @@ def skyline(df: DataFrame, key: str, columns: Sequence[str], block_rows: int = B
 
     total = sum((F.col(c) for c in columns), F.lit(0.0))
     rest = settle(narrow.mapInPandas(local, narrow.schema).withColumn("_sum", total))
-    final: DataFrame | None = None
-    while True:
-        ordering = [F.col("_sum").desc(), *[F.col(c).desc() for c in columns], F.col(key)]
-        block = rest.orderBy(*ordering).limit(block_rows).toPandas()
-        if block.empty:
+    for everything in (False, True):
+        blocks = max(1, -(-rest.count() // block_rows))
+        # settled, as the cut into ranges may differ if it is made again
+        placed = settle(rest.repartitionByRange(blocks, F.col("_sum").desc(), *[F.col(c).desc() for c in columns], F.col(key))
+                        .withColumn("_block", F.spark_partition_id()))
+        rivals = placed if everything else placed.where("_block = 0")
+        above = F.sequence(F.lit(0), F.col("_block") if everything else F.lit(0))
+        left = placed.withColumn("_rival", F.explode(above))
+        right = rivals.select(*columns, F.col("_block").alias("_rival"), F.explode(F.sequence("_block", F.lit(blocks - 1))).alias("_block"))
+
+        def beaten(mine, theirs):
+            return mine[[key]][_dominated(mine[columns].to_numpy(), theirs[columns].to_numpy())]
+
+        lost = left.groupBy("_block", "_rival").cogroup(right.groupBy("_block", "_rival")).applyInPandas(beaten, df.select(key).schema)
+        rest = settle(placed.drop("_block").join(lost.distinct(), key, "left_anti"))
+        if blocks == 1:
             break
-        block = block[_own_skyline(block[columns].to_numpy())]
-        found = df.sparkSession.createDataFrame(block[[key]], schema=df.select(key).schema)
-        final = found if final is None else final.unionByName(found)
-        if len(block) and rest.limit(block_rows + 1).count() <= block_rows:
-            break
-        shared = df.sparkSession.sparkContext.broadcast(block[columns].to_numpy())
-
-        def challenge(batches, shared=shared):
-            for batch in batches:
-                yield batch[~_dominated(batch[columns].to_numpy(), shared.value)]
-
-        ids = df.sparkSession.createDataFrame(block[[key]], schema=df.select(key).schema)
-        rest = settle(rest.join(F.broadcast(ids), key, "left_anti").mapInPandas(challenge, rest.schema))
-    return final if final is not None else df.select(key).limit(0)
+    return rest.select(key)
 
 
 def pd_concat(a, b):

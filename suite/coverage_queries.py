@@ -78,15 +78,15 @@ def state_boxes(spark, folder):
 @case("jn12_shortage_flags", """WITH a AS (SELECT lpad(c_custkey::varchar, 11, '0') AS tract, lpad((c_custkey % 300)::varchar, 5, '0') AS county FROM customer)
 SELECT tract, county, (EXISTS (SELECT 1 FROM supplier WHERE s_suppkey % 2 = 0 AND lpad((s_suppkey * 3)::varchar, 11, '0') = tract)
   OR EXISTS (SELECT 1 FROM supplier WHERE s_suppkey % 2 = 1 AND lpad(s_suppkey::varchar, 5, '0') = county)) AS mua, d AS density
-FROM a LEFT JOIN (SELECT lpad(p_partkey::varchar, 11, '0') AS tract, p_retailprice AS d FROM part WHERE p_partkey % 3 <> 0) USING (tract)""")
+FROM a LEFT JOIN (SELECT lpad((p_partkey + CASE WHEN p_partkey % 3 = 0 THEN 90000000 ELSE 0 END)::varchar, 11, '0') AS tract, p_retailprice AS d FROM part) USING (tract)""")
 def shortage(spark, folder):
     areas = table(spark, folder, "customer").selectExpr("lpad(string(c_custkey), 11, '0') AS tract", "lpad(string(c_custkey % 300), 5, '0') AS county")
     parts = table(spark, folder, "supplier").selectExpr(
         "CASE WHEN s_suppkey % 2 = 0 THEN 'Census Tract' ELSE 'Single County' END AS geo_type",
         "string(CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey * 3 ELSE s_suppkey END) AS geo_id")
     flagged = coverage.shortage_flags(areas, parts, "tract", "county", "mua")
-    ruca = table(spark, folder, "part").where("p_partkey % 3 <> 0").selectExpr(
-        "string(p_partkey) AS tract_code", "string(p_size) AS primary_code", "string(p_retailprice) AS pop_density")
+    ruca = table(spark, folder, "part").selectExpr(
+        "string(p_partkey + CASE WHEN p_partkey % 3 = 0 THEN 90000000 ELSE 0 END) AS tract_code", "string(p_size) AS primary_code", "string(p_retailprice) AS pop_density")
     return coverage.with_density(flagged, ruca, "tract").select("tract", "county", "mua", "density")
 
 

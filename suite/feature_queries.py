@@ -107,10 +107,10 @@ def hospital_points(spark, folder):
     return catchment.hospital_points(facilities).select("facility_id", "bed_count", "emergency_services")
 
 
-@case("jn07_shortlist_join", """SELECT c_custkey AS tract_geoid, c_acctbal AS population, s_acctbal AS stage6a_score FROM customer JOIN supplier ON s_suppkey = c_custkey WHERE s_acctbal > 0""")
+@case("jn07_shortlist_join", """SELECT c_custkey AS tract_geoid, c_acctbal AS population, s_acctbal AS stage6a_score FROM customer JOIN supplier ON s_suppkey = c_custkey""")
 def shortlist_join(spark, folder):
     areas = table(spark, folder, "customer").selectExpr("c_custkey AS tract_geoid", "c_acctbal AS population")
-    shortlist = table(spark, folder, "supplier").where("s_acctbal > 0").selectExpr("s_suppkey AS tract_geoid", "s_acctbal AS stage6a_score", "s_nationkey")
+    shortlist = table(spark, folder, "supplier").selectExpr("s_suppkey AS tract_geoid", "s_acctbal AS stage6a_score", "s_nationkey")
     return screen.shortlist_sites(areas, shortlist, "tract_geoid", ["stage6a_score"])
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sitewise.functions import parsing
 from sitewise.operators import checks
 from sitewise.plans import align, survey, typing
 
@@ -151,26 +152,27 @@ _ASSEMBLY = """WITH g AS (SELECT '1400000US' || lpad(c_custkey::varchar, 11, '0'
 
 
 @case("jn04_survey_assembly", _ASSEMBLY + """
-SELECT lpad(k::varchar, 11, '0') AS tract_geoid, CASE WHEN k % 3 <> 0 THEN k * 2.0::double END AS a, k % 3 <> 0 AS a_present, CASE WHEN k % 4 <> 0 THEN k * 3.0::double END AS b, k % 4 <> 0 AS b_present,
-  2019 AS first_year, 2023 AS last_year FROM g""")
+SELECT lpad(g.k::varchar, 11, '0') AS tract_geoid, a.v AS a, a.v IS NOT NULL AS a_present, b.v AS b, b.v IS NOT NULL AS b_present,
+  2019 AS first_year, 2023 AS last_year FROM g LEFT JOIN (SELECT max(k) AS k, sum(k)::double AS v FROM g GROUP BY k // 3) a ON a.k = g.k
+  LEFT JOIN (SELECT max(k) AS k, sum(k)::double AS v FROM g GROUP BY k // 4) b ON b.k = g.k""")
 def assembly(spark, folder):
     geo = table(spark, folder, "customer").selectExpr("concat('1400000US', lpad(string(c_custkey), 11, '0')) AS GEO_ID", "c_custkey AS k")
-    a = geo.where("k % 3 <> 0").selectExpr("GEO_ID", "k * 2D AS a")
-    b = geo.where("k % 4 <> 0").selectExpr("GEO_ID", "k * 3D AS b")
+    a = geo.groupBy(F.expr("k div 3")).agg(F.max("GEO_ID").alias("GEO_ID"), F.sum("k").cast("double").alias("a")).select("GEO_ID", "a")
+    b = geo.groupBy(F.expr("k div 4")).agg(F.max("GEO_ID").alias("GEO_ID"), F.sum("k").cast("double").alias("b")).select("GEO_ID", "b")
     tracts, _ = survey.split_areas(survey.assemble(survey.area_rows(geo), {"b01001": a, "b17001": b}, 2023))
     return tracts.selectExpr("tract_geoid", "a", "acs_b01001_record_present AS a_present", "b", "acs_b17001_record_present AS b_present",
                              "acs_period_start AS first_year", "acs_period_end AS last_year")
 
 
 _ENRICH = """WITH b AS (SELECT lpad((c_nationkey * 1000000000 + c_custkey)::varchar, 11, '0') AS geoid FROM customer),
-a AS (SELECT lpad((c_nationkey * 1000000000 + c_custkey)::varchar, 11, '0') AS geoid, c_acctbal AS value FROM customer WHERE c_custkey % 6 <> 0
+a AS (SELECT lpad((c_nationkey * 1000000000 + c_custkey + CASE WHEN c_custkey % 6 = 0 THEN 700000000 ELSE 0 END)::varchar, 11, '0') AS geoid, c_acctbal AS value FROM customer
   UNION ALL SELECT lpad((s_nationkey * 1000000000 + 500000000 + s_suppkey)::varchar, 11, '0'), s_acctbal FROM supplier)"""
 
 
 def _enriched(spark, folder):
     customer, supplier = table(spark, folder, "customer"), table(spark, folder, "supplier")
     base = customer.selectExpr("lpad(string(c_nationkey * 1000000000L + c_custkey), 11, '0') AS tract_geoid")
-    attributes = customer.where("c_custkey % 6 <> 0").selectExpr("lpad(string(c_nationkey * 1000000000L + c_custkey), 11, '0') AS tract_geoid", "c_acctbal AS value").unionByName(
+    attributes = customer.selectExpr("lpad(string(c_nationkey * 1000000000L + c_custkey + CASE WHEN c_custkey % 6 = 0 THEN 700000000 ELSE 0 END), 11, '0') AS tract_geoid", "c_acctbal AS value").unionByName(
         supplier.selectExpr("lpad(string(s_nationkey * 1000000000L + 500000000 + s_suppkey), 11, '0') AS tract_geoid", "s_acctbal AS value"))
     return survey.enrich(base, attributes, "tract_geoid", 11)
 
@@ -189,7 +191,7 @@ def unmatched(spark, folder):
     return missing.withColumn("side", F.lit("without_attributes")).unionByName(unused.withColumn("side", F.lit("without_reference")))
 
 
-_ALIGN = """WITH base AS (SELECT lpad(c_nationkey::varchar, 2, '0') || lpad(c_custkey::varchar, 9, '0') AS geoid, lpad(c_nationkey::varchar, 2, '0') AS st FROM customer WHERE c_nationkey < 20),
+_ALIGN = """WITH base AS (SELECT st || lpad(c_custkey::varchar, 9, '0') AS geoid, st FROM (SELECT c_custkey, lpad((c_nationkey + CASE WHEN c_nationkey >= 20 THEN 40 ELSE 0 END)::varchar, 2, '0') AS st FROM customer)),
 src AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 0 THEN 'bad' || p_partkey WHEN c.c_custkey IS NULL THEN lpad((p_partkey % 30)::varchar, 2, '0') || lpad((p_partkey + 500000000)::varchar, 9, '0')
       ELSE lpad(c_nationkey::varchar, 2, '0') || lpad(c_custkey::varchar, 9, '0') END AS raw, p_size FROM part LEFT JOIN customer c ON c_custkey = p_partkey),
 x AS (SELECT *, CASE WHEN id % 10 = 1 AND EXISTS (SELECT 1 FROM base WHERE geoid = raw) THEN 'moved' END AS moved FROM src),
@@ -199,7 +201,9 @@ m AS (SELECT *, regexp_full_match(raw, '[0-9]{11}') AS valid, EXISTS (SELECT 1 F
 def _alignment(spark, folder):
     customer = table(spark, folder, "customer")
     geoid = F.concat(F.lpad(F.col("c_nationkey").cast("string"), 2, "0"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))
-    base = customer.where("c_nationkey < 20").select(geoid.alias("tract_geoid"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0").alias("state_fips"))
+    # the last states of the base have other codes than in the source
+    state = F.expr("lpad(string(c_nationkey + CASE WHEN c_nationkey >= 20 THEN 40 ELSE 0 END), 2, '0')")
+    base = customer.select(F.concat(state, F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("tract_geoid"), state.alias("state_fips"))
     source = table(spark, folder, "part").join(customer, F.col("c_custkey") == F.col("p_partkey"), "left").select(
         "p_partkey", "p_size", F.when(F.col("p_partkey") % 10 == 0, F.concat(F.lit("bad"), "p_partkey")).when(
             F.col("c_custkey").isNull(), F.concat(F.lpad((F.col("p_partkey") % 30).cast("string"), 2, "0"), F.lpad((F.col("p_partkey") + 500000000).cast("string"), 9, "0"))
@@ -262,3 +266,11 @@ def set_operations(spark, folder):
     b = table(spark, folder, "supplier").selectExpr("s_nationkey AS n", "'SUPPLIER' AS seg")
     banned = table(spark, folder, "supplier").where("s_suppkey % 5 = 0").selectExpr("s_nationkey AS n")
     return a.unionByName(b).distinct().join(banned, "n", "left_anti")
+
+
+@case("typ03_typ09_white_space", """SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_size::bigint END AS value, CASE WHEN p_partkey % 4 = 0 THEN 'blank' ELSE 'present' END AS status FROM part""")
+def white_space(spark, folder):
+    cell = F.expr("CASE p_partkey % 4 WHEN 0 THEN '\\t\\u00A0\\n' WHEN 1 THEN concat(string(p_size), '\\t') WHEN 2 THEN concat('\\u00A0', string(p_size), '\\u2003') ELSE concat(string(p_size), '\\u3000 ') END")
+    rows = table(spark, folder, "part").select("p_partkey", cell.alias("size"))
+    parsed = parsing.parsed_cells(rows, {"size": parsing.Rule(type="int64")})
+    return parsed.select("p_partkey", F.col("size.value").alias("value"), F.col("size.status").alias("status"))

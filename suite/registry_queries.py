@@ -97,12 +97,16 @@ def answers(spark, folder):
     return registry.apply_answers(facilities, cache).select("facility_id", "geocode_status", "geocode_method", "longitude", "latitude")
 
 
-@case("reg09_reply_problems", """SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN 'omitted' WHEN p_partkey % 10 = 9 THEN 'not requested' ELSE 'duplicate' END AS problem FROM part
-WHERE (p_partkey % 7 = 0 AND p_partkey % 10 <> 9) OR (p_partkey % 10 = 9 AND p_partkey % 7 <> 0) OR (p_partkey % 11 = 0 AND p_partkey % 7 <> 0 AND p_partkey % 10 <> 9)""")
+@case("reg09_reply_problems", """WITH asked AS (SELECT p_partkey + CASE WHEN p_partkey % 10 = 9 THEN 10000000 ELSE 0 END AS id FROM part),
+back AS (SELECT p_partkey + CASE WHEN p_partkey % 7 = 0 THEN 20000000 ELSE 0 END AS id, CASE WHEN p_partkey % 11 = 0 THEN 2 ELSE 1 END AS n FROM part)
+SELECT id, 'omitted' AS problem FROM asked WHERE id NOT IN (SELECT id FROM back) UNION ALL SELECT id, 'not requested' FROM back WHERE id NOT IN (SELECT id FROM asked)
+UNION ALL SELECT id, 'duplicate' FROM back WHERE n > 1 AND id IN (SELECT id FROM asked)""")
 def reply_problems(spark, folder):
-    part = table(spark, folder, "part").selectExpr("p_partkey AS id")
-    back = part.where("id % 7 <> 0")
-    return registry.reply_problems(part.where("id % 10 <> 9"), back.unionByName(back.where("id % 11 = 0")), "id")
+    part = table(spark, folder, "part")
+    asked = part.selectExpr("p_partkey + CASE WHEN p_partkey % 10 = 9 THEN 10000000 ELSE 0 END AS id")
+    back = part.selectExpr("p_partkey + CASE WHEN p_partkey % 7 = 0 THEN 20000000 ELSE 0 END AS id",
+                           "explode(sequence(1, CASE WHEN p_partkey % 11 = 0 THEN 2 ELSE 1 END)) AS n").select("id")
+    return registry.reply_problems(asked, back, "id")
 
 
 @case("ag01_area_counts", """WITH f AS (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_partkey % 120 END AS area, p_partkey % 3 <> 0 AS hospital, CASE WHEN p_partkey % 4 = 0 OR p_partkey % 120 < 12 THEN NULL ELSE p_size::double END AS beds FROM part)
@@ -234,7 +238,7 @@ _PROVIDERS = """CASE p_partkey % 6 WHEN 0 THEN '12' WHEN 1 THEN '21' WHEN 2 THEN
 
 @case("adr09_facility_set", f"""WITH p AS (SELECT p_partkey AS k, p_name, {_PROVIDERS} FROM part),
 t AS (SELECT *, CASE WHEN category = '01' THEN CASE subtype WHEN '01' THEN 'Acute Care Hospitals' WHEN '11' THEN 'Critical Access Hospitals' WHEN '06' THEN 'Childrens' END WHEN category = '21' THEN 'Federally Qualified Health Center' WHEN category = '12' THEN 'Rural Health Clinic' END AS ty FROM p),
-h AS (SELECT p_partkey + p_partkey % 3 * 10000000 AS k, p_brand FROM part WHERE p_partkey % 9 = 0)
+h AS (SELECT p_partkey + CASE WHEN p_partkey % 9 = 0 THEN p_partkey % 3 ELSE 5 END * 10000000 AS k, p_brand FROM part)
 SELECT k AS ccn, CASE WHEN h.p_brand IS NOT NULL OR category = '01' THEN 'hospital' ELSE 'other' END AS facility_class, coalesce(h.p_brand, p_name) AS name,
   CASE WHEN h.p_brand IS NOT NULL THEN 'VA' ELSE ty END AS type, h.p_brand IS NOT NULL AS in_hgi, coalesce(active AND ty IS NOT NULL, false) AS in_pos_active
 FROM t FULL JOIN h USING (k) WHERE h.p_brand IS NOT NULL OR (active AND ty IS NOT NULL)""")
@@ -243,7 +247,7 @@ def facility_set(spark, folder):
     providers = part.selectExpr(
         "p_partkey AS ccn", "p_name AS name", "'TX' AS state", "CASE p_partkey % 6 WHEN 0 THEN '12' WHEN 1 THEN '21' WHEN 2 THEN '33' ELSE '01' END AS category",
         "CASE p_partkey % 4 WHEN 0 THEN '01' WHEN 1 THEN '11' WHEN 2 THEN '20' ELSE '06' END AS subtype", "p_partkey % 5 <> 0 AS active", "'' AS county_fips", "p_size AS beds")
-    general = part.where("p_partkey % 9 = 0").selectExpr("p_partkey + p_partkey % 3 * 10000000 AS ccn", "p_brand AS name", "'TX' AS state", "'VA' AS hospital_type", "'' AS county")
+    general = part.selectExpr("p_partkey + CASE WHEN p_partkey % 9 = 0 THEN p_partkey % 3 ELSE 5 END * 10000000 AS ccn", "p_brand AS name", "'TX' AS state", "'VA' AS hospital_type", "'' AS county")
     return addresses.facility_set(providers, general).select("ccn", "facility_class", "name", "type", "in_hgi", "in_pos_active")
 
 
@@ -257,15 +261,16 @@ def modal_fips(spark, folder):
 def _candidates(spark, folder):
     part = table(spark, folder, "part")
     def source(name, keep, street):
-        return part.where(keep).selectExpr("p_partkey % 700 AS ccn", f"'{name}' AS source", f"{street} AS street", "' town ' AS city", "'TX' AS state", "string(p_partkey % 700) AS zip")
+        facility = f"p_partkey % 700 + CASE WHEN {keep} THEN 0 ELSE 1000 END"  # the others have facilities of their own
+        return part.selectExpr(f"{facility} AS ccn", f"'{name}' AS source", f"{street} AS street", "' town ' AS city", "'TX' AS state", f"string({facility}) AS zip")
     return addresses.candidate_addresses([
         source("hgi", "p_partkey % 2 = 0", "concat(p_partkey % 700, ' Main St Suite 3')"), source("pos", "p_partkey % 3 = 0", "concat(p_partkey % 700, ' main st')"),
         source("enrollment", "p_partkey % 5 = 0", "CASE WHEN p_partkey % 10 = 0 THEN 'PO BOX 9' ELSE concat(p_partkey % 40, ' Oak Ave') END")])
 
 
-_CANDIDATES = """WITH r AS (SELECT p_partkey % 700 AS ccn, 0 AS o, 'hgi' AS source, (p_partkey % 700) || ' MAIN ST' AS street FROM part WHERE p_partkey % 2 = 0
-  UNION ALL SELECT p_partkey % 700, 1, 'pos', (p_partkey % 700) || ' MAIN ST' FROM part WHERE p_partkey % 3 = 0
-  UNION ALL SELECT p_partkey % 700, 2, 'enrollment', (p_partkey % 40) || ' OAK AVE' FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 10 <> 0),
+_CANDIDATES = """WITH r AS (SELECT p_partkey % 700 + CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 1000 END AS ccn, 0 AS o, 'hgi' AS source, (p_partkey % 700) || ' MAIN ST' AS street FROM part
+  UNION ALL SELECT p_partkey % 700 + CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1000 END, 1, 'pos', (p_partkey % 700) || ' MAIN ST' FROM part
+  UNION ALL SELECT p_partkey % 700 + CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE 1000 END, 2, 'enrollment', (p_partkey % 40) || ' OAK AVE' FROM part WHERE p_partkey % 10 <> 0),
 u AS (SELECT ccn, street, arg_min(source, o) AS source, lpad(ccn::varchar, 5, '0') AS zip FROM r GROUP BY 1, 2)"""
 
 

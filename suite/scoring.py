@@ -3,11 +3,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sitewise.operators import ranking
 from sitewise.plans import scenarios, services
 from sitewise.session import settle
 
 from .registry import case
-from .tables import role, with_roles
+from .tables import role, table, with_roles
 
 
 def _text(v):
@@ -188,3 +189,14 @@ def best_row(spark, folder):
         F.format_string("T%06d", F.expr("c_custkey % 400")).alias("tract_geoid")).agg(F.expr("min(c_custkey % 53)").alias("poverty_pct"))
     return services.attach_demographics(best, areas).select(
         "site_id", "configuration_id", F.round("overall_score", 6).alias("overall_score"), "source_poverty_pct")
+
+
+@case("wn04_wn05_null_states", """WITH c AS (SELECT c_custkey, c_acctbal, CASE WHEN c_nationkey % 5 <> 0 THEN c_nationkey END AS state FROM customer)
+SELECT c_custkey, row_number() OVER (PARTITION BY state ORDER BY c_acctbal DESC, c_custkey)::int AS state_rank,
+  round((rank() OVER (PARTITION BY state ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY state, c_acctbal) - 1) / 2.0::double) / count(*) OVER (PARTITION BY state), 6) AS percentile FROM c""")
+def null_states(spark, folder):
+    """Rows without a state are a group of their own and none is lost."""
+    rows = table(spark, folder, "customer").selectExpr("c_custkey", "c_acctbal", "CASE WHEN c_nationkey % 5 <> 0 THEN c_nationkey END AS state")
+    ranked = ranking.add_rank(rows, "c_custkey", [("c_acctbal", True), ("c_custkey", False)], "state_rank", groups=["state"])
+    return ranking.add_percentiles(ranked, "c_custkey", {"percentile": F.col("c_acctbal")}, groups=["state"]).select(
+        "c_custkey", "state_rank", F.round("percentile", 6).alias("percentile"))

@@ -99,11 +99,12 @@ def inventory(spark, folder):
 
 
 @case("src12_changed_inputs", """SELECT p_partkey AS path, CASE WHEN p_partkey % 10 = 1 THEN 'removed' WHEN p_partkey % 10 = 2 THEN 'added' ELSE 'changed' END AS change
-FROM part WHERE p_partkey % 10 IN (1, 2, 3, 4)""")
+FROM part WHERE p_partkey % 10 IN (1, 2, 3, 4) UNION ALL SELECT p_partkey + 10000000, CASE WHEN p_partkey % 10 = 2 THEN 'removed' ELSE 'added' END FROM part WHERE p_partkey % 10 IN (1, 2)""")
 def changed(spark, folder):
     files = table(spark, folder, "part").selectExpr("p_partkey AS path", "p_size AS bytes", "p_retailprice AS modified")
-    after = files.where("path % 10 <> 1").selectExpr("path", "CASE WHEN path % 10 = 3 THEN bytes + 1 ELSE bytes END AS bytes", "CASE WHEN path % 10 = 4 THEN modified + 1 ELSE modified END AS modified")
-    return staging.changed_inputs(files.where("path % 10 <> 2"), after)
+    # moved before or after: one path is gone and another one new
+    after = files.selectExpr("CASE WHEN path % 10 = 1 THEN path + 10000000 ELSE path END AS path", "CASE WHEN path % 10 = 3 THEN bytes + 1 ELSE bytes END AS bytes", "CASE WHEN path % 10 = 4 THEN modified + 1 ELSE modified END AS modified")
+    return staging.changed_inputs(files.withColumn("path", F.expr("CASE WHEN path % 10 = 2 THEN path + 10000000 ELSE path END")), after)
 
 
 @case("src01_missing_sources", """SELECT DISTINCT n_name AS source, 'Source has no inputs' AS error FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)
