@@ -112,7 +112,7 @@ def percentile_scores(df: DataFrame, key: str, scores: Mapping[str, Column], gro
     rank = (F.col("below") + (F.col("rows") + 1) / 2) / F.col("group_rows")
     if policy == "half_constant":
         rank = F.when(F.col("group_entries") <= 1, F.lit(0.5)).otherwise(rank)
-    table = ladder.select(*groups, "metric", "value", "rows", rank.alias("score"))
+    table = settle(ladder.select(*groups, "metric", "value", "rows", rank.alias("score")))  # counted and read several times
     ranked = (
         lookup_by_value(cells, table, [*groups, "metric", "value"], "rows")
         .groupBy(key).agg(*[F.max(F.when(F.col("metric") == name, F.col("score"))).alias(name) for name in names])

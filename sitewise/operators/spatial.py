@@ -65,14 +65,14 @@ def _copied_to_cells(df: DataFrame, prefix: str, size: float, reach: float) -> D
 CELL = ["cx", "cy", "cz"]
 
 
-def _crowded_cells(left: DataFrame, right: DataFrame, crowded_rows: int) -> tuple[DataFrame, int, int]:
+def _crowded_cells(left: DataFrame, right: DataFrame, crowded_rows: int, keys: Sequence[str] = CELL) -> tuple[DataFrame, int, int]:
     """Cells where either side is crowded, how many there are, and the threshold that was used.
 
     The threshold rises until the table is small enough to broadcast."""
     counts = (
-        left.groupBy(*CELL).agg(F.count("*").alias("l"), F.lit(0).cast("long").alias("r"))
-        .unionByName(right.groupBy(*CELL).agg(F.lit(0).cast("long").alias("l"), F.count("*").alias("r")))
-        .groupBy(*CELL).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+        left.groupBy(*keys).agg(F.count("*").alias("l"), F.lit(0).cast("long").alias("r"))
+        .unionByName(right.groupBy(*keys).agg(F.lit(0).cast("long").alias("l"), F.count("*").alias("r")))
+        .groupBy(*keys).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
         .where((F.col("l") > 0) & (F.col("r") > 0))
     )
     limit = crowded_rows
@@ -84,24 +84,24 @@ def _crowded_cells(left: DataFrame, right: DataFrame, crowded_rows: int) -> tupl
         limit *= 4
 
 
-def _cell_join(left: DataFrame, right: DataFrame, crowded_rows: int) -> DataFrame:
+def _cell_join(left: DataFrame, right: DataFrame, crowded_rows: int, keys: Sequence[str] = CELL) -> DataFrame:
     """Equi-join on the cell. Crowded cells are cut into a grid of (left part, right part)."""
-    hot, found, limit = _crowded_cells(left, right, crowded_rows)
+    hot, found, limit = _crowded_cells(left, right, crowded_rows, keys)
     if found == 0:
-        return _joined(left, right, CELL)
+        return _joined(left, right, keys)
     parts = F.broadcast(hot.select(
-        *CELL, F.ceil(F.col("l") / limit).cast("int").alias("_lp"), F.ceil(F.col("r") / limit).cast("int").alias("_rp")))
+        *keys, F.ceil(F.col("l") / limit).cast("int").alias("_lp"), F.ceil(F.col("r") / limit).cast("int").alias("_rp")))
 
     def cut(df: DataFrame, own: str, other: str, own_part: str, other_part: str) -> DataFrame:
         # The part is a hash of the row, so a retried task puts every row where it was before.
-        columns = [c for c in df.columns if c not in CELL]
+        columns = [c for c in df.columns if c not in keys]
         return (
-            df.join(parts, CELL, "left")
+            df.join(parts, list(keys), "left")
             .withColumn(own_part, F.pmod(F.xxhash64(*columns), F.coalesce(F.col(own), F.lit(1))).cast("int"))
             .withColumn(other_part, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)))
             .drop("_lp", "_rp"))
 
-    return _joined(cut(left, "_lp", "_rp", "_li", "_ri"), cut(right, "_rp", "_lp", "_ri", "_li"), [*CELL, "_li", "_ri"]).drop("_li", "_ri")
+    return _joined(cut(left, "_lp", "_rp", "_li", "_ri"), cut(right, "_rp", "_lp", "_ri", "_li"), [*keys, "_li", "_ri"]).drop("_li", "_ri")
 
 
 def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -115,15 +115,17 @@ def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
 def radius_pairs(left: DataFrame, right: DataFrame, miles: float, *,
                  left_at: Sequence[str] = ("latitude", "longitude"),
                  right_at: Sequence[str] = ("to_latitude", "to_longitude"),
-                 reach: Column | None = None, distance: str = "miles",
+                 reach: Column | None = None, distance: str = "miles", same: Sequence[str] = (),
                  radius: float = EARTH_MILES, crowded_rows: int = CROWDED_ROWS) -> DataFrame:
     """Every (left, right) pair within ``miles``, with its great-circle distance.
 
+    ``same`` names columns of both sides that have to be equal as well; they are part of the join's key.
+
     ``reach`` is an optional per-left-row radius below ``miles``. Column names of the two sides
     must not overlap. ``right`` is the side that is copied to neighbouring cells: pass the smaller
     or narrower one. Aggregate the result per left row right away.
     """
-    overlap = set(left.columns) & set(right.columns)
+    overlap = set(left.columns) & set(right.columns) - set(same)
     if overlap:
         raise ValueError(f"Columns on both sides: {sorted(overlap)}")
     chord = chord_of(miles, radius)
@@ -133,7 +135,7 @@ def radius_pairs(left: DataFrame, right: DataFrame, miles: float, *,
     right = _copied_to_cells(_on_sphere(right, right_at, "_r"), "_r", size, chord)
     scratch = [f"_{s}{t}" for s in "lr" for t in "xyz"] + CELL + ["_in2"]
     return (
-        _cell_join(left, right, crowded_rows)
+        _cell_join(left, right, crowded_rows, [*CELL, *same])
         .where(_chord2("_l", "_r") <= F.col("_in2"))
         .withColumn(distance, haversine(left_at[0], left_at[1], right_at[0], right_at[1], radius))
         .drop(*scratch)

@@ -169,6 +169,13 @@ def overlapping_components(spark, folder):
     return links.select("tract_geoid", "designation_id", F.round(F.col("overlap_area_m2") / 1e6, 3).alias("overlap_km2"))
 
 
+@case("src16_designations_without_record", """SELECT DISTINCT lpad((c_custkey % 300)::varchar, 5, '0') AS designation_id FROM customer WHERE c_custkey % 300 NOT IN (SELECT s_suppkey FROM supplier)""")
+def without_record(spark, folder):
+    shapes = _rects(spark, folder, "designation", "lpad(string(c_custkey % 300), 5, '0') AS designation_id")
+    records = spark.read.parquet(f"{folder}/supplier.parquet").selectExpr("lpad(string(s_suppkey), 5, '0') AS designation_id")
+    return designations.without_record(shapes, records)
+
+
 @case("src15_reference_problems", """WITH t AS (SELECT CASE WHEN s_suppkey % 17 = 3 THEN s_suppkey::varchar ELSE lpad((s_suppkey // 2 * 2)::varchar, 11, '0') END AS g, lpad((s_suppkey // 4)::varchar, 5, '0') AS c, s_suppkey AS k FROM supplier),
 c AS (SELECT DISTINCT c FROM t WHERE k % 8 < 4)
 SELECT 'malformed_tract' AS "check", count(*) FILTER (k % 17 = 3) AS violations FROM t UNION ALL SELECT 'malformed_county', 0 UNION ALL SELECT 'duplicate_tract', count(*) FROM (SELECT g FROM t GROUP BY 1 HAVING count(*) > 1)

@@ -98,6 +98,16 @@ def meta(spark, folder):
     return serving.result_meta(top, 40)
 
 
+@case("md18_tk02_search_meta", FINAL + f"""
+SELECT least(60, count(DISTINCT coalesce(source_tract_geoid, site_id::varchar))) AS count, count(DISTINCT coalesce(source_tract_geoid, site_id::varchar)) >= 60 AS truncated,
+  'tract_then_great_circle' AS diversification_method, 40.0::double AS initial_separation_miles, count(*) AS ranked_pool_size
+FROM final WHERE {_LOCATED} AND lpad(state_fips, 2, '0') = '05'""")
+def search_meta(spark, folder):
+    final, where = role(spark, folder, "final"), CandidateFilter(state="5")
+    ranked = serving.scored_candidates(final, where, F.col("stage8_score"))
+    return serving.search_meta(serving.top_candidates(final, where, limit=60), ranked, 60, where)
+
+
 @case("ag02_national_summary", FINAL + """
 SELECT count(*) AS sites, count(DISTINCT state_fips) AS states, count(*) FILTER (coalesce(routing_refined, false)) AS routing_refined_sites,
   round(avg(stage8_score), 6) AS mean_score, max(stage8_score) AS max_score, round(avg(proposed_beds), 6) AS mean_beds, round(avg(recommended_service_count), 6) AS mean_services FROM final""")
