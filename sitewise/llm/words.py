@@ -112,8 +112,10 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def lists(parts: list[np.ndarray]) -> pa.Array:
-    """One Arrow list of longs per part."""
-    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))
+def lists(parts: list[np.ndarray | None]) -> pa.Array:
+    """One Arrow list of longs per part; null for None."""
+    filled = [np.zeros(0, np.int64) if p is None else p for p in parts]
+    ends = np.cumsum([0, *map(len, filled)]).astype(np.int32)
+    flat = np.concatenate(filled) if filled else np.zeros(0, np.int64)
+    missing = pa.array([p is None for p in parts], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()), mask=missing)
