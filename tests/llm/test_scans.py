@@ -101,3 +101,11 @@ def test_families_are_found_and_confirmed(licensed):
 def test_licences_without_documents(no_docs):
     assert find_licences(no_docs).count() == 0
     assert len({f for f, _ in TEMPLATES}) > 8
+
+
+def test_common_notices_are_reported(spark):
+    """A third of the documents have a varying footer; its words stay cues, and each is reported."""
+    rows = [(i, f"plain line {i} about the deeds of others\n" + (f"(c) {1990 + i % 30} Maker{i}. All rights reserved." if i % 3 == 0 else f"another line {i}"))
+            for i in range(300)]
+    got = {(r["doc_id"], r["paragraph"]) for r in find_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, 1) for i in range(0, 300, 3)}
