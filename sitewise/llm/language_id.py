@@ -11,9 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitewise.session import settle
+
 from .chars import presence
 from .words import slices
 
@@ -22,7 +24,7 @@ BITS = 15
 # Training texts and landmarks per language, the bound of the fit: 4 kB each reach the driver.
 FIT_PER_LABEL = 600
 LANDMARKS_PER_LABEL = 24
-# All languages together.
+# All languages together; more languages than that have one text and one landmark each.
 FIT_ROWS = 12_000
 LANDMARK_ROWS = 480
 RIDGE = 1e-3
@@ -47,18 +49,22 @@ class Kernel:
 
 
 def fit(labelled: DataFrame, label: str = "lang", text: str = "text") -> Kernel | None:
-    """Fit on at most FIT_PER_LABEL rows of each label, taken by the hash of their text; null labels and texts are
-    left out. None if no label is there."""
+    """Fit on at most FIT_PER_LABEL different texts of each label, those with the smallest hashes; copies count once,
+    and labels with fewer texts give all. Null labels and texts are left out. None if no label is there."""
     rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("label")).where(
         "label is not null and text is not null")
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(LANDMARK_ROWS).collect()}
-    if not sizes:
+    draw = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
+    rows = rows.withColumn("draw", draw)
+    # hashes only: no group of copies is larger than one row after this
+    texts = settle(rows.select("label", "draw").distinct())
+    count = texts.select("label").distinct().count()
+    if not count:
         return None
-    per = max(1, min(FIT_PER_LABEL, FIT_ROWS // len(sizes)))
-    # a share of each label that gives about per rows; frames are cut to per rows on arrival
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, 1.2 * per / n)))])
-    draw = (F.xxhash64("text").bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30))
-    rows = rows.withColumn("draw", draw).where(F.col("draw") < F.coalesce(share[F.col("label")], F.lit(0.0)))
+    per = max(1, min(FIT_PER_LABEL, FIT_ROWS // count))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("draw"))
+    drawn = settle(texts.withColumn("_n", place).where(F.col("_n") <= per).drop("_n"))
+    small = count * per <= max(FIT_ROWS, LANDMARK_ROWS)
+    rows = rows.join(F.broadcast(drawn) if small else drawn, ["label", "draw"]).dropDuplicates(["label", "draw"])
 
     def pack(batches):
         for batch in slices(batches):
@@ -67,8 +73,8 @@ def fit(labelled: DataFrame, label: str = "lang", text: str = "text") -> Kernel
                 bits += [m.tobytes() for m in np.packbits(matrix, axis=1)]
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("draw"), pa.array(bits, pa.binary())], names=["label", "draw", "bits"])
 
-    got = rows.mapInArrow(pack, "label string, draw double, bits binary").toPandas().sort_values(["label", "draw", "bits"])
-    got = got.groupby("label").head(per).drop_duplicates(["label", "bits"])
+    got = rows.mapInArrow(pack, "label string, draw long, bits binary").toPandas().sort_values(["label", "draw", "bits"])
+    got = got.drop_duplicates(["label", "bits"])
     if got.empty:
         return None
     labels = sorted(got["label"].unique())

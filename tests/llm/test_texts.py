@@ -144,6 +144,20 @@ def test_languages_held_out(spark, odd_docs, no_docs):
     assert language_id.identify(odd_docs, None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_copies_and_many_languages_leave_none_out(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "FIT_PER_LABEL", 10)
+    rows = [("fr", f"{k} le chien et la maison") for k in "abc" for _ in range(150)]
+    rows += [("en", f"the cat and the house {i}") for i in range(40)] + [("en", "the cat " * 3)] * 200
+    rows += [("de", "nichts dabei")]
+    model = language_id.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert model.labels == ["de", "en", "fr"] and model.landmarks.shape[1] == 1 + 10 + 3
+    monkeypatch.setattr(language_id, "LANDMARK_ROWS", 5)
+    monkeypatch.setattr(language_id, "FIT_ROWS", 5)
+    names = [f"x{i:02}" for i in range(12)]
+    many = spark.createDataFrame([(g, f"{g} {g[::-1]}") for g in names for _ in range(2)], "lang string, text string")
+    assert language_id.fit(many).labels == names
+
+
 def test_toxicity_held_out(spark, odd_docs, no_docs):
     rng = random.Random(5)
     plain = "one two three four five six seven eight nine ten".split()
