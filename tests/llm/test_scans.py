@@ -109,3 +109,16 @@ def test_common_notices_are_reported(spark):
             for i in range(300)]
     got = {(r["doc_id"], r["paragraph"]) for r in find_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(i, 1) for i in range(0, 300, 3)}
+
+
+def test_full_and_wrapped_notices_are_confirmed(spark):
+    """Notices that are no template word for word: a full grant on a line, wrapped lines, a notice within a longer text."""
+    grant = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
+             "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+             "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:")
+    wrapped = ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:")
+    many = " ".join(f"plain{i} text{i}" for i in range(60))
+    rows = [(1, grant), (2, "Copyright (c) 2021 Maker\n" + wrapped), (3, f"{many} licensed under the Apache License, Version 2.0. {many}"), (4, many)]
+    rows += [(10 + i, f"ordinary line {i} on the deeds of others") for i in range(60)]
+    got = {(r["doc_id"], r["paragraph"]): r["family"] for r in find_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["confirmed"]}
+    assert got == {(1, 0): "mit", (2, 1): "bsd", (3, 0): "apache-2.0"}
