@@ -3,7 +3,9 @@
 Each piece goes to the open bin after which the sum, over all residual gaps, of the squared counts of open bins
 with that gap is smallest; ties go to the tighter bin. As all pieces are known and the longest come first, a new
 bin is opened only where no open one has room. Blocks of pieces are packed in parallel. Bins that a block could not fill are dissolved and packed again with those of
-other blocks, in fewer blocks each time, so that only the last block leaves half-filled bins.
+other blocks, in half as many blocks or fewer each time, so that only the last block leaves half-filled bins. Pieces
+that do not become fewer that fast are placed all together by the numbers of their lengths, whole runs of equal
+lengths at a time, and rows find their place by their rank within their length.
 """
 from __future__ import annotations
 
@@ -143,6 +145,81 @@ def _filler(size, length, order, columns, level, tolerance):
     return fill
 
 
+def runs_of_lengths(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Runs of equal lengths placed by the sum-of-squares rule, longest first: (length, rank, n, bin, offset, per_bin).
+
+    The n pieces of a length from that rank on lie in bins that follow each other, per_bin in each, from that offset
+    on. At most an eighth of the open bins of a gap is filled before the rule is asked again, so that the work grows
+    with the lengths and the logarithm of their numbers.
+    """
+    count = np.zeros(size + 1, np.int64)
+    held_bins: dict[int, list[tuple[int, int]]] = {}
+    runs, bins = [], 0
+
+    def leave(gap: int, first: int, n: int) -> None:
+        if gap:
+            count[gap] += n
+            held_bins.setdefault(gap, []).append((first, n))
+
+    for s in sorted(counts, reverse=True):
+        rank, left = 0, counts[s]
+        while left:
+            held = count[s:size]
+            change = np.where(held > 0, 2 * (count[:size - s] - held) + 2, np.iinfo(np.int64).max)
+            if len(change) and held[0]:
+                change[0] = 1 - 2 * held[0]
+            best = int(change.argmin()) if len(change) else 0
+            if len(change) and held[best]:
+                gap = best + s
+                n = min(left, max(1, int(held[best]) // 8))
+                left -= n
+                count[gap] -= n
+                while n:
+                    first, there = held_bins[gap].pop()
+                    taken = min(n, there)
+                    if there > taken:
+                        held_bins[gap].append((first + taken, there - taken))
+                    runs.append((s, rank, taken, first, size - gap, 1))
+                    leave(gap - s, first, taken)
+                    rank, n = rank + taken, n - taken
+                continue
+            for per in (size // s, left % (size // s)):
+                n = left // per if per else 0
+                if n:
+                    runs.append((s, rank, n * per, bins, 0, per))
+                    leave(size - per * s, bins, n)
+                    bins, rank, left = bins + n, rank + n * per, left - n * per
+    return runs
+
+
+def _by_lengths(rest: DataFrame, rows: int, size: int, length: str, order: tuple[str, ...], level: int) -> DataFrame:
+    """All of ``rest`` placed by the numbers of its lengths. Tasks hold about BLOCK_PIECES rows, whatever is equal."""
+    columns, fields = rest.columns, rest.schema.simpleString()[len("struct<"):-1]
+    numbered = settle(rest.withColumn("_id", F.monotonically_increasing_id()))
+    sliced = settle(numbered.repartitionByRange(-(-rows // BLOCK_PIECES), length, *order, "_id").withColumn("_slice", F.spark_partition_id()))
+    # a row per slice and one per length at most, as slices follow each other
+    counts, before = {}, {}
+    for r in sliced.groupBy(length, "_slice").agg(F.count("*").alias("n")).orderBy(length, "_slice").collect():
+        before[r["_slice"], r[length]] = counts.get(r[length], 0)
+        counts[r[length]] = counts.get(r[length], 0) + r["n"]
+    runs = np.asarray(sorted(runs_of_lengths(counts, size)), np.int64)
+    starts = (runs[:, 0] << 44) + runs[:, 1]
+
+    def place(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values([length, *order, "_id"], kind="stable")
+        lengths = frame[length].to_numpy()
+        own, first, each = np.unique(lengths, return_index=True, return_counts=True)
+        part = int(frame["_slice"].iloc[0])
+        rank = np.arange(len(lengths)) + np.repeat([before[part, n] for n in own.tolist()] - first, each)
+        run = runs[np.searchsorted(starts, (lengths << 44) + rank, "right") - 1]
+        later = rank - run[:, 1]
+        out = frame[columns].copy()
+        out["sequence_id"] = (level << 56) + run[:, 3] + later // run[:, 5]
+        out["offset"] = run[:, 4] + later % run[:, 5] * lengths
+        return out
+    return settle(sliced.groupBy("_slice").applyInPandas(place, f"{fields}, sequence_id long, offset long"))
+
+
 def pack(pieces: DataFrame, size: int = 2048, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """``pieces`` with sequence_id and offset: at most ``size`` in each sequence, gapless from 0.
 
@@ -158,8 +235,9 @@ def pack(pieces: DataFrame, size: int = 2048, length: str = "length", order: tup
     while True:
         rows = rest.count()
         blocks = max(1, -(-rows // BLOCK_PIECES))
-        if before is not None and blocks >= before:
-            blocks = max(1, before // 2)
+        if before is not None and blocks > max(1, before // 2):
+            done.append(_by_lengths(rest, rows, size, length, order, level))
+            break
         last, before = blocks == 1, blocks
 
         packed = settle(rest.withColumn("_block", F.pmod(F.xxhash64(*order, F.lit(level)), F.lit(blocks)))

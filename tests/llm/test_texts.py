@@ -81,6 +81,49 @@ def test_blocks_are_packed_again(spark, monkeypatch):
     assert max(filled.values()) <= 100 and len(filled) <= 1.06 * sum(n for *_, n in rows) / 100
 
 
+def test_pieces_that_fill_no_bin_stay_in_small_tasks(spark, monkeypatch):
+    from sitewise.llm import packing
+    filler = packing._filler
+
+    def watched(*args):
+        fill = filler(*args)
+
+        def small(frame):
+            assert len(frame) <= 130, len(frame)
+            return fill(frame)
+        return small
+
+    monkeypatch.setattr(packing, "BLOCK_PIECES", 80)
+    monkeypatch.setattr(packing, "_filler", watched)
+    rng = random.Random(4)
+    rows = [(i, 0, 75) for i in range(500)] + [(i, 0, rng.choice((60, 70, 90, 12))) for i in range(500, 640)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, piece int, length long"), size=100).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in got) == sorted((i, n) for i, _, n in rows)
+    filled = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == filled.get(r["sequence_id"], 0)
+        filled[r["sequence_id"]] = r["offset"] + r["length"]
+    large = sum(n > 50 for *_, n in rows)
+    assert max(filled.values()) <= 100 and len(filled) == large
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_runs_of_lengths_are_gapless_and_few(seed):
+    from sitewise.llm.packing import runs_of_lengths
+    rng = random.Random(seed)
+    counts = {s: rng.randrange(1, 60) for s in range(1, 65)}
+    parts, ranks = {}, {s: [] for s in counts}
+    for s, rank, n, first, offset, per in runs_of_lengths(counts, 64):
+        for j in range(n):
+            ranks[s].append(rank + j)
+            parts.setdefault(first + j // per, []).append((offset + j % per * s, s))
+    assert all(sorted(ranks[s]) == list(range(n)) for s, n in counts.items())
+    for mine in parts.values():
+        ends = np.cumsum([s for _, s in sorted(mine)])
+        assert [o for o, _ in sorted(mine)] == [0, *ends[:-1]] and ends[-1] <= 64
+    assert len(parts) <= -(-sum(s * n for s, n in counts.items()) // 64) * 1.02 + 1
+
+
 def test_automaton_is_a_distribution():
     unigram = np.array([0.2, 0.15, 0.1, 0.05])  # the rest is left to other words; the last is the end
     counts = np.array([40, 30, 20, 10])
