@@ -110,3 +110,41 @@ def op3(spark, folder):
 def op7(spark, folder):
     from .licenses import find_licences
     return find_licences(table(spark, folder, "documents"))
+
+
+@case("op11_lexical_search", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+           FROM documents WHERE text IS NOT NULL),
+sized AS (SELECT doc_id, t, len(t) AS n FROM d WHERE len(t) > 0),
+total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM sized),
+normed AS (SELECT doc_id, t, 75 + (25 * n * docs) // terms AS m FROM sized, total),
+item_terms AS (SELECT item_id, term, count(*) AS times FROM (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE text IS NOT NULL) GROUP BY item_id, term),
+postings AS (SELECT doc_id, m, term, count(*) AS tf FROM (SELECT doc_id, m, unnest(t) AS term FROM normed)
+             WHERE term IN (SELECT term FROM item_terms) GROUP BY doc_id, m, term),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+            FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), total),
+scored AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+           FROM item_terms JOIN weights USING (term) JOIN postings USING (term) GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20""")
+def op11(spark, folder):
+    from .lexical_search import search
+    return search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=20)
+
+
+@case("op12_spelling_variants")
+def op12(spark, folder):
+    from .spelling import spelling_forms
+    return spelling_forms(table(spark, folder, "documents"))
+
+
+@case("op13_exact_dedup", """
+WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
+FROM t WINDOW w AS (PARTITION BY text_sha256)""")
+def op13(spark, folder):
+    from .exact_dedup import duplicates
+    return duplicates(table(spark, folder, "documents")).select(
+        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
