@@ -10,6 +10,7 @@ from ..functions.exprs import boolish, clip, clip01, finite, numeric, row_mean
 from ..functions.geo import arc_of
 from ..operators import ranking, spatial
 from ..operators.checks import require_rows
+from ..operators.reach import reach_totals
 from ..session import settle
 
 # Fixed value: parameters of a site whose source area is unknown.
@@ -66,7 +67,6 @@ def existing_access(demand: DataFrame, hospitals: DataFrame, cfg: CatchmentConfi
     """
     require_rows(hospitals, 1, "located hospitals")
     at = hospitals.withColumnsRenamed({"latitude": "to_latitude", "longitude": "to_longitude"})
-    minutes = road.drive_minutes("miles", "road_detour_factor", "effective_speed_mph", cfg.roads.floor_mph)
     closest = spatial.nearest(demand, at, "demand_id", "facility_id").select(
         "demand_id", F.col("facility_id").alias("nearest_hospital_id"), arc_of("chord").alias("nearest_miles"))
     emergency = spatial.nearest(demand, at.where("emergency_services"), "demand_id", "facility_id").select(
@@ -74,14 +74,11 @@ def existing_access(demand: DataFrame, hospitals: DataFrame, cfg: CatchmentConfi
     longest = max(cfg.access_minutes)
     widest = min(cfg.hospital_miles, longest / 60 * max(cfg.roads.rural_mph, cfg.roads.urban_mph, cfg.roads.floor_mph)
                  / max(min(cfg.roads.urban_detour, cfg.roads.rural_detour), 0.01))
-    reach = F.least(F.lit(cfg.hospital_miles),
-                    F.lit(longest / 60) * F.col("effective_speed_mph") / F.greatest("road_detour_factor", F.lit(0.01)))
-    pairs = spatial.radius_pairs(
-        demand.select("demand_id", "latitude", "longitude", "road_detour_factor", "effective_speed_mph"),
-        _hospital_targets(hospitals), widest, reach=reach).withColumn("minutes", minutes)
-    supply = pairs.groupBy("demand_id").agg(*[
-        F.expr(f"sum(CASE WHEN minutes <= {t} THEN {source} END) AS {name}_within_{t}min")
-        for t in cfg.access_minutes for name, source in (("hospitals", "_hospitals"), ("beds", "_beds"))])
+    reach = f"least({cfg.hospital_miles}D, {longest / 60!r}D * effective_speed_mph / greatest(road_detour_factor, 0.01D))"
+    supply = reach_totals(
+        demand, _hospital_targets(hospitals), "demand_id",
+        {f"{name}_within_{t}min": (source, t) for t in cfg.access_minutes for name, source in (("hospitals", "_hospitals"), ("beds", "_beds"))},
+        miles=widest, reach=reach, left_roads=("road_detour_factor", "effective_speed_mph"), floor_mph=cfg.roads.floor_mph)
     base = demand.select("demand_id", "road_detour_factor", "effective_speed_mph")
 
     def timed(miles: str) -> Column:
@@ -125,32 +122,28 @@ def demand_catchment(sites: DataFrame, demand: DataFrame, baseline: DataFrame,
         F.col("latitude").alias("to_latitude"), F.col("longitude").alias("to_longitude"),
         "road_detour_factor", "effective_speed_mph", "base_minutes",
     ).agg(F.count("*").alias("points"), *[F.expr(f"sum({w}) AS w_{name}") for name, w in weights.items()])
-    floor = f"{cfg.roads.floor_mph}D"
-    pairs = (
-        spatial.radius_pairs(_site_points(sites), targets, cfg.demand_miles)
-        .withColumn("minutes", F.expr(
-            f"miles * (0.5D * (site_detour + road_detour_factor)) / greatest(0.5D * (site_mph + effective_speed_mph), {floor}) * 60D"))
-        .withColumn("saved", F.expr("greatest(0D, base_minutes - minutes)"))
-    )
-    sums = ["sum(points) AS modeled_demand_points", "sum(w_population * saved) AS weighted_drive_minutes_saved",
-            "sum(CASE WHEN saved > 0 THEN w_population END) AS population_with_any_access_improvement"]
-    sums += [f"sum(CASE WHEN saved >= {t} THEN w_population END) AS population_saving_{t}plus_minutes" for t in cfg.saving_minutes]
+    sums: dict[str, tuple[str, float | None]] = {"modeled_demand_points": ("points", None)}
     for t in cfg.access_minutes:
-        sums.append(f"sum(CASE WHEN minutes <= {t} THEN w_population END) AS population_within_{t}min")
-        sums.append(f"sum(CASE WHEN minutes <= {t} AND base_minutes > {t} THEN w_population END) AS newly_accessible_population_{t}min")
-        sums += [f"sum(CASE WHEN minutes <= {t} THEN w_{g} END) AS {g}_population_{t}min" for g in SUBGROUPS]
-        sums.append(f"sum(CASE WHEN minutes <= {t} THEN w_vulnerable END) AS vulnerability_weighted_population_{t}min")
-    return pairs.groupBy("site_id").agg(*[F.expr(s) for s in sums])
+        sums[f"population_within_{t}min"] = ("w_population", t)
+        sums[f"newly_accessible_population_{t}min"] = (f"w_new_{t}", t)
+        sums |= {f"{g}_population_{t}min": (f"w_{g}", t) for g in SUBGROUPS}
+        sums[f"vulnerability_weighted_population_{t}min"] = ("w_vulnerable", t)
+    targets = targets.selectExpr("*", *[f"CASE WHEN base_minutes > {t} THEN w_population END AS w_new_{t}" for t in cfg.access_minutes])
+    saving = {"weighted_drive_minutes_saved": "w_population * saved",
+              "population_with_any_access_improvement": "CASE WHEN saved > 0 THEN w_population END"}
+    saving |= {f"population_saving_{t}plus_minutes": f"CASE WHEN saved >= {t} THEN w_population END" for t in cfg.saving_minutes}
+    return reach_totals(
+        _site_points(sites), targets, "site_id", sums, miles=cfg.demand_miles, left_roads=("site_detour", "site_mph"),
+        right_roads=("road_detour_factor", "effective_speed_mph"), floor_mph=cfg.roads.floor_mph, base="base_minutes", saving=saving)
 
 
 def hospital_supply(sites: DataFrame, hospitals: DataFrame, cfg: CatchmentConfig = CatchmentConfig()) -> DataFrame:
     """Per site with any hospital in range: nearest minutes, hospitals and beds per threshold."""
-    pairs = spatial.radius_pairs(_site_points(sites), _hospital_targets(hospitals), cfg.hospital_miles).withColumn(
-        "minutes", road.drive_minutes("miles", "site_detour", "site_mph", cfg.roads.floor_mph))
-    return pairs.groupBy("site_id").agg(
-        F.min("minutes").alias("nearest_existing_hospital_minutes"),
-        *[F.expr(f"sum(CASE WHEN minutes <= {t} THEN {source} END) AS existing_{name}_{t}min")
-          for t in cfg.access_minutes for name, source in (("hospitals", "_hospitals"), ("beds", "_beds"))])
+    return reach_totals(
+        _site_points(sites), _hospital_targets(hospitals), "site_id",
+        {f"existing_{name}_{t}min": (source, t) for t in cfg.access_minutes for name, source in (("hospitals", "_hospitals"), ("beds", "_beds"))},
+        miles=cfg.hospital_miles, left_roads=("site_detour", "site_mph"), floor_mph=cfg.roads.floor_mph,
+        closest="nearest_existing_hospital_minutes")
 
 
 def site_features(sites: DataFrame, demand: DataFrame, baseline: DataFrame, hospitals: DataFrame,

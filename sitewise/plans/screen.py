@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import road
 from ..functions.exprs import clip01
-from ..operators import ranking, spatial
+from ..operators import ranking
+from ..operators.reach import reach_totals
 from ..session import settle
 
 
@@ -47,7 +48,7 @@ def broad_gate(areas: DataFrame, cfg: ScreenConfig = ScreenConfig()) -> DataFram
 def screening_catchment(gated: DataFrame, areas: DataFrame, key: str, cfg: ScreenConfig = ScreenConfig()) -> DataFrame:
     """Coarse catchment sums per gated area, each with its own search radius."""
     longest = max(cfg.catchment_minutes)
-    reach = F.least(F.lit(cfg.max_miles), F.lit(longest / 60.0) * F.col("mph") / F.greatest("detour", F.lit(0.01)))
+    reach = f"least({cfg.max_miles}D, {longest / 60!r}D * mph / greatest(detour, 0.01D))"
     widest = min(cfg.max_miles, longest / 60 * max(cfg.roads.urban_mph, cfg.roads.rural_mph)
                  / max(min(cfg.roads.urban_detour, cfg.roads.rural_detour), 0.01))
     targets = areas.where(
@@ -55,21 +56,19 @@ def screening_catchment(gated: DataFrame, areas: DataFrame, key: str, cfg: Scree
     ).groupBy(F.col("latitude").alias("to_latitude"), F.col("longitude").alias("to_longitude"),
               F.col("detour").alias("to_detour"), F.col("mph").alias("to_mph"), F.col("existing_minutes").alias("base")
               ).agg(*[F.sum(c).alias(f"w_{c}") for c in ("population", *SUBGROUPS)])
-    pairs = (
-        spatial.radius_pairs(gated.select(key, "latitude", "longitude", "detour", "mph"), targets, widest, reach=reach)
-        .withColumn("minutes", F.expr(
-            f"miles * (0.5D * (detour + to_detour)) / greatest(0.5D * (mph + to_mph), {cfg.roads.floor_mph}D) * 60D"))
-        .withColumn("saved", F.expr("greatest(0D, base - minutes)")))
-    sums = {"approx_weighted_drive_minutes_saved": "w_population * saved",
-            "approx_population_saving_10plus_minutes": "CASE WHEN saved >= 10 THEN w_population END",
-            "approx_population_saving_20plus_minutes": "CASE WHEN saved >= 20 THEN w_population END"}
+    saving = {"approx_weighted_drive_minutes_saved": "w_population * saved",
+              "approx_population_saving_10plus_minutes": "CASE WHEN saved >= 10 THEN w_population END",
+              "approx_population_saving_20plus_minutes": "CASE WHEN saved >= 20 THEN w_population END"}
+    sums: dict[str, tuple[str, float | None]] = {}
     for t in cfg.catchment_minutes:
-        sums[f"approx_population_{t}min"] = f"CASE WHEN minutes <= {t} THEN w_population END"
-        sums[f"approx_newly_accessible_population_{t}min"] = f"CASE WHEN minutes <= {t} AND base > {t} THEN w_population END"
-        for g in SUBGROUPS:
-            sums[f"approx_{g}_population_{t}min"] = f"CASE WHEN minutes <= {t} THEN w_{g} END"
-    totals = pairs.groupBy(key).agg(*[F.expr(f"sum({body}) AS {name}") for name, body in sums.items()])
-    return gated.join(totals, key, "left").withColumns({name: F.expr(f"coalesce({name}, 0)") for name in sums})
+        sums[f"approx_population_{t}min"] = ("w_population", t)
+        sums[f"approx_newly_accessible_population_{t}min"] = (f"w_new_{t}", t)
+        sums |= {f"approx_{g}_population_{t}min": (f"w_{g}", t) for g in SUBGROUPS}
+    targets = targets.selectExpr("*", *[f"CASE WHEN base > {t} THEN w_population END AS w_new_{t}" for t in cfg.catchment_minutes])
+    totals = reach_totals(
+        gated.select(key, "latitude", "longitude", "detour", "mph"), targets, key, sums, miles=widest, reach=reach,
+        right_roads=("to_detour", "to_mph"), floor_mph=cfg.roads.floor_mph, base="base", saving=saving)
+    return gated.join(totals, key, "left").withColumns({name: F.expr(f"coalesce({name}, 0)") for name in [*saving, *sums]})
 
 
 def screening_scores(screened: DataFrame, key: str, state: str = "state_fips", cfg: ScreenConfig = ScreenConfig()) -> DataFrame:

@@ -204,3 +204,48 @@ def shortlist(spark, folder):
     return screened(spark, folder).select(
         "demand_id", "state_fips", F.round("stage6a_score", 6).alias("score"), "state_rank",
         F.round("state_percentile", 6).alias("state_percentile"), F.col("severe_access_keep").alias("severe"), "shortlisted")
+
+
+# A crowd: all areas and sites within about forty miles, a third of the areas and a fifth of the sites at one location each.
+_CROWD = {
+    "areas": "CASE WHEN c_custkey % 3 = 0 THEN {x} ELSE {x} + ((c_custkey * {p}) % {m}) / {s} END",
+    "sites": "CASE WHEN p_partkey % 5 = 0 THEN {x} ELSE {x} + ((p_partkey * {p}) % {m}) / {s} END",
+}
+
+
+def _crowded(side: str, key: str, div: str) -> str:
+    lat = _CROWD[side].format(x=f"cast(39 AS {div})", p=7919, m=24000, s=f"cast(40000 AS {div})")
+    lon = _CROWD[side].format(x=f"cast(-95 AS {div})", p=104729, m=57000, s=f"cast(80000 AS {div})")
+    return (f"SELECT {key} AS id, {lat} AS latitude, {lon} AS longitude, cast(1.2 AS {div}) + {key} % 4 * cast(0.04 AS {div}) AS detour, "
+            f"cast(29 AS {div}) + {key} % 4 * 7 AS mph")
+
+
+def _crowd_sql(side: str, div: str) -> str:
+    if side == "areas":
+        return _crowded("areas", "c_custkey", div) + f", cast(c_custkey % 40 AS {div}) AS base, cast(floor(greatest(c_acctbal, 0)) AS {div}) AS people FROM customer"
+    return _crowded("sites", "p_partkey", div) + " FROM part"
+
+
+@case("sp11_crowded_catchment", f"""WITH a AS ({_crowd_sql('areas', 'double')}), s AS ({_crowd_sql('sites', 'double')}),
+p AS (SELECT s.id AS site_id, a.people, a.base, s.detour AS sd, s.mph AS sm, a.detour AS ad, a.mph AS am, {sql_miles('s.latitude', 's.longitude', 'a.latitude', 'a.longitude')} AS miles FROM s CROSS JOIN a),
+m AS (SELECT *, miles * (0.5::double * (sd + ad)) / greatest(0.5::double * (sm + am), 10) * 60 AS minutes FROM p WHERE miles <= 70)
+SELECT site_id, count(*) AS areas, {", ".join(f"coalesce(sum(people) FILTER (minutes <= {t}), 0)::bigint AS people_{t}min" for t in T4)},
+  round(sum(people * greatest(0, base - minutes)), 2) AS minutes_saved, coalesce(sum(people) FILTER (base > minutes), 0)::bigint AS people_gaining,
+  round(min(minutes), 6) AS nearest_minutes FROM m GROUP BY site_id""")
+def crowded_catchment(spark, folder):
+    from sitewise.operators.reach import reach_totals
+
+    from .tables import table
+    for name in ("customer", "part"):
+        table(spark, folder, name).createOrReplaceTempView(f"crowd_{name}")
+    areas = spark.sql(_crowd_sql("areas", "double").replace("FROM customer", "FROM crowd_customer"))
+    sites = spark.sql(_crowd_sql("sites", "double").replace("FROM part", "FROM crowd_part"))
+    targets = areas.groupBy(F.col("latitude").alias("to_latitude"), F.col("longitude").alias("to_longitude"), F.col("detour").alias("to_detour"),
+                            F.col("mph").alias("to_mph"), "base").agg(F.count("*").alias("areas"), F.sum("people").alias("people"))
+    sums = {"areas": ("areas", None)} | {f"people_{t}min": ("people", t) for t in T4}
+    found = reach_totals(sites, targets, "id", sums, miles=70, right_roads=("to_detour", "to_mph"), base="base", saving={
+        "minutes_saved": "people * saved", "people_gaining": "CASE WHEN saved > 0 THEN people END"}, closest="nearest_minutes")
+    return found.select(
+        F.col("id").alias("site_id"), "areas", *[F.coalesce(f"people_{t}min", F.lit(0)).cast("long").alias(f"people_{t}min") for t in T4],
+        F.round("minutes_saved", 2).alias("minutes_saved"), F.coalesce("people_gaining", F.lit(0)).cast("long").alias("people_gaining"),
+        F.round("nearest_minutes", 6).alias("nearest_minutes"))
