@@ -5,26 +5,26 @@ wide as that chord, so all partners of a point lie in its own or a neighbouring
 is copied to the neighbouring cells it can reach, the join key is the cell, and the exact test is
 a filter on top. Poles and the date line need no special case.
 
-Crowded cells are measured first. ``radius_pairs`` splits them over tasks; ``radius_totals`` and
-``nearest`` go further and settle whole sub-cells at once, so that only sub-cells which the radius
-(or the best distance) cuts through are compared point by point.
+Crowded cells are measured first. ``radius_pairs`` splits them over tasks; ``radius_totals`` goes
+further and settles whole sub-cells at once, so that only sub-cells which the radius cuts through are
+compared point by point. ``nearest`` needs no radius: it goes down a pyramid of cells.
 """
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.exprs import finite
 from ..functions.geo import EARTH_MILES, arc_of, chord_col, chord_of, haversine, sphere_x, sphere_y, sphere_z
 from ..session import BROADCAST_ROWS, parallel_tasks, settle
 
-INDEX_ROWS = 20_000    # most right-hand points that are shipped whole to every task (480 kB)
 CROWDED_ROWS = 20_000  # rows of one side in one cell above which the cell is treated as crowded
 SUBDIVISION = 16       # sub-cells per cell edge
+# Widths of the cells of a nearest search, in radii: from 500 miles, a quarter at each level.
+PYRAMID = tuple(2.0 ** -(3 + 2 * i) for i in range(9))
+PYRAMID_ROWS = 131_072  # comparisons of one pair of groups above which both are split
 SLACK = 1e-12          # rounding allowance of the cell geometry; exact tests come after
 
 
@@ -244,106 +244,71 @@ def radius_totals(left: DataFrame, right: DataFrame, key: str, radii: Sequence[f
                for r, out in names])
 
 
+def _pyramid_node(side: str, level: int) -> str:
+    width = f"{PYRAMID[min(level, len(PYRAMID) - 1)]!r}D"
+    cells = ", ".join(f"'{t}', cast(floor(_{side}{t} / {width}) as long)" for t in "xyz")
+    salt = "cast(pmod(_hash, 16) as int)" if side == "l" and level == len(PYRAMID) else "0"
+    return f"named_struct({cells}, 'salt', {salt})"
+
+
+def _pyramid_level(points: DataFrame, side: str, level: int) -> DataFrame:
+    """Groups of a level: their parent, number of points, box, and one of the points."""
+    box = [f"{f}(_{side}{t}) AS _{side}{n}{t}" for t in "xyz" for n, f in (("lo", "min"), ("hi", "max"))]
+    return points.groupBy(F.expr(_pyramid_node(side, level)).alias(f"_{side}n"), F.expr(_pyramid_node(side, max(level - 1, 0))).alias(f"_{side}p")).agg(
+        *[F.expr(x) for x in [f"count(*) AS _{side}rows", f"min(struct(_{side}x, _{side}y, _{side}z)) AS _{side}some", *box]])
+
+
 def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, *,
             left_at: Sequence[str] = ("latitude", "longitude"),
             right_at: Sequence[str] = ("to_latitude", "to_longitude"),
-            start_miles: float = 25.0, growth: float = 2.0, radius: float = EARTH_MILES,
-            crowded_rows: int = CROWDED_ROWS, index_rows: int = INDEX_ROWS) -> DataFrame:
+            radius: float = EARTH_MILES, pair_rows: int = PYRAMID_ROWS) -> DataFrame:
     """key, right_key and chord of the closest right point (smallest right_key on ties).
 
-    Up to ``index_rows`` right points are shipped to the tasks and the left side is not shuffled.
-    Beyond that: rounds of growing radius over grid cells. A hit inside the round's radius is
-    final because the cells cover it completely, so each round only carries the rows still
-    without one, and left points at one location are searched once. Rows without coordinates, or
-    an empty right side, give nulls.
+    Both sides go down one pyramid of cells together, from cells 500 miles wide. On each level a group of
+    left points keeps the right groups that may hold the closest point of one of them: those no farther than the
+    farthest corner of its box from a known right point. Groups split until a pair of them needs few comparisons;
+    only then points are compared. Points at one location are split by hash at the end. Keys of ``left`` are unique.
+    Rows without coordinates, or an empty right side, give nulls.
     """
-    targets = (right.where(finite(right_at[0]).isNotNull() & finite(right_at[1]).isNotNull())
-               .groupBy(*right_at).agg(F.min(right_key).alias(right_key)))
-    targets = _on_sphere(targets, right_at, "_r").drop(*right_at)
-    few = targets.limit(index_rows + 1).toPandas()
-    if 0 < len(few) <= index_rows:
-        return _nearest_of_few(left, few.sort_values(right_key, ignore_index=True), targets, key, right_key, left_at)
-    spots = (left.where(finite(left_at[0]).isNotNull() & finite(left_at[1]).isNotNull())
-             .groupBy(*left_at).agg(F.count("*").alias("_copies")))
-    targets = settle(targets)
-    pending = settle(_on_sphere(spots, left_at, "_l"))
-    target_rows, waiting = targets.count(), pending.count()
-    found: DataFrame | None = None
-    miles, farthest = start_miles, math.pi * radius
-    while target_rows and waiting:
-        # Neither side can crowd a cell when it has fewer rows than a crowd.
-        sparse = max(target_rows, waiting) <= crowded_rows
-        best = _closest_within(pending, targets, right_key, left_at, min(miles, farthest), radius,
-                               None if sparse else crowded_rows)
-        tried = settle(pending.join(best, list(left_at), "left"))
-        hits = tried.where(F.col("chord").isNotNull()).select(*left_at, "_copies", right_key, "chord")
-        found = hits if found is None else found.unionByName(hits)
-        pending = tried.where(F.col("chord").isNull()).drop(right_key, "chord")
-        left_over = pending.count()
-        if miles >= farthest:
+    def located(at):
+        return finite(at[0]).isNotNull() & finite(at[1]).isNotNull()
+
+    lp = settle(_on_sphere(left.select(F.col(key).alias("_key"), *[F.when(located(left_at), F.col(c)).alias(f"_at{i}") for i, c in enumerate(left_at)]),
+                           ("_at0", "_at1"), "_l").selectExpr("_key", "_lx", "_ly", "_lz", "xxhash64(_key) AS _hash"))
+    rp = settle(_on_sphere(right.where(located(right_at)).groupBy(*right_at).agg(F.min(right_key).alias("_id")), right_at, "_r")
+                .select("_id", "_rx", "_ry", "_rz"))
+    nowhere = [F.col("_key").alias(key), F.lit(None).cast(rp.schema["_id"].dataType).alias(right_key), F.lit(None).cast("double").alias("chord")]
+    sought = lp.where("_lx IS NOT NULL")
+    far2 = " + ".join(f"pow(greatest(_lhi{t} - _rsome._r{t}, _rsome._r{t} - _llo{t}), 2)" for t in "xyz")
+
+    def kept(pairs: DataFrame) -> DataFrame:
+        return pairs.withColumn("_gap", _box_gap2("_l", "_r")).selectExpr(
+            "*", f"least(_known, min({far2}) OVER (PARTITION BY _ln)) AS _best").where(f"_gap <= _best + {SLACK!r}D")
+
+    # a sphere meets at most 1,352 cells of the first level
+    pairs = _pyramid_level(sought, "l", 0).crossJoin(F.broadcast(_pyramid_level(rp, "r", 0))).withColumn("_known", F.lit(None).cast("double"))
+    compared, level = [], 0
+    while True:
+        split = f"{level < len(PYRAMID)} AND _lrows * _rrows > {pair_rows} AS _split"
+        pairs = settle(kept(pairs).selectExpr("_ln", "_rn", "_best", split))
+        done, open_ = pairs.agg(F.count_if(~F.col("_split")), F.count_if("_split")).first()
+        if done:
+            compared.append((level, pairs.where("NOT _split")))
+        if not open_:
             break
-        # Few hits mean the radius is far too small for what is left.
-        miles *= growth if left_over * 2 <= waiting else growth * growth
-        waiting = left_over
-    if found is None:
-        return left.select(key, F.lit(None).cast(right.schema[right_key].dataType).alias(right_key),
-                           F.lit(None).cast("double").alias("chord"))
-    from .ranking import lookup_by_value
-
-    rows = left.select(key, *left_at)
-    placed = lookup_by_value(rows, found, list(left_at), "_copies").select(key, right_key, "chord")
-    return left.select(key).join(placed, key, "left")
-
-
-def _nearest_of_few(left: DataFrame, points, targets: DataFrame, key: str, right_key: str, left_at) -> DataFrame:
-    shared = left.sparkSession.sparkContext.broadcast((points[right_key].to_numpy(), points[["_rx", "_ry", "_rz"]].to_numpy()))
-    schema = T.StructType([left.schema[key], targets.schema[right_key], T.StructField("chord", T.DoubleType())])
-
-    def search(batches):
-        ids, xyz = shared.value
-        for batch in batches:
-            for start in range(0, len(batch), 512):
-                part = batch.iloc[start:start + 512]
-                gap2 = sum((part[f"_l{t}"].to_numpy()[:, None] - xyz[None, :, i]) ** 2 for i, t in enumerate("xyz"))
-                best = gap2.argmin(axis=1)
-                yield pd.DataFrame({
-                    key: part[key].to_numpy(), right_key: ids[best],
-                    "chord": np.sqrt(gap2[np.arange(len(part)), best])})
-
-    rows = _on_sphere(left, left_at, "_l").select(key, "_lx", "_ly", "_lz")
-    if len(points) >= 1_000:
-        # Thousands of comparisons for every few bytes: worth one narrow shuffle to use all tasks.
-        rows = rows.repartition(parallel_tasks(left.sparkSession), key)
-    placed = rows.where(finite("_lx").isNotNull() & finite("_lz").isNotNull()).mapInPandas(search, schema)
-    nowhere = rows.where(finite("_lx").isNull() | finite("_lz").isNull()).select(
-        key, F.lit(None).cast(targets.schema[right_key].dataType).alias(right_key), F.lit(None).cast("double").alias("chord"))
-    return placed.unionByName(nowhere)
-
-
-def _closest_within(pending: DataFrame, targets: DataFrame, right_key: str, left_at,
-                    miles: float, radius: float, crowded_rows: int | None) -> DataFrame:
-    chord = chord_of(miles, radius)
-    size = max(chord, 1e-9)
-    own = _own_cell(pending.drop("_copies"), "_l", size)
-    around = _copied_to_cells(targets, "_r", size, chord)
-    if crowded_rows is None or _crowded_cells(own, around, crowded_rows)[1] == 0:
-        pairs = _joined(own, around, CELL)
-    else:
-        # Keep only sub-cells that can hold the closest point: those no farther than the
-        # smallest "everything in it is at most this far" bound of the left sub-cell.
-        lp = pending.drop("_copies").withColumn("_ls", _sub_key("_l", size))
-        rp = targets.withColumn("_rs", _sub_key("_r", size))
-        subs = settle(_sub_cell_pairs(_sub_cells(lp, "_ls", "_l", []), _sub_cells(rp, "_rs", "_r", []), size, chord)
-                      .select("_ls", "_rs", _box_gap2("_l", "_r").alias("_gap2"), _box_span2("_l", "_r").alias("_span2")))
-        bound = subs.groupBy("_ls").agg(F.min("_span2").alias("_bound"))
-        kept = subs.join(bound, "_ls").where(F.col("_gap2") <= F.col("_bound") + F.lit(SLACK)).select("_ls", "_rs")
-        pairs = kept.join(rp, "_rs").join(lp, "_ls")
-    return (
-        pairs.select(*left_at, right_key, _chord2("_l", "_r").alias("_d2"))
-        .where(F.col("_d2") <= F.lit(chord * chord))
-        .groupBy(*left_at).agg(F.min(F.struct("_d2", right_key)).alias("_best"))
-        .select(*left_at, F.col(f"_best.{right_key}").alias(right_key), F.sqrt("_best._d2").alias("chord"))
-    )
+        level += 1
+        parents = pairs.where("_split").select(F.col("_ln").alias("_lp"), F.col("_rn").alias("_rp"), F.col("_best").alias("_known"))
+        pairs = parents.join(_pyramid_level(sought, "l", level), "_lp").join(_pyramid_level(rp, "r", level), "_rp")
+    if not compared:  # no targets, or no points
+        return lp.select(*nowhere)
+    parts = []
+    for at, pairs in compared:
+        l_side = sought.select("_key", "_lx", "_ly", "_lz", F.expr(_pyramid_node("l", at)).alias("_ln"))
+        met = _joined(pairs.select("_ln", "_rn", "_best").join(l_side, "_ln").drop("_ln"), rp.withColumn("_rn", F.expr(_pyramid_node("r", at))), ["_rn"])
+        close = met.withColumn("d2", _chord2("_l", "_r")).where(f"d2 <= _best + {SLACK!r}D")  # before rows are sorted by key
+        parts.append(close.select("_key", F.struct("d2", F.col("_id").alias("id")).alias("_pair")))
+    found = reduce(DataFrame.unionByName, parts).groupBy("_key").agg(F.min("_pair").alias("_pair"))
+    return found.select(F.col("_key").alias(key), F.col("_pair.id").alias(right_key), F.sqrt("_pair.d2").alias("chord")).unionByName(lp.where("_lx IS NULL").select(*nowhere))
 
 
 def nearest_miles(left: DataFrame, right: DataFrame, key: str, right_key: str, name: str, *,
