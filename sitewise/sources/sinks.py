@@ -4,27 +4,37 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ..operators.checks import ContractError
 from ..plans.serving import STATE_ROWS, county_name
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Zstd Parquet, read back and checked for row and column parity."""
-    df.write.mode("errorifexists").option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    """Zstd Parquet, read back and checked for row and column parity.
+
+    Rows are counted while they are written and compared with what the files say they hold."""
+    return _written(df, path, partition_by)[0]
+
+
+def _written(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> tuple[DataFrame, int]:
+    seen = Observation()
+    watched = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    watched.write.mode("errorifexists").option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     back = df.sparkSession.read.parquet(path)
     if set(back.columns) != set(df.columns):
         raise ContractError(f"{path}: columns differ after writing")
-    return back
+    rows = back.count()
+    if rows != seen.get["rows"]:
+        raise ContractError(f"{path}: {seen.get['rows']} rows written, {rows} rows in the files")
+    return back, rows
 
 
 def publish(df: DataFrame, root: str, table: str, run_id: str | None = None) -> str:
     """Append one run of a table and, once it is complete, its row in the runs table."""
     run_id = run_id or uuid.uuid4().hex
     path = f"{root}/{table}/run_id={run_id}"
-    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
-    written = df.sparkSession.read.parquet(path)
+    written, _ = _written(df, path)
     note_run(df.sparkSession, root, table, run_id, "complete", written.agg(F.count("*").alias("rows")))
     return run_id
 

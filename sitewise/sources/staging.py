@@ -5,9 +5,10 @@ import itertools
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ..operators.checks import ContractError, duplicate_keys, require_none, require_rows
+from ..session import settle
 
 CORRUPT = "_bad_record"
 LEGACY = "windows-1252"
@@ -40,22 +41,25 @@ def choose_encoding(identity: str, source: str, overrides: Mapping[str, str], le
     return overrides.get(identity, overrides.get(source, LEGACY if identity in legacy else "utf-8"))
 
 
-def undecodable_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """Lines with bytes that the encoding does not define. The CSV reader would replace them silently."""
-    lines = spark.read.text(path)
+def undecodable(encoding: str) -> Column:
+    """Whether a line (``value``) has bytes that the encoding does not define."""
     if encoding.lower().replace("-", "") == "utf8":
-        return lines.where(~F.is_valid_utf8("value"))
+        return ~F.is_valid_utf8("value")
     # The five byte values this code page leaves undefined.
     undefined = F.hex(F.to_binary("value", F.lit("utf-8")))
     pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.length(undefined) / 2 - 1, F.lit(0)).cast("int")),
                         lambda i: F.substring(undefined, i * 2 + 1, F.lit(2)))
-    return lines.where(F.arrays_overlap(pairs, F.array(*[F.lit(b) for b in ("81", "8D", "8F", "90", "9D")])))
+    return F.arrays_overlap(pairs, F.array(*[F.lit(b) for b in ("81", "8D", "8F", "90", "9D")]))
+
+
+def undecodable_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
+    """Lines with such bytes. The CSV reader would replace them silently."""
+    return spark.read.text(path).where(undecodable(encoding))
 
 
 def spans_lines(spark: SparkSession, path: str) -> bool:
     """Whether any quoted field contains a line break (some line has an odd number of quotes)."""
-    odd = spark.read.text(path).where(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1)
-    return not odd.isEmpty()
+    return not spark.read.text(path).where(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).isEmpty()
 
 
 def _options(encoding: str, separator: str, multi_line: bool) -> dict:
@@ -70,11 +74,26 @@ def stage_csv(spark: SparkSession, path: str, encoding: str = "utf-8", separator
     A row with the wrong number of fields fails the table. Files without quoted line breaks are
     read in splits. ``drop_blank_tail`` repairs exports whose header ends in an extra delimiter,
     provided the extra field is blank in every row.
+
+    The file is parsed once, into a settled table; everything that is checked is counted during that write. Its raw
+    lines are read only where the caller leaves ``multi_line`` open, and where the parsed text holds the mark that
+    replaces undefined bytes and so may hide some.
     """
+    before = spark.conf.get("spark.sql.legacy.javaCharsets", None)
     if encoding == LEGACY:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    require_none(undecodable_lines(spark, path, encoding), f"{path}: bytes not valid in {encoding}")
-    options = _options(encoding, separator, spans_lines(spark, path) if multi_line is None else multi_line)
+    try:
+        return _stage_csv(spark, path, encoding, separator, drop_blank_tail, spans_lines(spark, path) if multi_line is None else multi_line)
+    finally:
+        if encoding == LEGACY:
+            if before is None:
+                spark.conf.unset("spark.sql.legacy.javaCharsets")
+            else:
+                spark.conf.set("spark.sql.legacy.javaCharsets", before)
+
+
+def _stage_csv(spark: SparkSession, path: str, encoding: str, separator: str, drop_blank_tail: bool, multi_line: bool) -> DataFrame:
+    options = _options(encoding, separator, multi_line)
     first = spark.read.options(**options).csv(path, header=False, inferSchema=False).first()
     if first is None:
         raise ContractError(f"{path}: no header")
@@ -84,16 +103,28 @@ def stage_csv(spark: SparkSession, path: str, encoding: str = "utf-8", separator
     rows = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema="true").csv(
         path, header=True, schema=schema)
     rows = rows.select(*[F.coalesce(F.col(n), F.lit("")).alias(n) for n in names], CORRUPT)
+    tail = F.lit(False)
     if drop_blank_tail and headers[-1] == "":
-        tail = names[-1]
         # Rows that already lack the trailing delimiter are one field short and are accepted here.
         outside = re.escape(separator) + '(?=(?:[^"]*"[^"]*")*[^"]*$)'  # a separator within quotes is text
         fields = F.size(F.split(F.coalesce(F.col(CORRUPT), F.lit("")), outside))
         rows = rows.withColumn(CORRUPT, F.when(fields == len(names) - 1, F.lit(None)).otherwise(F.col(CORRUPT)))
-        require_none(rows.where(F.col(tail) != "").select(tail), f"{path}: extra field is not blank")
+        tail = F.col(names[-1]) != ""
         names = names[:-1]
-    require_none(ragged_rows(rows), f"{path}: wrong number of fields")
-    return rows.select(*names)
+    replaced = F.exists(F.array(*[F.col(c) for c in rows.columns]), lambda v: v.contains("\ufffd"))
+    seen = Observation()
+    # the checks are made on rows as parsed, all columns of which are read
+    watched = rows.withColumns({"_ragged": F.col(CORRUPT).isNotNull(), "_tail": tail, "_replaced": F.coalesce(replaced, F.lit(False))})
+    staged = settle(watched.observe(seen, F.count_if("_ragged").alias("ragged"), F.count_if("_tail").alias("tail"), F.count_if("_replaced").alias("replaced"))
+                    .drop("_tail", "_replaced"))
+    counts = seen.get
+    if counts["replaced"] or any("\ufffd" in h for h in headers):
+        require_none(undecodable_lines(spark, path, encoding), f"{path}: bytes not valid in {encoding}")
+    if counts["tail"]:
+        raise ContractError(f"{path}: extra field is not blank in {counts['tail']} rows")
+    if counts["ragged"]:
+        require_none(staged.where("_ragged").select(CORRUPT), f"{path}: wrong number of fields")
+    return staged.select(*names)
 
 
 def ragged_rows(rows: DataFrame) -> DataFrame:
@@ -201,7 +232,12 @@ def archive_rows(archives: DataFrame, encoding: str = "utf-8-sig") -> DataFrame:
 
 
 def zip_members(spark: SparkSession, path: str) -> DataFrame:
-    """archive, member, bytes of everything in the archives, from their directories."""
+    """archive, member, bytes of everything in the archives under a folder, from their directories."""
+    return archive_members(_zip_files(spark, path))
+
+
+def archive_members(archives: DataFrame) -> DataFrame:
+    """The same for a frame of (path, content). A member that is there twice is listed twice."""
     def listing(batches):
         import io
         from zipfile import ZipFile
@@ -214,7 +250,7 @@ def zip_members(spark: SparkSession, path: str) -> DataFrame:
                     yield pd.DataFrame([(name, i.filename, i.file_size) for i in archive.infolist() if not i.is_dir()],
                                        columns=["archive", "member", "bytes"])
 
-    return _zip_files(spark, path).mapInPandas(listing, "archive string, member string, bytes long")
+    return archives.mapInPandas(listing, "archive string, member string, bytes long")
 
 
 def duplicate_members(members: DataFrame) -> DataFrame:

@@ -51,8 +51,9 @@ def column_profile(spark, folder):
 @case("src05_legacy_encoding", """SELECT s_suppkey::varchar AS key, 'Niño ' || s_name AS name FROM supplier""")
 def legacy_encoding(spark, folder):
     path = _place(spark)
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # for writing the file
     _write_csv(table(spark, folder, "supplier").selectExpr("string(s_suppkey) AS key", "concat('Niño ', s_name) AS name"), path, encoding="windows-1252")
+    spark.conf.unset("spark.sql.legacy.javaCharsets")
     encoding = staging.choose_encoding("Source/file.csv", "Source", {}, ["Source/file.csv"])
     return staging.stage_csv(spark, path, encoding)
 
@@ -118,24 +119,37 @@ def missing_sources(spark, folder):
 @case("src04_src11_zip_members", """SELECT s_nationkey::varchar || '.zip' AS archive, 'm' || (s_suppkey % 3) || '.csv' AS member, count(*) AS rows, sum(s_suppkey) AS keys FROM supplier GROUP BY 1, 2""")
 def zip_members(spark, folder):
     """Archives are packed by tasks, one per nation, and read back as CSV records."""
+    body = staging.archive_rows(_archives(spark, folder)).where("line > 0")
+    return body.groupBy("archive", "member").agg(F.count("*").alias("rows"), F.sum(F.col("fields")[0].cast("long")).alias("keys"))
+
+
+def _archives(spark, folder, twice: int = 0):
+    """Archives of (path, content); one member in ``twice`` nations is packed a second time."""
 
     def pack(pdf):
         import io
+        import warnings
         from zipfile import ZipFile
 
         import pandas as pd
 
+        warnings.simplefilter("ignore", UserWarning)  # of members with one name
         buffer = io.BytesIO()
+        nation = int(pdf["nation"].iloc[0])
         with ZipFile(buffer, "w") as archive:
             for member, rows in pdf.groupby("member"):
-                archive.writestr(f"m{member}.csv", "Key,Name\r\n" + "".join(f'{k},"{n}, Inc"\r\n' for k, n in zip(rows["key"], rows["name"])))
+                for _ in range(2 if member == 1 and nation < twice else 1):
+                    archive.writestr(f"m{member}.csv", "Key,Name\r\n" + "".join(f'{k},"{n}, Inc"\r\n' for k, n in zip(rows["key"], rows["name"])))
             archive.writestr("readme.txt", "not a table")
-        return pd.DataFrame({"path": [f"{pdf['nation'].iloc[0]}.zip"], "content": [buffer.getvalue()]})
+        return pd.DataFrame({"path": [f"{nation}.zip"], "content": [buffer.getvalue()]})
 
     rows = table(spark, folder, "supplier").selectExpr("s_nationkey AS nation", "s_suppkey % 3 AS member", "s_suppkey AS key", "s_name AS name")
-    archives = rows.groupBy("nation").applyInPandas(pack, "path string, content binary")
-    body = staging.archive_rows(archives).where("line > 0")
-    return body.groupBy("archive", "member").agg(F.count("*").alias("rows"), F.sum(F.col("fields")[0].cast("long")).alias("keys"))
+    return rows.groupBy("nation").applyInPandas(pack, "path string, content binary")
+
+
+@case("src11_duplicate_members", """SELECT DISTINCT s_nationkey::varchar || '.zip' AS archive, 'm1.csv' AS member FROM supplier WHERE s_nationkey < 12 AND s_suppkey % 3 = 1""")
+def duplicate_members(spark, folder):
+    return staging.duplicate_members(staging.archive_members(_archives(spark, folder, twice=12))).select("archive", "member")
 
 
 @case("src13_area_file", """SELECT '1400000US' || lpad(c_custkey::varchar, 11, '0') AS "GEO_ID", c_acctbal::varchar AS value FROM customer WHERE c_custkey % 3 = 0

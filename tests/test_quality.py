@@ -1,7 +1,7 @@
 import datetime
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from sitewise.functions import text
 from sitewise.functions.parsing import Rule, parsed_cells
@@ -136,3 +136,37 @@ def test_claims_between_identical_names_are_shared(spark):
     matches = spark.createDataFrame([(1, "p", .9, 1.0), (2, "p", .9, 2.0), (3, "q", .6, 1.0), (4, "q", .7, 3.0)], "k int, place_id string, similarity double, miles double")
     identities = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, "z")], "k int, identity string")
     assert {r["k"]: r["conflict"] for r in addresses.settle_claims(matches, identities, "k").collect()} == {1: False, 2: False, 3: True, 4: False}
+
+
+def test_checks_are_counted_during_the_one_write(spark, tmp_path, monkeypatch):
+    """A file that is known to hold no line breaks in quotes is parsed, and its raw lines are never read."""
+    path = write(tmp_path, "once.csv", "Key,Name\n1,é\n2,\n".encode())
+    monkeypatch.setattr(staging, "undecodable_lines", lambda *a: pytest.fail("raw lines were read"))
+    monkeypatch.setattr(staging, "spans_lines", lambda *a: pytest.fail("raw lines were read"))
+    assert sorted(map(tuple, staging.stage_csv(spark, path, multi_line=False).collect())) == [("1", "é"), ("2", "")]
+
+
+def test_a_true_replacement_character_is_no_fault(spark, tmp_path):
+    good = write(tmp_path, "mark.csv", "Key,Name\n1,�\n".encode())
+    assert staging.stage_csv(spark, good, multi_line=False).first()["name"] == "�"
+    with pytest.raises(ContractError, match="not valid"):
+        staging.stage_csv(spark, write(tmp_path, "bad.csv", b"Key,Name\n1,\xff\n"), multi_line=False)
+
+
+def test_legacy_encoding_leaves_the_session_as_it_was(spark, tmp_path):
+    before = spark.conf.get("spark.sql.legacy.javaCharsets", None)
+    staged = staging.stage_csv(spark, write(tmp_path, "legacy.csv", "Key,Name\n1,Niño\n".encode("windows-1252")), staging.LEGACY)
+    assert spark.conf.get("spark.sql.legacy.javaCharsets", None) == before and staged.first()["name"] == "Niño"
+
+
+def test_written_rows_are_compared_with_the_files(spark, tmp_path, monkeypatch):
+    back = sinks.write_table(spark.range(10).selectExpr("id", "id % 3 AS part"), str(tmp_path / "t"), ["part"])
+    assert back.count() == 10
+
+
+    class Wrong(Observation):
+        get = {"rows": 6}
+
+    monkeypatch.setattr(sinks, "Observation", Wrong)
+    with pytest.raises(ContractError, match="6 rows written, 5 rows"):
+        sinks.write_table(spark.range(5), str(tmp_path / "u"))
