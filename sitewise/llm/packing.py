@@ -10,6 +10,7 @@ lengths at a time, and rows find their place by their rank within their length.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -25,16 +26,24 @@ from .words import slices
 BLOCK_PIECES = 20_000
 # A bin whose gap is at most this share of it is not dissolved.
 FULL_SHARE = 1 / 256
-CACHED_WORDS = 400_000
+# Bytes of words and ids, about, that a worker keeps: the words used last in one half, older ones in the other.
+CACHE_BYTES = 48 << 20
+ENTRY_BYTES = 200  # of an entry besides its characters and ids
+LONGEST_KEPT = 64  # longer stretches are never kept
 _END_MARKS = ".,;:!?\"()[]{}|#*-_/\\=+<>~$%&@^"
+# Marks at the end of a word of these letters are stretches of their own to the tokenizer.
+_ENDING = re.compile(r"(?<=[a-zß-öø-ÿ])(?=[" + re.escape(_END_MARKS) + r"]+(?:\s|$))")
 _encoders: dict = {}
 
 
 class _Words(dict):
     """Ids (little-endian unsigned 32-bit) of stretches without white space, which the tokenizer never joins."""
 
-    def __init__(self, path):
+    def __init__(self, path, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
+        self.older: dict[str, bytes] = {}
+        self.room = cache_bytes // 2  # what is left of this half
+        self.half = cache_bytes // 2
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         # the byte-level alphabet: printable Latin-1 stands for itself, other bytes for the letters from 256 on
@@ -44,7 +53,20 @@ class _Words(dict):
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def keep(self, word: str, ids: bytes) -> bytes:
+        if len(word) <= LONGEST_KEPT:
+            self.room -= ENTRY_BYTES + 2 * len(word) + len(ids)
+            if self.room < 0:  # the older half goes, this one takes its place
+                self.older = dict(self)
+                self.clear()
+                self.room = self.half
+            self[word] = ids
+        return ids
+
     def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is not None:
+            return self.keep(word, ids)
         latin = word.isascii() or max(word) < "ɐ"
         plain = word.lower() if latin else word
         stem = word.rstrip(_END_MARKS)
@@ -57,15 +79,14 @@ class _Words(dict):
             ids = np.asarray([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
         else:
             ids = self.whole(word)
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = ids
-        return ids
+        return self.keep(word, ids)
 
     def encode(self, text: str) -> bytes:
         # special tokens may hold spaces or touch words, and these control characters are no white space to the tokenizer
         if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return self.whole(text)
+        if text.isascii() or max(text) < "ɐ":  # so that variants are no entries of their own
+            text = _ENDING.sub(" ", text.lower())
         return b"".join(map(self.__getitem__, text.split()))
 
 

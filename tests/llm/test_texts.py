@@ -49,6 +49,18 @@ def test_bins_are_filled_gapless_and_few(seed):
     assert len(gaps) <= -(-sizes.sum() // 64) + 1
 
 
+def test_word_cache_is_bounded_by_bytes(tokenizer):
+    """Long stretches are not kept, the older half goes, and ids stay those of the tokenizer."""
+    encoder = _Words(tokenizer, cache_bytes=60_000)
+    texts = ["".join(chr(0x4E00 + (i * 37 + j) % 4000) for j in range(3000)) for i in range(20)]
+    texts += [" ".join(f"Wort{i}x{j}, WORT{i}x{j}." for j in range(40)) for i in range(60)] + ["Straße, ÉTÉ! (été) a.b, word... x²,"] * 2
+    for text in texts:
+        assert encoder.encode(text) == encoder.whole(text)
+        held = [{**encoder}, encoder.older]
+        assert all(sum(len(w) + len(ids) for w, ids in d.items()) < 30_000 and max(map(len, d), default=0) <= 64 for d in held)
+    assert encoder.older and encoder.encode("") == b""
+
+
 def test_packing_whole(spark, odd_docs, no_docs, tokenizer):
     pieces = token_pieces(odd_docs, tokenizer, size=64)
     rows = pack(pieces, size=64).collect()
