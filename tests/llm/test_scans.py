@@ -122,3 +122,11 @@ def test_full_and_wrapped_notices_are_confirmed(spark):
     rows += [(10 + i, f"ordinary line {i} on the deeds of others") for i in range(60)]
     got = {(r["doc_id"], r["paragraph"]): r["family"] for r in find_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["confirmed"]}
     assert got == {(1, 0): "mit", (2, 1): "bsd", (3, 0): "apache-2.0"}
+
+
+def test_licence_lines_are_tokenized_once(spark):
+    """No filter or projection of the optimized plan may split the text inside a loop over its lines."""
+    from sitewise.llm.licenses import _candidates
+    docs = spark.createDataFrame([(1, "MIT License\nx")], "doc_id long, text string")
+    plan = _candidates(docs, "doc_id", "text", ["license"], 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(text") == 1
