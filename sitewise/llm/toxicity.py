@@ -2,7 +2,8 @@
 
 Counts of training texts that hold each hashed n-gram, toxic or not, come from all labelled training rows. The
 ratio of the two smoothed counts scales the n-gram's presence; the n-grams whose counts differ most significantly
-are the features of a logistic regression, which is fitted on a bounded sample of training rows.
+are the features of a logistic regression, which is fitted on a bounded sample of different training texts of each
+class; its bias is set back to how common the classes are.
 """
 from __future__ import annotations
 
@@ -13,13 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chars import buckets, chunks
+from .chars import buckets, chunks, presence
 from .words import lists, slices
 
 SIZES = (3, 4, 5)
 BITS = 18
 FEATURES = 4096
-# Rows in the fit, the bound of what reaches the driver.
+# Rows in the fit, the bound of what reaches the driver: half of them of each class at most.
 FIT_ROWS = 20_000
 SMOOTH = 1.0
 PENALTY = 2.0
@@ -64,11 +65,13 @@ def fit(labelled: DataFrame, label: str = "toxic", text: str = "text") -> Toxic
         for batch in slices(batches):
             texts, y = batch.column("text").to_pylist(), batch.column("y").to_numpy(zero_copy_only=False).astype(bool)
             n += [(~y).sum(), y.sum()]
-            place = np.arange(1 << BITS)
-            for at in range(0, len(texts), 64):
-                who, what = present(texts[at:at + 64], place)
-                for k in (0, 1):
-                    total[k] += np.bincount(what[y[at + who] == bool(k)], minlength=1 << BITS)
+            for part, matrix in presence(texts, SIZES, BITS):
+                held = np.flatnonzero(matrix)
+                who, what = held >> BITS, held & ((1 << BITS) - 1)
+                toxic = y[part][who]
+                for k, own in enumerate((what[~toxic], what[toxic])):
+                    if len(own):
+                        total[k] += np.bincount(own, minlength=1 << BITS)
         used = np.flatnonzero(total.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(total[0][used], n[0])), pa.array(np.append(total[1][used], n[1]))],
                                          names=["bucket", "other", "toxic"])
@@ -89,23 +92,31 @@ def fit(labelled: DataFrame, label: str = "toxic", text: str = "text") -> Toxic
     place = np.full(1 << BITS, -1, np.int64)
     place[bucket[chosen]] = np.arange(len(chosen))
     scale = ratio[chosen]
-    share = min(1.0, FIT_ROWS / (p + q))
+    # different texts of each class, so that copies do not crowd out the others
+    keyed = rows.withColumn("h", F.xxhash64("text", F.lit(4)))
+    different = {r["y"]: r["n"] for r in keyed.groupBy("y").agg(F.count_distinct("h").alias("n")).collect()}
+    shares = {k: min(1.0, FIT_ROWS / 2 / n) for k, n in different.items()}
 
     def sample(batches):
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             who, what = present(texts, place)
             ends = np.searchsorted(who, np.arange(len(texts) + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("y"), lists([what[ends[i]:ends[i + 1]] for i in range(len(texts))])], names=["y", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), lists([what[ends[i]:ends[i + 1]] for i in range(len(texts))])],
+                                             names=["h", "y", "found"])
 
-    draw = F.xxhash64("text", F.lit(4)).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
-    got = rows.where(F.coalesce(draw, F.lit(0.0)) < share).mapInArrow(sample, "y boolean, found array<long>").limit(2 * FIT_ROWS).toArrow()
+    draw = F.col("h").bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
+    drawn = keyed.where(draw < F.when(F.col("y"), shares[True]).otherwise(shares[False]))
+    got = (drawn.mapInArrow(sample, "h long, y boolean, found array<long>").groupBy("h", "y").agg(F.first("found").alias("found"))
+           .orderBy("h", "y").limit(2 * FIT_ROWS).toArrow())
     y = got["y"].to_numpy().astype(np.float64)
     found = got["found"].combine_chunks()
     found = found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
     what = found.flatten().to_numpy()
     who = np.repeat(np.arange(len(y)), np.diff(found.offsets.to_numpy()))
     weights, bias = _logistic(who, what, scale, y)
+    # the fit saw the classes at other shares than all rows have
+    bias += float(np.log(p / q) - np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     return Toxic(place, weights * scale, bias)
 
 

@@ -229,3 +229,26 @@ def test_toxicity_held_out(spark, odd_docs, no_docs):
     assert toxicity.score(no_docs, model).count() == 0
     assert toxicity.fit(train.where("toxic = 0").select("text", "toxic")) is None
     assert toxicity.score(odd_docs, None).where("score <> 0").count() == 0
+
+
+def test_copied_toxic_texts_reach_the_fit(spark, monkeypatch):
+    """Few toxic texts with many copies each among many different clean ones, with a small fit sample."""
+    from sitewise.llm import toxicity
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 100)
+    hated = ["you vile stupid fool", "shut up you vile idiot", "stupid idiot, shut up"]
+    rows = [(i, f"a calm note number {i * 7919 % 3001} on the garden and the river", 0) for i in range(3000)]
+    rows += [(4000 + i, hated[i % 3], 1) for i in range(900)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(labelled)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(labelled, model).collect()}
+    found = {t: got[i] for i, t, _ in rows}
+    assert all(found[t] > 0.5 for t in hated) and all(s < 0.5 for t, s in found.items() if t.startswith("a calm"))
+
+
+def test_counts_of_presence_are_those_of_plain_sets(spark):
+    from sitewise.llm.toxicity import BITS, SIZES, present
+    from sitewise.llm.chars import presence
+    texts = ["abc abc", None, "", "Äpfel und abc", "x" * 700, "abcd" * 200]
+    who, what = present(texts, np.arange(1 << BITS))
+    pairs = {(part.start + i, j) for part, m in presence(texts, SIZES, BITS) for i, j in zip(*np.nonzero(m))}
+    assert pairs == set(zip(who.tolist(), what.tolist()))
