@@ -1,6 +1,7 @@
 """Decontamination, secrets, licences against brute force."""
 import collections
 import math
+import random
 import re
 
 import pytest
@@ -81,6 +82,58 @@ def test_many_seeds_meet_in_a_shuffle(spark, monkeypatch):
     assert contaminated(docs, spark.createDataFrame([(1, " ".join(ITEM))], "item_id long, text string")).count() == 1
 
 
+def found_by_loops(docs, bench):
+    """Best stretch of every diagonal of document and item that holds a hit of a mask."""
+    from sitewise.llm import decontamination as D
+    out = {}
+    for key, w in docs:
+        for item, v in bench:
+            masks = D.MASKS if len(v) >= D.SHORT else [*D.MASKS, *D._short_masks(len(v))]
+            best = 0
+            for shift in range(-len(v), len(w)):
+                pairs = [(w[i + shift], v[i]) for i in range(len(v)) if 0 <= i + shift < len(w)]
+                if not any(all(pairs[i + o][0] == pairs[i + o][1] for o in m) for m in masks for i in range(len(pairs) - m[-1])):
+                    continue
+                now = 0
+                for x, y in pairs:
+                    now = max(0, now) + (1 if x == y else -1 if len(v) < D.SHORT else -D.UNEQUAL)
+                    best = max(best, now)
+            share = len(v) - 2 if D.SHORTEST < len(v) < D.SHORT else -(-D.LEAST_SHARE * len(v) // 1)
+            if len(v) >= D.SHORTEST and best >= min(D.LEAST, share):
+                out[key, item] = best
+    return out
+
+
+def test_overlaps_equal_brute_force(spark):
+    rng = random.Random(4)
+    words = [f"v{i}" for i in range(300)]
+    bench = [(n, [rng.choice(words) for _ in range(n)]) for n in (*range(3, 13), 20, 31, 40)]
+    docs = []
+    for i in range(160):
+        _, v = rng.choice(bench)
+        part = list(v[rng.choice([0, 0, 2]):])
+        for _ in range(rng.choice([0, 1, 1, 2, 4])):
+            part[rng.randrange(len(part))] = "new"
+        docs.append((i, [rng.choice(words) for _ in range(rng.randrange(9))] + part + [rng.choice(words) for _ in range(rng.randrange(9))]))
+    frames = [spark.createDataFrame([(k, " ".join(w)) for k, w in rows], f"{name} long, text string")
+              for rows, name in ((docs, "doc_id"), (bench, "item_id"))]
+    expected = found_by_loops(docs, bench)
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(*frames).collect()}
+    assert got == set(expected) and 40 < len(got) < len(docs)
+
+
+def test_items_without_ids_or_spaces_and_long_ones(spark):
+    long_item = [f"x{i}" for i in range(400)]
+    chinese = "人工智能系统可以学习语言模型"
+    docs = spark.createDataFrame(
+        [(1, " ".join(ITEM)), (2, "b " + " ".join(long_item)), (3, "他说" + chinese + "。"), (4, " ".join(ITEM[:12])), (5, "w0 w1 zz w3 w4 w5"),
+         (6, "b " + " ".join(w if i % 50 else "other" for i, w in enumerate(long_item)))], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, " ".join(ITEM)), (7, " ".join(long_item)), (7, chinese), (8, " ".join(ITEM[:6]))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["item_words"]): (r["equal_words"], r["first_word"], r["last_word"]) for r in contaminated(docs, bench).collect()}
+    assert got == {(1, None, 30): (30, 0, 29), (1, 8, 6): (6, 0, 5), (2, 7, 400): (400, 1, 400), (3, 7, 14): (14, 2, 15), (4, None, 30): (12, 0, 11),
+                   (4, 8, 6): (6, 0, 5), (5, 8, 6): (5, 0, 5), (6, 7, 400): (392, 2, 400)}
+
+
 @pytest.fixture(scope="module")
 def licensed(spark):
     plain = [f"plain line {i} about the work of others and this version of it" for i in range(120)]

@@ -95,3 +95,14 @@ def test_pipeline_decisions(spark, tmp_path):
     assert "abcdef0123" not in masked["text"] and "[SECRET]" in masked["text"] and masked["n_chars"] == len(masked["text"])
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in rows} == set(kept[3])
+
+
+def test_texts_decide_about_contamination(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    item = " ".join(f"w{i}" for i in range(12))
+    spark.createDataFrame([(None, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, "a clean text", "x"), (1, item, "x"), (None, item, "x"), (None, "another clean text", "x"), (2, None, "x")],
+                                 "doc_id long, text string, _dropped string")
+    kept = corpus_pipeline.decontaminated(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert {(r["doc_id"], r["text"]) for r in kept.collect()} == {(1, "a clean text"), (None, "another clean text"), (2, None)}
