@@ -51,7 +51,7 @@ def remainder(divisor: int):
 def op8(spark, folder):
     from .language_model import score_texts
     docs = table(spark, folder, "documents").select("doc_id", "text", (remainder(7) == 2).alias("held_out"))
-    return score_texts(docs, docs.where("not held_out"), carry=("held_out",))
+    return score_texts(docs, ~F.col("held_out"), carry=("held_out",))
 
 
 @case("op2_language_id")

@@ -7,10 +7,11 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest_llm import words
+from pyspark.sql import functions as F
 
-from sitewise.llm import chars, language_id, toxicity
+from sitewise.llm import chars, language_id, language_model, toxicity
 from sitewise.llm import words as hashing
-from sitewise.llm.language_model import Automaton, score_texts
+from sitewise.llm.language_model import Automaton, Grams, expand, score_texts, squeeze
 from sitewise.llm.packing import _Words, pack, sum_of_squares, token_pieces
 
 
@@ -136,37 +137,67 @@ def test_runs_of_lengths_are_gapless_and_few(seed):
     assert len(parts) <= -(-sum(s * n for s, n in counts.items()) // 64) * 1.02 + 1
 
 
+def test_numbers_are_squeezed_and_expanded():
+    for x in ([], [0], [5, 1, 2 ** 64 - 1, 0], range(1000)):
+        assert expand(squeeze(np.array(x, np.uint64))).tolist() == list(x)
+
+
 def test_automaton_is_a_distribution():
-    unigram = np.array([0.2, 0.15, 0.1, 0.05])  # the rest is left to other words; the last is the end
-    counts = np.array([40, 30, 20, 10])
-    bigrams = {(0, 1): 12, (0, 3): 5, (1, 0): 9, (1, 2): 6, (2, 0): 4}
-    trigrams = {(0, 1, 0): 4, (0, 1, 2): 5, (1, 0, 1): 3}
-    model = Automaton(unigram, counts, bigrams, trigrams, end=3)
-    for context in ((), (0,), (1,), (0, 1), (1, 0)):
-        s = model.state[context]
-        known = sum(10 ** (model.step(s, w)[0] + math.log10(unigram[w])) for w in range(4))
-        other = 10 ** model.step(s, model.other)[0] * (1 - unigram.sum())
+    vocabulary = np.sort(np.append(np.arange(10, 15, dtype=np.uint64), language_model.END))
+    end = int(np.searchsorted(vocabulary, language_model.END))
+    rng = np.random.default_rng(3)
+    texts = [np.append(rng.integers(0, 4, size), end) for size in (0, 3, 9, 30)]
+    every = [np.array([a, b, end]) for a in range(6) for b in range(6) if end not in (a, b)]  # each pair once, not learnt
+    grams = Grams(vocabulary, np.concatenate(texts + every))
+    learnt = np.concatenate([np.ones(len(np.concatenate(texts))), np.zeros(len(np.concatenate(every)))])
+    counts, pairs = grams.counts(learnt)
+    scale = int(counts.sum() + (counts > 0).sum() + 1)
+    model = Automaton(grams, counts, pairs, scale)
+    place = {(a, b): j for a, b, j in zip(grams.before.tolist(), grams.tokens.tolist(), grams.pair.tolist())}
+    for history in range(5):
+        state = model.state[history]
+        step = lambda w: model.arc[place[history, w]] if model.arc[place[history, w]] <= 0 else model.back[state] + model.root[w]
+        known = sum(10 ** step(w) for w in range(6) if counts[w] and (history, w) in place)
+        other = 10 ** model.back[state] / scale  # all words that the training texts lack
         assert known + other == pytest.approx(1.0)
-    assert model.step(model.state[(0,)], 1)[1] == model.state[(0, 1)]
-    first = math.log10((12 - 0.5) / 40) - math.log10(0.15)
-    then = math.log10((5 - 0.5) / 12) - math.log10(0.1)
-    assert model.traverse([0, 1, 2]) == pytest.approx(first + then)
 
 
-def test_base_scores(spark, odd_docs, no_docs):
-    docs = odd_docs.where("doc_id is not null")
-    training = docs.where("doc_id <> 6")
-    rows = score_texts(docs, training, carry=("source",)).collect()
+@pytest.mark.parametrize("block", [3 << 20, 4])
+def test_scores_equal_plain_counts(spark, odd_docs, no_docs, monkeypatch, block):
+    monkeypatch.setattr(language_model, "BLOCK_TOKENS", block)
+    docs = odd_docs.where("doc_id is not null").repartition(3)
+    rows = score_texts(docs, F.col("doc_id") != 6, carry=("source", "length")).collect()
+    assert len(rows) == 10 and {(r["doc_id"], r["source"], r["length"]) for r in rows} == {tuple(r) for r in docs.select("doc_id", "source", "length").collect()}
     tokens = {r["doc_id"]: words(r["text"]) + ["\0end"] for r in docs.collect()}
-    learnt = [t for r in training.collect() for t in words(r["text"]) + ["\0end"]]
-    n, v = len(learnt), len(set(learnt))
+    learnt = [words(r["text"]) + ["\0end"] for r in docs.where("doc_id <> 6").collect()]
+    counts, pairs = {}, {}
+    for t in learnt:
+        for h, w in zip(["\0end", *t], t):
+            counts[w] = counts.get(w, 0) + 1
+            pairs[h, w] = pairs.get((h, w), 0) + 1
+    n, v = sum(counts.values()), len(counts)
+    alone = lambda w: (counts.get(w, 0) + 1) / (n + v + 1)
+
+    def after(h, w):
+        if h not in counts:
+            return alone(w)
+        novel = language_model.NOVEL * counts[h] ** language_model.GROWTH
+        b = novel / (counts[h] + novel)
+        return (1 - b) * pairs[h, w] / counts[h] + b * alone(w) if (h, w) in pairs else b * alone(w)
+
     for r in rows:
         t = tokens[r["doc_id"]]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(w in set(learnt) for w in t), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((learnt.count(w) + 1) / (n + v + 1)) for w in set(t) for _ in range(t.count(w))))
-    assert score_texts(no_docs, no_docs).count() == 0
-    empty = score_texts(docs.where("doc_id = 1"), no_docs).first()
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(w in counts for w in t), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10(alone(w)) for w in t))
+        assert r["score"] == pytest.approx(sum(math.log10(after(h, w)) for h, w in zip(["\0end", *t], t)))
+
+
+def test_scores_without_rows_or_training(spark, odd_docs, no_docs):
+    assert score_texts(no_docs, F.lit(True)).count() == 0
+    empty = score_texts(odd_docs.where("doc_id = 1"), F.lit(None).cast("boolean")).first()
     assert empty["n_known"] == 0 and empty["score"] == 0.0
+    none = score_texts(odd_docs.where("doc_id is null"), F.lit(True)).first()
+    assert none["doc_id"] is None and none["n_tokens"] == none["n_known"] == 4
 
 
 def test_presence_equals_a_plain_loop(monkeypatch):
