@@ -187,7 +187,8 @@ o AS (SELECT p_partkey % 60 AS a, 25 + (p_partkey * 7919 % 24000) / 1000.0::doub
 m AS (SELECT facility_id, p_name, la, lo, {sql_miles('latitude', 'longitude', 'la', 'lo', 3958.8)} AS miles FROM t JOIN o ON a = facility_id % 60)"""
 
 
-@case("adr03_adr04_tie_resolution", _TIES + """ SELECT facility_id, round(min(miles), 6) AS miles, arg_min(p_name, miles) AS matched_address FROM m GROUP BY 1 HAVING min(miles) <= 300""")
+@case("adr03_adr04_tie_resolution", _TIES + """ SELECT facility_id, round(miles, 6) AS miles, p_name AS matched_address FROM m WHERE miles <= 300
+QUALIFY row_number() OVER (PARTITION BY facility_id ORDER BY miles, la, lo, p_name) = 1""")
 def ties(spark, folder):
     zcta = role(spark, folder, "facilities").selectExpr(
         "lpad(string(facility_id), 5, '0') AS zcta5", "concat('POINT (', longitude, ' ', latitude, ')') AS geolocation")
@@ -212,20 +213,22 @@ def alternates(spark, folder):
 SELECT count(*) FILTER (step = 0) AS census_street_interpolation, count(*) FILTER (step = 1) AS census_tie_resolved, count(*) FILTER (step = 2) AS census_alternate_address,
   count(*) FILTER (step = 3) AS openstreetmap_hospital, count(*) FILTER (step <= 3) AS hospitals_located, count(*) FILTER (step = 4) AS hospitals_unlocated, count(*) FILTER (step > 0) AS approximate_display_fallbacks FROM f""")
 def fallback_counts(spark, folder):
-    """Every part is a hospital that one step of the chain places: cache, tie, alternate address, name; the fifth stays."""
+    """Every part is a hospital that one step of the chain places: cache, tie, alternate address, name; the fifth stays.
+
+    The ZIP is the key in base 36, so that its five characters stay unique beyond 99,999 parts."""
     base = table(spark, folder, "part").withColumn("step", F.expr("p_partkey % 5")).selectExpr(
         "p_partkey AS id", "step", "25 + (p_partkey * 7919 % 24000) / 1000D AS lat", "-67 - (p_partkey * 104729 % 57000) / 1000D AS lon")
     hospitals = base.selectExpr(
         "concat('f', id) AS facility_id", "'hospital' AS facility_type", "concat('c', id) AS ccn", "concat('Xq', id, ' Hospital') AS name",
-        "CASE WHEN step = 2 THEN 'PO BOX 7' ELSE concat(id, ' Main St') END AS street", "'Town' AS city", "'TX' AS state", "lpad(string(id), 5, '0') AS zip",
+        "CASE WHEN step = 2 THEN 'PO BOX 7' ELSE concat(id, ' Main St') END AS street", "'Town' AS city", "'TX' AS state", "lpad(conv(id, 10, 36), 5, '0') AS zip",
         "CASE WHEN step = 0 THEN lon END AS longitude", "CASE WHEN step = 0 THEN lat END AS latitude",
         "CASE step WHEN 0 THEN 'Match' WHEN 1 THEN 'Tie' ELSE 'No_Match' END AS geocode_status", "CASE WHEN step = 0 THEN 'census_street_interpolation' END AS geocode_method")
     # A second, located record under the same number gives the alternate address; it is not a hospital to place.
     twins = base.where("step = 2").selectExpr(
         "concat('t', id) AS facility_id", "'hospital' AS facility_type", "concat('c', id) AS ccn", "'Twin' AS name", "concat(id, ' Side St') AS street", "'Town' AS city",
         "'TX' AS state", "'' AS zip", "lon AS longitude", "lat AS latitude", "'Match' AS geocode_status", "'twin' AS geocode_method")
-    anchors = base.selectExpr("lpad(string(id), 5, '0') AS zip", "lon AS anchor_lon", "lat AS anchor_lat")
-    options = base.where("step = 1").selectExpr("concat(id, ' Main St, Town, TX ', lpad(string(id), 5, '0')) AS address", "lat + 0.01 AS latitude", "lon AS longitude", "'tie' AS matched_address")
+    anchors = base.selectExpr("lpad(conv(id, 10, 36), 5, '0') AS zip", "lon AS anchor_lon", "lat AS anchor_lat")
+    options = base.where("step = 1").selectExpr("concat(id, ' Main St, Town, TX ', lpad(conv(id, 10, 36), 5, '0')) AS address", "lat + 0.01 AS latitude", "lon AS longitude", "'tie' AS matched_address")
     cache = base.where("step = 2").select(
         registry.cache_key(F.concat("id", F.lit(" Side St")), F.lit("Town"), F.lit("TX"), F.lit("")).alias("key"), F.lit("Match").alias("status"), F.col("lon").alias("longitude"), F.col("lat").alias("latitude"))
     places = base.where("step = 3").selectExpr("concat('way/', id) AS place_id", "lat + 0.02 AS latitude", "lon AS longitude", "array(concat('XQ', id)) AS names")
