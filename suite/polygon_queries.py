@@ -146,7 +146,8 @@ def membership(spark, folder):
 
 
 @case("src16_load_designations", """WITH c AS (SELECT c_custkey % 300 AS d, c_custkey FROM customer WHERE c_custkey % 300 % 10 <> 9)
-SELECT lpad(d::varchar, 5, '0') AS designation_id, CASE WHEN d % 4 IN (0, 2) THEN 'mua' ELSE 'mup' END AS designation_kind, (d % 62)::double AS imu_score, count(*) AS components FROM c GROUP BY d""")
+SELECT lpad(d::varchar, 5, '0') AS designation_id, CASE WHEN d % 4 IN (0, 2) THEN 'mua' ELSE 'mup' END AS designation_kind, (d % 62)::double AS imu_score,
+  count(DISTINCT (c_custkey * 37 % 540, c_custkey * 11 % 130, c_custkey % 5, c_custkey % 4)) AS components FROM c GROUP BY d""")
 def load(spark, folder):
     parts = _rects(spark, folder, "designation", "c_custkey % 300 AS d").selectExpr(
         "concat(' ', lpad(string(d), 5, '0')) AS designation_id", "CASE WHEN d % 10 = 9 THEN 'Withdrawn' ELSE 'Designated ' END AS designation_status", "double(d % 62) AS imu_score", "rings",
