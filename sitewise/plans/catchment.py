@@ -129,12 +129,14 @@ def demand_catchment(sites: DataFrame, demand: DataFrame, baseline: DataFrame,
         sums |= {f"{g}_population_{t}min": (f"w_{g}", t) for g in SUBGROUPS}
         sums[f"vulnerability_weighted_population_{t}min"] = ("w_vulnerable", t)
     targets = targets.selectExpr("*", *[f"CASE WHEN base_minutes > {t} THEN w_population END AS w_new_{t}" for t in cfg.access_minutes])
-    saving = {"weighted_drive_minutes_saved": "w_population * saved",
+    # Decimals add up to the same sum in any order.
+    saving = {"weighted_drive_minutes_saved": "cast(w_population * saved as decimal(28, 10))",
               "population_with_any_access_improvement": "CASE WHEN saved > 0 THEN w_population END"}
     saving |= {f"population_saving_{t}plus_minutes": f"CASE WHEN saved >= {t} THEN w_population END" for t in cfg.saving_minutes}
-    return reach_totals(
+    reached = reach_totals(
         _site_points(sites), targets, "site_id", sums, miles=cfg.demand_miles, left_roads=("site_detour", "site_mph"),
         right_roads=("road_detour_factor", "effective_speed_mph"), floor_mph=cfg.roads.floor_mph, base="base_minutes", saving=saving)
+    return reached.withColumn("weighted_drive_minutes_saved", F.round("weighted_drive_minutes_saved", 6).cast("double"))
 
 
 def hospital_supply(sites: DataFrame, hospitals: DataFrame, cfg: CatchmentConfig = CatchmentConfig()) -> DataFrame:
@@ -187,5 +189,6 @@ def national_scores(features: DataFrame) -> DataFrame:
     }, policy="zero")
     scored = settle(scored.withColumn("stage6_access_score", row_mean(
         ["access_improvement_score", "new_access_score", "capacity_gap_score", "vulnerability_catchment_score"])))
-    ranks = ranking.ordered_rank(scored, "site_id", [("stage6_access_score", True), ("site_id", False)], "stage6_rank")
+    # Means of equal sums are ties, whatever the last bits of their addition.
+    ranks = ranking.ordered_rank(scored.withColumn("_mean", F.round("stage6_access_score", 12)), "site_id", [("_mean", True), ("site_id", False)], "stage6_rank")
     return framed.drop("_pressure").join(scored, "site_id").join(ranks, "site_id")

@@ -52,7 +52,7 @@ sd AS (SELECT s.site_id, d.*, b.base_minutes, site_detour, site_mph,
        FROM s CROSS JOIN d JOIN base b USING (demand_id)),
 sm AS (SELECT *, miles * (0.5::double * (site_detour + detour)) / greatest(0.5::double * (site_mph + mph), 10) * 60 AS minutes FROM sd WHERE miles <= 70),
 sv AS (SELECT *, greatest(0, base_minutes - minutes) AS saved FROM sm),
-reach AS (SELECT site_id, count(*) AS modeled_demand_points, sum(population * saved) AS weighted_drive_minutes_saved,
+reach AS (SELECT site_id, count(*) AS modeled_demand_points, round(sum((population * saved)::DECIMAL(28, 10)), 6) AS weighted_drive_minutes_saved,
     coalesce(sum(population) FILTER (saved > 0), 0) AS population_with_any_access_improvement,
     {", ".join(f"coalesce(sum(population) FILTER (saved >= {t}), 0) AS population_saving_{t}plus_minutes" for t in (10, 20, 30))},
     {", ".join(f"coalesce(sum(population) FILTER (minutes <= {t}), 0) AS population_within_{t}min, coalesce(sum(population) FILTER (minutes <= {t} AND base_minutes > {t}), 0) AS newly_accessible_population_{t}min, coalesce(sum(population * demographic_need_score) FILTER (minutes <= {t}), 0) AS vulnerability_weighted_population_{t}min" for t in T4)},
@@ -85,7 +85,7 @@ def existing_access(spark, folder):
 
 
 @case("sp11_sp12_site_features", with_roles("demand", "facilities", "sites") + "," + DEMAND_SQL + "," + SITE_SQL + f"""
-SELECT site_id, round(coalesce(weighted_drive_minutes_saved, 0), 2) AS weighted_drive_minutes_saved,
+SELECT site_id, round(coalesce(weighted_drive_minutes_saved, 0), 2)::DOUBLE AS weighted_drive_minutes_saved,
   {", ".join(f"round(coalesce(vulnerability_weighted_population_{t}min, 0), 3) AS vulnerability_weighted_population_{t}min" for t in T4)},
   {", ".join(f"coalesce({c}, 0)::bigint AS {c}" for c in _REACH_INTS + _SUPPLY_INTS)},
   round(nearest_existing_hospital_minutes, 6) AS nearest_existing_hospital_minutes
@@ -99,21 +99,21 @@ def site_features(spark, folder):
 
 
 NATIONAL_SQL = """
-f AS (SELECT s.*, coalesce(weighted_drive_minutes_saved, 0) AS weighted_saved, coalesce(population_with_any_access_improvement, 0) AS improved,
+f AS (SELECT s.*, coalesce(weighted_drive_minutes_saved::DOUBLE, 0) AS weighted_saved, coalesce(population_with_any_access_improvement, 0) AS improved,
         coalesce(population_saving_20plus_minutes, 0) AS saving20, coalesce(newly_accessible_population_30min, 0) AS newly30,
         coalesce(population_within_30min, 0) AS pop30, coalesce(population_within_45min, 0) AS pop45, coalesce(existing_beds_30min, 0) AS beds30,
         coalesce(vulnerability_weighted_population_30min, 0) AS vuln30, nearest_existing_hospital_minutes AS nearest_minutes,
         coalesce(elderly_population_30min, 0) AS elderly30, coalesce(poverty_population_30min, 0) AS poverty30,
         coalesce(uninsured_population_30min, 0) AS uninsured30, coalesce(disabled_population_30min, 0) AS disabled30
       FROM s LEFT JOIN reach USING (site_id) LEFT JOIN supply USING (site_id)),
-p AS (SELECT *, CASE WHEN beds30 > 0 THEN pop30 / beds30 END AS pressure0, CASE WHEN pop30 > 0 THEN vuln30 / pop30 END AS vmean FROM f),
+p AS (SELECT *, CASE WHEN beds30 > 0 THEN pop30 / beds30 END AS pressure0, CASE WHEN pop30 > 0 THEN round(vuln30, 6) / pop30 END AS vmean FROM f),
 q AS (SELECT coalesce(quantile_cont(pressure0, 0.995), 1) AS ceiling FROM p),
 p2 AS (SELECT p.*, CASE WHEN beds30 <= 0 AND pop30 > 0 THEN CASE WHEN ceiling > 0 THEN ceiling * 1.25 ELSE 1e9 END ELSE pressure0 END AS pressure FROM p, q),
 r AS (SELECT *,
-   (rank() OVER (ORDER BY round(weighted_saved, 6)) + (count(*) OVER (PARTITION BY round(weighted_saved, 6)) - 1) / 2.0::double) / count(*) OVER () AS access_improvement_score,
+   (rank() OVER (ORDER BY weighted_saved) + (count(*) OVER (PARTITION BY weighted_saved) - 1) / 2.0::double) / count(*) OVER () AS access_improvement_score,
    (rank() OVER (ORDER BY newly30) + (count(*) OVER (PARTITION BY newly30) - 1) / 2.0::double) / count(*) OVER () AS new_access_score,
    CASE WHEN pressure IS NULL THEN 0 ELSE (rank() OVER (ORDER BY pressure NULLS LAST) + (count(*) OVER (PARTITION BY pressure) - 1) / 2.0::double) / count(pressure) OVER () END AS capacity_gap_score,
-   CASE WHEN vmean IS NULL THEN 0 ELSE (rank() OVER (ORDER BY round(vmean, 9) NULLS LAST) + (count(*) OVER (PARTITION BY round(vmean, 9)) - 1) / 2.0::double) / count(vmean) OVER () END AS vulnerability_catchment_score
+   CASE WHEN vmean IS NULL THEN 0 ELSE (rank() OVER (ORDER BY vmean NULLS LAST) + (count(*) OVER (PARTITION BY vmean) - 1) / 2.0::double) / count(vmean) OVER () END AS vulnerability_catchment_score
   FROM p2),
 nat AS (SELECT *, (access_improvement_score + new_access_score + capacity_gap_score + vulnerability_catchment_score) / 4 AS stage6_access_score FROM r)"""
 
@@ -121,19 +121,18 @@ nat AS (SELECT *, (access_improvement_score + new_access_score + capacity_gap_sc
 def scored_sites(spark, folder):
     """National scores. Sums of products are rounded first: their last bits depend on the summation order."""
     features = settle(_features(spark, folder).withColumns({
-        "weighted_drive_minutes_saved": F.round("weighted_drive_minutes_saved", 6),
         "vulnerability_weighted_population_30min": F.round("vulnerability_weighted_population_30min", 6)}))
     return catchment.national_scores(features)
 
 
 @case("md07_national_scores", with_roles("demand", "facilities", "sites") + "," + DEMAND_SQL + "," + SITE_SQL + "," + NATIONAL_SQL + """
-SELECT site_id, round(access_improvement_score, 6) AS access_improvement_score, round(new_access_score, 6) AS new_access_score,
-  round(capacity_gap_score, 6) AS capacity_gap_score, round(vulnerability_catchment_score, 6) AS vulnerability_catchment_score,
-  round(stage6_access_score, 8) AS stage6_access_score,
-  row_number() OVER (ORDER BY round(stage6_access_score, 9) DESC, site_id)::int AS stage6_rank FROM nat""")
+SELECT site_id, """ + ", ".join(f"round({c}::DECIMAL(18, 12), 6)::DOUBLE AS {c}" for c in (
+    "access_improvement_score", "new_access_score", "capacity_gap_score", "vulnerability_catchment_score")) + """,
+  round(stage6_access_score::DECIMAL(18, 12), 8)::DOUBLE AS stage6_access_score,
+  row_number() OVER (ORDER BY round(stage6_access_score, 12) DESC, site_id)::int AS stage6_rank FROM nat""")
 def national_scores(spark, folder):
     return scored_sites(spark, folder).select(
-        "site_id", "stage6_rank", F.round("stage6_access_score", 8).alias("stage6_access_score"), *[F.round(c, 6).alias(c) for c in (
+        "site_id", "stage6_rank", F.round(F.round("stage6_access_score", 12), 8).alias("stage6_access_score"), *[F.round(c, 6).alias(c) for c in (
             "access_improvement_score", "new_access_score", "capacity_gap_score", "vulnerability_catchment_score")])
 
 
