@@ -126,7 +126,8 @@ def scenario_scores(sites: DataFrame, cfg: ScenarioConfig = ScenarioConfig(), nu
         "+ 4 * ln(1 + least(modeled_unmet_beds_30min, proposed_beds))) / greatest(estimated_capital_cost_musd, 1)"))
     crossed = settle(crossed.drop("min_catchment_population_45min", "weighted_drive_minutes_saved", "newly_accessible_population_30min",
                                   "population_within_30min", "population_within_45min", "existing_beds_30min", "nearest_existing_hospital_minutes"))
-    ranked = ranking.add_percentiles(crossed, "candidate_id", {"cost_efficiency_score": F.col("cost_efficiency_raw")},
+    # Equal products under the logarithms are ties: sums of logarithms tell them apart by rounding errors only.
+    ranked = ranking.add_percentiles(crossed, "candidate_id", {"cost_efficiency_score": F.round("cost_efficiency_raw", 12)},
                                      policy="half_constant")
     ranked = ranked.withColumns({
         "access_score": clip01(numeric(ranked, "access_improvement_score", 0)) * 0.65 + clip01(numeric(ranked, "new_access_score", 0)) * 0.35,

@@ -80,3 +80,16 @@ def test_apportion_adds_up(spark):
     df = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 1.0), ("a", 2, 1.0), ("b", 0, 0.0), ("b", 1, 0.0)], "g string, i int, v double")
     rows = ranking.apportion(df, "g", "i", "v", F.lit(100), "whole").orderBy("g", "i").collect()
     assert [r.whole for r in rows] == [34, 33, 33, 0, 0]
+
+
+def test_equal_products_under_logarithms_are_ties(spark):
+    """(1 + 49) (1 + 1)^2 = (1 + 1) (1 + 9)^2, though the sums of their logarithms differ in the last bit."""
+    from sitewise.plans import scenarios
+
+    sites = spark.createDataFrame([(1, 49.0, 1.0), (2, 1.0, 9.0), (3, 0.0, 0.0)], "site_id long, weighted_drive_minutes_saved double, newly_accessible_population_30min double").selectExpr(
+        "*", "'T' AS source_tract_geoid", "'01' AS state_fips", "0D AS latitude", "0D AS longitude", "20000D AS population_within_30min", "30000D AS population_within_45min",
+        "0D AS existing_beds_30min", "0.5D AS access_improvement_score", "0.5D AS capacity_gap_score", "0.5D AS vulnerability_catchment_score", "0.5D AS new_access_score",
+        "0.5D AS stage6_access_score", "5D AS nearest_existing_hospital_minutes")
+    rows = scenarios.scenario_scores(sites).where("configuration_id = 'rural_25' AND site_id < 3").collect()
+    assert rows[0]["cost_efficiency_raw"] != rows[1]["cost_efficiency_raw"]
+    assert rows[0]["cost_efficiency_score"] == rows[1]["cost_efficiency_score"]
