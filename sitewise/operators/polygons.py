@@ -261,6 +261,7 @@ def covered_area(area: np.ndarray, covers_: list[np.ndarray], low: float = -math
     return total
 
 
+METRES_PER_DEGREE = 111_320.0
 STRIP_MEMBERS = 64  # partial overlaps of one area handled together before its width is cut into strips
 
 
@@ -271,41 +272,46 @@ def overlay(areas: DataFrame, designations: DataFrame, key: str, rings: str = "r
     positive overlap. coverage: key, designation_kind, designation_count, boundary_area_fraction of the union.
     """
     def shaped(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
-        """Projected edges and bounding box of each polygon."""
-        return settle(df.withColumn("_p", projected(rings)).select(*columns, edges("_p").alias("_e")).select(
-            *columns, _flat("_e").alias(name), *[F.expr(f"array_{f}(transform(_e, e -> {g}(e.{t}1, e.{t}2))) AS {name}_{t}{n}")
-                                                 for t in "xy" for n, f, g in ((0, "min", "least"), (1, "max", "greatest"))]))
+        """Projected edges of each polygon, with their bounding box and that of the rings in degrees."""
+        framed = df.withColumn("_p", projected(rings)).select(*columns, edges("_p").alias("_e"), F.expr(f"flatten({rings})").alias("_d"))
+        return settle(framed.select(
+            *columns, _flat("_e").alias(name),
+            *[F.expr(f"array_{f}(transform(_e, e -> {g}(e.{t}1, e.{t}2))) AS {name}_{t}{n}") for t in "xy" for n, f, g in ((0, "min", "least"), (1, "max", "greatest"))],
+            *[F.expr(f"array_{f}(transform(_d, p -> p.{t})) AS {name}_d{t}{n}") for t in "xy" for n, f in ((0, "min"), (1, "max"))]))
 
     left = shaped(areas, [key], "_area")
-    right = shaped(with_shape(designations), ["_shape", "designation_id", "designation_kind"], "_cover")
-    pairs = _bbox_pairs(left, right, key, cell_metres)
+    placed = shaped(with_shape(designations), ["_shape", "designation_id", "designation_kind"], "_cover")
+    # Equal shapes are measured once, under the first of their keys.
+    boxes = [c for c in placed.columns if c.startswith("_cover_")]
+    right = settle(placed.groupBy("_cover").agg(F.min("_shape").alias("_form"), *[F.first(c).alias(c) for c in boxes]))
+    members = settle(placed.select("_shape", "designation_id", "designation_kind", "_cover").join(right.select("_cover", "_form"), "_cover").drop("_cover"))
+    pairs = _bbox_pairs(left, right, key, cell_metres / METRES_PER_DEGREE)
 
     def measure(batches):
         for batch in batches:
             shapes = [(_edge_rows(a), _edge_rows(c)) for a, c in zip(batch["_area"], batch["_cover"])]
             batch["overlap_area_m2"] = [covered_area(a, [c]) for a, c in shapes]
             batch["area_m2"] = [abs(float((a[:, 0] * a[:, 3] - a[:, 2] * a[:, 1]).sum()) / 2) for a, _ in shapes]
-            yield batch[[key, "_shape", "designation_id", "designation_kind", "overlap_area_m2", "area_m2"]]
+            yield batch[[key, "_form", "overlap_area_m2", "area_m2"]]
 
     kind = left.schema[key].dataType.simpleString()
-    did = right.schema["designation_id"].dataType.simpleString()
     # The work per pair dwarfs its bytes, so the task count must not follow the bytes.
-    measured = pairs.repartition(parallel_tasks(pairs.sparkSession), key, "_shape").mapInPandas(
-        measure, f"{key} {kind}, _shape string, designation_id {did}, designation_kind string, overlap_area_m2 double, area_m2 double")
-    shapes = settle(measured.where(F.col("overlap_area_m2") > 0))
+    measured = pairs.repartition(parallel_tasks(pairs.sparkSession), key, "_form").mapInPandas(
+        measure, f"{key} {kind}, _form string, overlap_area_m2 double, area_m2 double")
+    shapes = settle(settle(measured.where(F.col("overlap_area_m2") > 0)).join(members, "_form"))
     links = shapes.groupBy(key, "designation_id", "designation_kind").agg(
-        F.max("overlap_area_m2").alias("overlap_area_m2"), F.max("area_m2").alias("area_m2"), F.count("*").alias("_shapes"))
+        F.max("overlap_area_m2").alias("overlap_area_m2"), F.max("area_m2").alias("area_m2"), F.min("_form").alias("_low"), F.max("_form").alias("_high"))
     if "component" in designations.columns:
         # Several components of one designation in one area count once where they overlap.
-        several = settle(links.where("_shapes > 1"))
+        several = settle(links.where("_low <> _high"))
         links = links.join(_union_areas(several, shapes, left, right, key, "designation_id"), [key, "designation_id"], "left").withColumn(
             "overlap_area_m2", F.coalesce("union_m2", "overlap_area_m2")).drop("union_m2")
     links = settle(links.withColumn("boundary_area_fraction", F.col("overlap_area_m2") / F.col("area_m2")))
     totals = links.groupBy(key, "designation_kind").agg(
-        F.count("*").alias("designation_count"), F.sum("_shapes").alias("_shapes"), F.max("area_m2").alias("area_m2"),
-        F.max("boundary_area_fraction").alias("_largest"))
-    # One designation already covers the area, or a single one touches it: nothing to unite.
-    open_ = totals.where((F.col("_largest") < 1 - 1e-12) & (F.col("designation_count") > 1))
+        F.count("*").alias("designation_count"), F.max("area_m2").alias("area_m2"),
+        F.max("boundary_area_fraction").alias("_largest"), F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    # One designation already covers the area, or a single shape touches it: nothing to unite.
+    open_ = totals.where((F.col("_largest") < 1 - 1e-12) & (F.col("_low") != F.col("_high")))
     united = _union_areas(open_, shapes, left, right, key, "designation_kind")
     coverage = totals.join(united, [key, "designation_kind"], "left").select(
         key, "designation_kind", "designation_count",
@@ -320,32 +326,31 @@ def with_shape(designations: DataFrame) -> DataFrame:
 
 
 def _bbox_pairs(left: DataFrame, right: DataFrame, key: str, size: float) -> DataFrame:
-    """Area and designation pairs whose boxes overlap. Only boxes travel through the cell join."""
+    """Areas and shapes whose boxes in degrees overlap. Only boxes travel through the cell join."""
     w = f"{size!r}D"
 
     def celled(df: DataFrame, name: str, column: str) -> DataFrame:
-        return df.select(column, *[f"{name}_{t}{n}" for t in "xy" for n in (0, 1)]).selectExpr(
-            "*", f"explode(sequence(floor({name}_x0 / {w}), floor({name}_x1 / {w}))) AS cx").selectExpr(
-            "*", f"explode(sequence(floor({name}_y0 / {w}), floor({name}_y1 / {w}))) AS cy", "0L AS cz")
+        return df.select(column, *[f"{name}_d{t}{n}" for t in "xy" for n in (0, 1)]).selectExpr(
+            "*", f"explode(sequence(floor({name}_dx0 / {w}), floor({name}_dx1 / {w}))) AS cx").selectExpr(
+            "*", f"explode(sequence(floor({name}_dy0 / {w}), floor({name}_dy1 / {w}))) AS cy", "0L AS cz")
 
-    met = spatial._cell_join(celled(left, "_area", key), celled(right, "_cover", "_shape"), spatial.CROWDED_ROWS).where(
-        "_area_x0 < _cover_x1 AND _cover_x0 < _area_x1 AND _area_y0 < _cover_y1 AND _cover_y0 < _area_y1 "
+    met = spatial._cell_join(celled(left, "_area", key), celled(right, "_cover", "_form"), spatial.CROWDED_ROWS).where(
+        "_area_dx0 < _cover_dx1 AND _cover_dx0 < _area_dx1 AND _area_dy0 < _cover_dy1 AND _cover_dy0 < _area_dy1 "
         # Two boxes may share several cells: the pair is kept in the first one only.
-        f"AND cx = floor(greatest(_area_x0, _cover_x0) / {w}) AND cy = floor(greatest(_area_y0, _cover_y0) / {w})")
-    return met.select(key, "_shape").join(left.select(key, "_area"), key).join(
-        right.select("_shape", "designation_id", "designation_kind", "_cover"), "_shape")
+        f"AND cx = floor(greatest(_area_dx0, _cover_dx0) / {w}) AND cy = floor(greatest(_area_dy0, _cover_dy0) / {w})")
+    return met.select(key, "_form").join(left.select(key, "_area"), key).join(right.select("_form", "_cover"), "_form")
 
 
 def _union_areas(open_: DataFrame, shapes: DataFrame, left: DataFrame, right: DataFrame, key: str, group: str) -> DataFrame:
     """key, group, union_m2 of the shapes of a group in an area. Areas with many are cut into vertical strips, one task group each."""
-    strips = F.greatest(F.lit(1), F.ceil(F.col("_shapes") / STRIP_MEMBERS)).cast("int")
-    shaped = open_.select(key, group, strips.alias("_strips")).join(left, key).selectExpr(
+    # Copies of one shape count once.
+    forms = shapes.join(open_.select(key, group), [key, group], "left_semi").select(key, group, "_form").distinct()
+    counts = forms.groupBy(key, group).agg(F.ceil(F.count("*") / STRIP_MEMBERS).cast("int").alias("_strips"))
+    shaped = counts.join(left, key).selectExpr(
         "*", "explode(sequence(0, _strips - 1)) AS _strip").selectExpr(
         "*", "_area_x0 + (_area_x1 - _area_x0) * _strip / _strips AS _low", "_area_x0 + (_area_x1 - _area_x0) * (_strip + 1) / _strips AS _high")
-    members = shapes.select(key, group, "_shape").join(right.drop("designation_id", "designation_kind"), "_shape")
-    # Copies of one shape count once.
-    grouped = shaped.join(members, [key, group]).where("_cover_x0 < _high AND _cover_x1 > _low").groupBy(
-        key, group, "_strip", "_cover").agg(F.first("_area").alias("_area"), F.first("_low").alias("_low"), F.first("_high").alias("_high"))
+    grouped = shaped.join(forms.join(right, "_form"), [key, group]).where("_cover_x0 < _high AND _cover_x1 > _low").select(
+        key, group, "_strip", "_cover", "_area", "_low", "_high")
     kinds = {c: shapes.schema[c].dataType.simpleString() for c in (key, group)}
 
     def unite(pdf: pd.DataFrame) -> pd.DataFrame:

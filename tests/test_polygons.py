@@ -117,3 +117,34 @@ def test_designation_contracts(spark):
 def test_ring_problems(spark):
     df = spark.createDataFrame([("ok", TRIANGLE), ("open", [TRIANGLE[0][:-1] + [(9.0, 9.0)]]), ("short", [TRIANGLE[0][:2]]), ("none", None)], f"k string, rings {RING}")
     assert {r["k"]: r["problem"] for r in polygons.ring_problems(df, "k", "rings").collect()} == {"open": "open ring", "short": "too short", "none": "missing"}
+
+
+def _boxes(spark, rows, columns):
+    ring = "array(array(" + ", ".join(f"named_struct('x', {x}, 'y', {y})" for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0"))) + "))"
+    return spark.createDataFrame(rows, columns + ", x0 double, y0 double, x1 double, y1 double").selectExpr("*", f"{ring} AS rings")
+
+
+def test_copies_are_measured_once_and_boxes_meet_in_degrees(spark):
+    areas = _boxes(spark, [("a", 0.0, 40.0, 2.0, 42.0), ("b", 0.0, 138.0, 2.0, 140.0)], "k string")
+    covers = _boxes(spark, [(f"d{i}", "mua", 1.0, 41.0, 3.0, 43.0) for i in range(5)] + [("e", "mua", 0.0, 40.0, 1.0, 41.0)],
+                    "designation_id string, designation_kind string")
+    links, coverage = polygons.overlay(areas, covers, "k")
+    rows = links.collect()
+    assert {(r["k"], r["designation_id"]) for r in rows} == {("a", d) for d in ("d0", "d1", "d2", "d3", "d4", "e")}
+    assert len({r["overlap_area_m2"] for r in rows if r["designation_id"] != "e"}) == 1
+    fractions = {r["designation_id"]: r["boundary_area_fraction"] for r in rows}
+    (union,) = coverage.collect()
+    assert union["designation_count"] == 6 and union["boundary_area_fraction"] == pytest.approx(fractions["d0"] + fractions["e"])
+
+
+def test_membership_equals_flags_of_all_links(spark):
+    from sitewise.plans import designations
+
+    shapes = _boxes(spark, [(f"d{i}", "mua" if i % 2 else "mup", i % 3 * 1.0, 0.0, i % 3 + 1.5, 1.0) for i in range(9)],
+                    "designation_id string, designation_kind string")
+    points = spark.range(40).selectExpr("id AS facility_id", "CASE WHEN id % 9 = 0 THEN NULL ELSE id % 2 * 0.8D END AS latitude", "id % 8 * 0.7D AS longitude")
+    links = designations.facility_links(points, shapes)
+    assert links.count() == links.distinct().count() > 0
+    want = {tuple(r) for r in designations.with_membership(points, links).collect()}
+    got = {tuple(r) for r in designations.membership(points, shapes).select("facility_id", "latitude", "longitude", "inside_mua_boundary", "inside_mup_boundary").collect()}
+    assert got == want
