@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.exprs import strip
 from ..operators.checks import require_none, require_rows
 from ..operators.polygons import overlay, points_in_polygons, ring_problems, with_shape
+from ..session import settle
 
 # Designation types and the kind they belong to; the form of an identifier.
 KINDS = {
@@ -63,11 +64,34 @@ def area_coverage(areas: DataFrame, designations: DataFrame, key: str, rings: st
         "muap_spatial_evaluated": F.lit(True)})
 
 
+def _places_in_shapes(facilities: DataFrame, designations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(latitude, longitude, _form) of places inside shapes, and designations with the _form of their shape.
+
+    Facilities at one spot, and equal shapes, are tested once."""
+    shapes = with_shape(designations).select("_shape", "designation_id", "designation_kind", "rings")
+    forms = settle(shapes.groupBy("rings").agg(F.min("_shape").alias("_form")))
+    members = shapes.join(forms, "rings").select("designation_id", "designation_kind", "_form").distinct()
+    places = facilities.where("latitude IS NOT NULL AND longitude IS NOT NULL").select("latitude", "longitude").distinct().withColumn(
+        "_place", F.struct("latitude", "longitude"))
+    return points_in_polygons(places, forms, "_place", "_form").select("_place.latitude", "_place.longitude", "_form"), members
+
+
 def facility_links(facilities: DataFrame, designations: DataFrame) -> DataFrame:
-    """Distinct facility_id, designation_id, designation_kind of facilities inside designations."""
-    shapes = with_shape(designations)
-    return points_in_polygons(facilities, shapes, "facility_id", "_shape", extra=["designation_id", "designation_kind"]).select(
-        "facility_id", "designation_id", "designation_kind").distinct()
+    """Distinct facility_id, designation_id, designation_kind of facilities (one place each) inside designations."""
+    hits, members = _places_in_shapes(facilities, designations)
+    links = hits.join(members, "_form").select("latitude", "longitude", "designation_id", "designation_kind").distinct()
+    return facilities.select("facility_id", "latitude", "longitude").distinct().join(links, ["latitude", "longitude"]).select(
+        "facility_id", "designation_id", "designation_kind")
+
+
+def membership(facilities: DataFrame, designations: DataFrame) -> DataFrame:
+    """``with_membership`` of all links, without listing them: the kinds of the shapes around each place suffice."""
+    hits, members = _places_in_shapes(facilities, designations)
+    flags = hits.join(members.select("_form", "designation_kind").distinct(), "_form").groupBy("latitude", "longitude").agg(*[
+        F.max(F.col("designation_kind") == k).alias(f"_{k}") for k in ("mua", "mup")])
+    located = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    return facilities.join(flags, ["latitude", "longitude"], "left").withColumns({
+        f"inside_{k}_boundary": F.when(located, F.coalesce(f"_{k}", F.lit(False))) for k in ("mua", "mup")}).drop("_mua", "_mup")
 
 
 def with_membership(facilities: DataFrame, links: DataFrame) -> DataFrame:

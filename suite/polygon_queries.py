@@ -140,9 +140,7 @@ def facility_links(spark, folder):
 SELECT facility_id, CASE WHEN latitude IS NOT NULL THEN facility_id IN (SELECT facility_id FROM l WHERE designation_kind = 'mua') END AS inside_mua_boundary,
   CASE WHEN latitude IS NOT NULL THEN facility_id IN (SELECT facility_id FROM l WHERE designation_kind = 'mup') END AS inside_mup_boundary FROM p""")
 def membership(spark, folder):
-    points = _points(spark, folder)
-    links = designations.facility_links(points, _designations(spark, folder))
-    return designations.with_membership(points, links).select("facility_id", "inside_mua_boundary", "inside_mup_boundary")
+    return designations.membership(_points(spark, folder), _designations(spark, folder)).select("facility_id", "inside_mua_boundary", "inside_mup_boundary")
 
 
 @case("src16_load_designations", """WITH c AS (SELECT c_custkey % 300 AS d, c_custkey FROM customer WHERE c_custkey % 300 % 10 <> 9)
