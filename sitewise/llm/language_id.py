@@ -27,6 +27,8 @@ LANDMARKS_PER_LABEL = 24
 # All languages together; more languages than that have one text and one landmark each.
 FIT_ROWS = 12_000
 LANDMARK_ROWS = 480
+# Texts unpacked at once on the driver, 128 kB each.
+FIT_SLICE = 256
 RIDGE = 1e-3
 
 
@@ -78,12 +80,24 @@ def fit(labelled: DataFrame, label: str = "lang", text: str = "text") -> Kernel
     if got.empty:
         return None
     labels = sorted(got["label"].unique())
-    x = np.unpackbits(np.frombuffer(b"".join(got["bits"]), np.uint8).reshape(len(got), -1), axis=1).astype(np.float32)
-    norms = np.maximum(x.sum(1), 1)
+    packed = got["bits"].tolist()
+
+    def unpacked(rows) -> np.ndarray:
+        bits = np.frombuffer(b"".join(packed[i] for i in rows), np.uint8).reshape(len(rows), -1)
+        return np.unpackbits(bits, axis=1).astype(np.float32)
+
     marks = max(1, min(LANDMARKS_PER_LABEL, LANDMARK_ROWS // len(labels)))
     chosen = np.flatnonzero((got.groupby("label").cumcount() < marks).to_numpy())
-    landmarks = np.ascontiguousarray(x[chosen].T)
-    kernel = (x @ landmarks) / np.sqrt(norms[:, None] * norms[chosen][None, :])
+    landmarks = np.ascontiguousarray(unpacked(chosen).T)
+    norms = np.ones(len(got), np.float32)
+    kernel = np.empty((len(got), len(chosen)), np.float32)
+    # the bits take 32 times their packed size once they are floats: the driver unpacks FIT_SLICE texts at a time
+    for start in range(0, len(got), FIT_SLICE):
+        part = np.arange(start, min(start + FIT_SLICE, len(got)))
+        x = unpacked(part)
+        norms[part] = np.maximum(x.sum(1), 1)
+        kernel[part] = x @ landmarks
+    kernel /= np.sqrt(norms[:, None] * norms[chosen][None, :])
     values, vectors = np.linalg.eigh(kernel[chosen].astype(np.float64))
     kept = values > 1e-6 * values.max()
     nystroem = vectors[:, kept] / np.sqrt(values[kept])

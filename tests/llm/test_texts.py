@@ -283,3 +283,16 @@ def test_counts_of_presence_are_those_of_plain_sets(spark):
     who, what = present(texts, np.arange(1 << BITS))
     pairs = {(part.start + i, j) for part, m in presence(texts, SIZES, BITS) for i, j in zip(*np.nonzero(m))}
     assert pairs == set(zip(who.tolist(), what.tolist()))
+
+
+def test_language_fit_unpacks_few_texts_at_once(spark, monkeypatch):
+    rows = spark.createDataFrame(invented(1, 60), "doc_id long, lang string, text string")
+    seen, unpack = [], np.unpackbits
+    monkeypatch.setattr(np, "unpackbits", lambda bits, **options: seen.append(len(bits)) or unpack(bits, **options))
+    whole = language_id.fit(rows)
+    monkeypatch.setattr(language_id, "LANDMARKS_PER_LABEL", 5)
+    monkeypatch.setattr(language_id, "FIT_SLICE", 7)
+    seen.clear()
+    few = language_id.fit(rows)
+    assert max(seen[1:]) <= 7 and sum(seen[1:]) > 21
+    assert whole.labels == few.labels and np.isfinite(few.weights).all()
