@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitewise.functions import geo
 from sitewise.operators import checks
-from sitewise.session import shared_folder
+from sitewise.session import parallel_tasks, settle, shared_folder
 from sitewise.sources import sinks, staging
 
 from .registry import case
@@ -88,8 +88,10 @@ def inventory(spark, folder):
     """One small file per supplier in a folder per nation; a quarter of the receipts carry a wrong hash."""
     path = _place(spark)
     rows = table(spark, folder, "supplier").selectExpr("string(s_nationkey) AS source", "string(s_suppkey) AS file", "concat(s_name, s_suppkey) AS value")
-    rows.repartition("source", "file").write.partitionBy("source", "file").text(path)
-    files = staging.inventory(spark, path)
+    # One file a supplier is far more work than bytes: many tasks write, and each moves its own files into place.
+    rows.repartition(parallel_tasks(spark), "source", "file").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(
+        "source", "file").text(path)
+    files = settle(staging.inventory(spark, path))  # read three times
     named = files.where(F.col("path").contains("part-")).withColumns({
         "source": F.regexp_extract("path", "source=([0-9]+)", 1), "file": F.regexp_extract("path", "file=([0-9]+)", 1)})
     receipts = named.join(rows, ["source", "file"]).select("path", F.upper(F.sha2(F.concat("value", F.when(
