@@ -283,7 +283,7 @@ def overlay(areas: DataFrame, designations: DataFrame, key: str, rings: str = "r
     placed = shaped(with_shape(designations), ["_shape", "designation_id", "designation_kind"], "_cover")
     # Equal shapes are measured once, under the first of their keys.
     boxes = [c for c in placed.columns if c.startswith("_cover_")]
-    right = settle(placed.groupBy("_cover").agg(F.min("_shape").alias("_form"), *[F.first(c).alias(c) for c in boxes]))
+    right = settle(placed.groupBy("_cover").agg(F.concat_ws("/", F.min("_shape"), F.xxhash64("_cover")).alias("_form"), *[F.first(c).alias(c) for c in boxes]))
     members = settle(placed.select("_shape", "designation_id", "designation_kind", "_cover").join(right.select("_cover", "_form"), "_cover").drop("_cover"))
     pairs = _bbox_pairs(left, right, key, cell_metres / METRES_PER_DEGREE)
 

@@ -69,7 +69,7 @@ def _places_in_shapes(facilities: DataFrame, designations: DataFrame) -> tuple[D
 
     Facilities at one spot, and equal shapes, are tested once."""
     shapes = with_shape(designations).select("_shape", "designation_id", "designation_kind", "rings")
-    forms = settle(shapes.groupBy("rings").agg(F.min("_shape").alias("_form")))
+    forms = settle(shapes.groupBy("rings").agg(F.concat_ws("/", F.min("_shape"), F.xxhash64("rings")).alias("_form")))
     members = shapes.join(forms, "rings").select("designation_id", "designation_kind", "_form").distinct()
     places = facilities.where("latitude IS NOT NULL AND longitude IS NOT NULL").select("latitude", "longitude").distinct().withColumn(
         "_place", F.struct("latitude", "longitude"))

@@ -98,8 +98,12 @@ def candidate_points(spark, folder):
     return found.select("tract_geoid", "candidate_ordinal", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"), "site_id")
 
 
-def _designations(spark, folder):
-    return _rects(spark, folder, "designation", "lpad(string(c_custkey), 5, '0') AS designation_id", "CASE WHEN c_custkey % 2 = 0 THEN 'mua' ELSE 'mup' END AS designation_kind")
+# The shown identifier has five characters, which many customers share beyond 99,999: operators get ten.
+_SHOWN = "lpad(string(bigint(designation_id)), 5, '0') AS designation_id"
+
+
+def _designations(spark, folder, width=10):
+    return _rects(spark, folder, "designation", f"lpad(string(c_custkey), {width}, '0') AS designation_id", "CASE WHEN c_custkey % 2 = 0 THEN 'mua' ELSE 'mup' END AS designation_kind")
 
 
 _OVER = _AREAS + f""", d AS ({_rect_sql('designation', "lpad(c_custkey::varchar, 5, '0') AS designation_id, CASE WHEN c_custkey % 2 = 0 THEN 'mua' ELSE 'mup' END AS designation_kind")}),
@@ -111,7 +115,7 @@ o AS (SELECT tract_geoid, designation_id, designation_kind, greatest({_px('t.x0'
 @case("sp09_overlay_links", _OVER + """ SELECT tract_geoid, designation_id, designation_kind, round((a1 - a0) * (b1 - b0) / 1000000, 3) AS overlap_km2, round((a1 - a0) * (b1 - b0) / area, 6) AS fraction FROM o""")
 def overlay_links(spark, folder):
     links, _ = polygons.overlay(_tracts(spark, folder), _designations(spark, folder), "tract_geoid")
-    return links.select("tract_geoid", "designation_id", "designation_kind", F.round(F.col("overlap_area_m2") / 1e6, 3).alias("overlap_km2"),
+    return links.select("tract_geoid", F.expr(_SHOWN), "designation_kind", F.round(F.col("overlap_area_m2") / 1e6, 3).alias("overlap_km2"),
                         F.round("boundary_area_fraction", 6).alias("fraction"))
 
 
@@ -126,14 +130,15 @@ SELECT t.tract_geoid, coalesce(max(w.n) FILTER (w.designation_kind = 'mua'), 0)
   round(coalesce(max(covered / area) FILTER (w.designation_kind = 'mua'), 0), 6) AS mua_fraction, round(coalesce(max(covered / area) FILTER (w.designation_kind = 'mup'), 0), 6) AS mup_fraction
 FROM t LEFT JOIN w USING (tract_geoid) LEFT JOIN u ON u.tract_geoid = w.tract_geoid AND u.designation_kind = w.designation_kind GROUP BY 1""")
 def union_coverage(spark, folder):
-    covered = designations.area_coverage(_tracts(spark, folder), _designations(spark, folder), "tract_geoid")
+    # counted by the shown identifier
+    covered = designations.area_coverage(_tracts(spark, folder), _designations(spark, folder, 5), "tract_geoid")
     return covered.select("tract_geoid", "mua_designation_count", "mup_designation_count", F.round("mua_boundary_area_fraction", 6).alias("mua_fraction"),
                           F.round("mup_boundary_area_fraction", 6).alias("mup_fraction"))
 
 
 @case("sp08_facility_designation_links", _OVER + """ SELECT facility_id, designation_id, designation_kind FROM p JOIN d ON longitude BETWEEN x0 AND x1 AND latitude BETWEEN y0 AND y1""")
 def facility_links(spark, folder):
-    return designations.facility_links(_points(spark, folder), _designations(spark, folder))
+    return designations.facility_links(_points(spark, folder), _designations(spark, folder)).select("facility_id", F.expr(_SHOWN), "designation_kind")
 
 
 @case("sp08_membership_flags", _OVER + """, l AS (SELECT facility_id, designation_kind FROM p JOIN d ON longitude BETWEEN x0 AND x1 AND latitude BETWEEN y0 AND y1)
