@@ -4,6 +4,8 @@ from __future__ import annotations
 import numpy as np
 
 CHUNK_CHARS = 1 << 19
+# Cells of one matrix of ``presence``, one byte each.
+MATRIX_CELLS = 1 << 23
 
 
 def chunks(texts: list[str | None]):
@@ -50,9 +52,9 @@ def buckets(points: np.ndarray, owner: np.ndarray, sizes: tuple[int, ...], bits:
         yield (mixed >> np.uint32(32 - bits))[inside].astype(np.int64), owner[:len(rolled)][inside]
 
 
-def presence(texts: list[str | None], sizes: tuple[int, ...], bits: int):
-    """Batches (slice of texts, boolean matrix text x bucket) with few enough texts for a bounded matrix."""
-    step = max(1, (1 << 23) >> bits)
+def presence(texts: list[str | None], sizes: tuple[int, ...], bits: int, cells: int = MATRIX_CELLS):
+    """Batches (slice of texts, boolean matrix text x bucket) with few enough texts for a matrix of ``cells``."""
+    step = max(1, cells >> bits)
     for at in range(0, len(texts), step):
         part = texts[at:at + step]
         matrix = np.zeros((len(part), 1 << bits), bool)

@@ -29,6 +29,8 @@ FIT_ROWS = 12_000
 LANDMARK_ROWS = 480
 # Texts unpacked at once on the driver, 128 kB each.
 FIT_SLICE = 256
+# Cells of a batch's matrix: the product needs them as floats, 8 MB in each worker.
+SCORE_CELLS = 1 << 21
 RIDGE = 1e-3
 
 
@@ -43,7 +45,7 @@ class Kernel:
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """text x label: near 1 for a label that fits, near -1 for others."""
         out = np.zeros((len(texts), len(self.labels)))
-        for part, matrix in presence(texts, SPECTRUM, BITS):
+        for part, matrix in presence(texts, SPECTRUM, BITS, SCORE_CELLS):
             own = np.maximum(matrix.sum(1), 1)
             kernel = (matrix.astype(np.float32) @ self.landmarks) / np.sqrt(own[:, None] * self.norms[None, :])
             out[part] = kernel @ self.weights + self.bias
@@ -71,7 +73,7 @@ def fit(labelled: DataFrame, label: str = "lang", text: str = "text") -> Kernel
     def pack(batches):
         for batch in slices(batches):
             bits = []
-            for _, matrix in presence(batch.column("text").to_pylist(), SPECTRUM, BITS):
+            for _, matrix in presence(batch.column("text").to_pylist(), SPECTRUM, BITS, SCORE_CELLS):
                 bits += [m.tobytes() for m in np.packbits(matrix, axis=1)]
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("draw"), pa.array(bits, pa.binary())], names=["label", "draw", "bits"])
 

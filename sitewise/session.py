@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 # Largest table this library is willing to broadcast, in rows. Every broadcast is
 # preceded by a count against it (or by an argument that fixes the row count).
 BROADCAST_ROWS = 10_000
+# Rows of documents that travel between the JVM and a Python worker at a time.
+ARROW_ROWS = 1_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,3 +43,14 @@ def parallel_tasks(spark: SparkSession) -> int:
 
     The planner sizes tasks by bytes and would run such a stage in one or two tasks."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
+def short_batches(spark: SparkSession) -> None:
+    """At most ARROW_ROWS rows in an Arrow batch of this session; a smaller setting stays.
+
+    By default a batch has 10,000 rows, which is all the text of a small split. The JVM and the worker each hold it
+    beside the heap, and Spark has no such setting for a single frame."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(name))
+    if not 0 < rows <= ARROW_ROWS:
+        spark.conf.set(name, ARROW_ROWS)

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sitewise.llm import topk_search
@@ -97,6 +98,26 @@ def test_pipeline_decisions(spark, tmp_path):
     assert {r["doc_id"] for r in rows} == set(kept[3])
 
 
+def test_stages_send_short_batches_to_workers(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.range(3000, numPartitions=1).selectExpr("id AS doc_id", "concat('some text ', id) AS text", "'en' AS lang")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    try:
+        spark.conf.unset(name)
+        corpus_pipeline.languages(spark, docs, str(tmp_path))
+        assert max(r["n"] for r in docs.mapInArrow(sizes, "n long").collect()) <= 1000
+        spark.conf.set(name, 10)  # a smaller setting stays
+        corpus_pipeline.languages(spark, docs, str(tmp_path))
+        assert spark.conf.get(name) == "10"
+    finally:
+        spark.conf.unset(name)
+
+
 def test_texts_decide_about_contamination(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     item = " ".join(f"w{i}" for i in range(12))

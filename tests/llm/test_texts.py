@@ -296,3 +296,18 @@ def test_language_fit_unpacks_few_texts_at_once(spark, monkeypatch):
     few = language_id.fit(rows)
     assert max(seen[1:]) <= 7 and sum(seen[1:]) > 21
     assert whole.labels == few.labels and np.isfinite(few.weights).all()
+
+
+def test_scoring_languages_takes_little_memory_beside_its_model():
+    import tracemalloc
+    rng = np.random.default_rng(5)
+    landmarks = (rng.random((1 << language_id.BITS, 8)) < 0.1).astype(np.float32)
+    model = language_id.Kernel(["a", "b"], landmarks, np.full(8, 100.0), rng.random((8, 2)), rng.random(2))
+    texts = [f"text number {i} of a batch" for i in range(500)]
+    whole = model.scores(texts)
+    tracemalloc.start()
+    model.scores(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20, peak  # 40 MB with 256 texts a matrix
+    assert np.allclose(whole, np.vstack([model.scores([t]) for t in texts]))
