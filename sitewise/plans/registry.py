@@ -81,18 +81,24 @@ def merge_records(records: DataFrame) -> DataFrame:
     facility with many source rows costs only its distinct values.
     """
     order = F.struct("priority", "source_table", "source_row")
-    cells = records.select("facility_id", order.alias("order"), F.explode(F.array(*[
+    source = ["priority", "source_table"]
+    first_row = F.min(F.coalesce("source_row", F.lit(-(1 << 63)))).alias("source_row")  # unnumbered rows come first
+    cells = records.select("facility_id", *source, "source_row", F.explode(F.array(*[
         F.struct(F.lit(name).alias("field"), strip(name).alias("value")) for name in MERGED_FIELDS])).alias("c")
-    ).select("facility_id", "order", "c.*").where(F.coalesce(F.col("value"), F.lit("")) != "")
-    values = cells.groupBy("facility_id", "field", "value").agg(F.min("order").alias("order"))
+    ).select("facility_id", *source, "source_row", "c.*").where(F.coalesce(F.col("value"), F.lit("")) != "")
+    # The first row of each source table is a number, which is hashed; the least struct of all rows would sort every cell.
+    values = cells.groupBy("facility_id", "field", "value", *source).agg(first_row)
+    values = values.groupBy("facility_id", "field", "value").agg(F.min(order).alias("order"))
     fields = values.groupBy("facility_id", "field").agg(
         F.min_by("value", "order").alias("first"),
         F.transform(F.array_sort(F.collect_list(F.struct("order", "value"))), lambda x: x["value"]).alias("distinct"))
     merged = fields.groupBy("facility_id").agg(
         *[F.max(F.when(F.col("field") == name, F.col("first"))).alias(name) for name in MERGED_FIELDS],
         F.collect_list(F.when(F.size("distinct") > 1, F.struct("field", "distinct"))).alias("_conflicts"))
-    heads = records.groupBy("facility_id").agg(
-        F.count("*").alias("source_record_count"), F.min_by("match_method", order).alias("match_method"),
+    heads = records.groupBy("facility_id", *source, "match_method", "facility_type").agg(
+        F.count("*").alias("_rows"), first_row)
+    heads = heads.groupBy("facility_id").agg(
+        F.sum("_rows").alias("source_record_count"), F.min_by("match_method", order).alias("match_method"),
         F.array_sort(F.collect_set(F.when(F.col("facility_type") != UNCLASSIFIED, F.col("facility_type")))).alias("_kinds"))
     frame = heads.join(merged, "facility_id", "left")
     several = F.size("_kinds") > 1

@@ -170,3 +170,20 @@ def test_written_rows_are_compared_with_the_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sinks, "Observation", Wrong)
     with pytest.raises(ContractError, match="6 rows written, 5 rows"):
         sinks.write_table(spark.range(5), str(tmp_path / "u"))
+
+
+def test_registry_cells_are_hashed_not_sorted(spark, monkeypatch):
+    rows = [("h1", "hospital", "B", 1, "a.csv", 2), ("h1", "hospital", "A", 0, "z.csv", 9), ("h1", "hospital", "C", 1, "a.csv", None), ("h1", "hospital", "A", 1, "a.csv", 1),
+            ("h2", "unclassified_provider", "", 2, "b.csv", 1)]
+    records = spark.createDataFrame(rows, "facility_id string, facility_type string, name string, priority int, source_table string, source_row long").withColumns(
+        {"match_method": F.lit("exact"), **{c: F.lit(None).cast("string") for c in registry.MERGED_FIELDS if c != "name"}})
+    plans, settle = [], registry.settle
+    monkeypatch.setattr(registry, "settle", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or settle(df))
+    merged = {r["facility_id"]: r for r in registry.merge_records(records).collect()}
+    assert merged["h1"]["name"] == "A" and merged["h1"]["field_conflicts"] == {"name": ["A", "C", "B"]} and merged["h1"]["source_record_count"] == 4
+    assert merged["h2"]["name"] is None and merged["h2"]["source_record_count"] == 1
+    lines = plans[0].splitlines()
+    below = [i for i, line in enumerate(lines) if "Generate" in line]
+    assert below
+    for i in below:  # what meets the cells first must not sort all of them
+        assert "HashAggregate" in next(line for line in reversed(lines[:i]) if "Aggregate" in line)
