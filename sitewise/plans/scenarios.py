@@ -153,16 +153,23 @@ def with_site_columns(scenarios: DataFrame, sites: DataFrame) -> DataFrame:
 SCENARIO_ORDER = [("overall_score", True), ("configuration_ordinal", False), ("site_id", False)]
 
 
+def with_design_ranks(scenarios: DataFrame) -> DataFrame:
+    """The rank of every design within its site."""
+    within = Window.partitionBy("site_id").orderBy(F.col("overall_score").desc(), "configuration_ordinal")  # 5 rows a site
+    return scenarios.withColumn("site_configuration_rank", F.row_number().over(within))
+
+
 def scenario_ranks(scenarios: DataFrame, state: str = "state_fips") -> DataFrame:
     """National, state and within-site ranks. Pass a settled frame."""
-    within = Window.partitionBy("site_id").orderBy(F.col("overall_score").desc(), "configuration_ordinal")  # 5 rows a site
     ranked = ranking.add_rank(scenarios, "candidate_id", SCENARIO_ORDER, "overall_rank")
     ranked = ranked.join(ranking.ordered_rank(scenarios, "candidate_id", SCENARIO_ORDER, "state_rank", [state]), "candidate_id")
-    return ranked.withColumn("site_configuration_rank", F.row_number().over(within))
+    return with_design_ranks(ranked)
 
 
 def best_per_site(ranked: DataFrame) -> DataFrame:
-    """The best design of every site, with the national rank of the site and its skyline flag."""
+    """The best design of every site, with the national rank of the site and its skyline flag.
+
+    It needs the ranks of ``with_design_ranks`` only."""
     best = settle(ranked.where(F.col("site_configuration_rank") == 1))
     best = ranking.add_rank(best, "site_id", SCENARIO_ORDER, "site_rank")
     return skyline.flag_skyline(settle(best), "site_id", SKYLINE_COLUMNS, "pareto_optimal")

@@ -33,3 +33,14 @@ def test_query_equals_oracle(spark, name):
     df = entry.queries()[name](spark, FOLDER)
     cur = con.execute(entry.oracle_sql()[name])
     assert rows_of(df.columns, df.collect()) == rows_of([d[0] for d in cur.description], cur.fetchall())
+
+
+def test_summary_carries_only_what_it_counts(spark, monkeypatch):
+    import __spark_entry__ as driver
+    from suite import scoring
+
+    seen, settle = [], scoring.settle
+    monkeypatch.setattr(scoring, "settle", lambda df: seen.append(df.columns) or settle(df))
+    assert driver.queries()["ag11_snk04_run_summary"](spark, "/root/testdata/sf0.001").first()["sites"] > 0
+    assert not any({"overall_rank", "state_rank"} & set(columns) for columns in seen)
+    assert len(seen[-1]) < 10  # eleven services, four columns each, are not written for five figures
