@@ -1,9 +1,9 @@
 """Find licence paragraphs with a trained classifier, and confirm them by templates.
 
 A sparse multinomial logistic regression over word one- and two-grams tells the families and "none" apart. It is
-trained on the templates, on variants that lack a word each, and on paragraphs of the corpus: those that nearly are
-a template, and others as "none". The probability from which a family is believed is calibrated on further
-paragraphs of the corpus; below it, or if the family's templates look different, the family is unknown. Only SQL
+trained on the templates, on variants that lack a word each, and on paragraphs of the corpus: all that nearly are
+a template, and half of all others with a cue as "none". The probability from which a family is believed is calibrated on
+the other half; below it, or if the family's templates look different, the family is unknown. Only SQL
 functions and the library's own JVM transformers run.
 """
 from __future__ import annotations
@@ -55,9 +55,6 @@ TEMPLATES = (
 NONE = "none"
 UNKNOWN = "unknown"
 FEATURES = 1 << 14
-# The bounds of the fit, in paragraphs: ordinary ones, as many again to calibrate on, and ones near a template.
-ORDINARY = 4_000
-NEAR_TEMPLATE = 2_000
 # Share of ordinary paragraphs with a cue that may pass for a family.
 FALSE_SHARE = 0.001
 LEAST_PROBABILITY = 0.5
@@ -72,11 +69,6 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.+-]+|[.](?=\s|$|[^\p{N}])"), lambda w: w != "")
 
 
-def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, paragraph, body): the lines of each text, numbered from 0. Null texts have none."""
-    return docs.select(F.col(key), F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("paragraph", "body"))
-
-
 def _grams(words: str) -> Column:
     return F.expr(f"concat({words}, if(size({words}) > 1, transform(sequence(0, size({words}) - 2), i -> concat({words}[i], ' ', {words}[i + 1])), cast(array() as array<string>)))")
 
@@ -90,17 +82,6 @@ def _jaccard(of: str, words: str) -> str:
     return f"size(array_intersect({of}, {words})) / size(array_union({of}, {words}))"
 
 
-def _similar(sets: list[tuple[str, list[str]]]) -> Column:
-    """Jaccard similarity of ``words`` with each template, as an array of (s, f)."""
-    return F.array(*[F.struct(
-        (F.size(F.array_intersect("words", F.lit(w))) / F.size(F.array_union("words", F.lit(w)))).alias("s"), F.lit(f).alias("f")) for f, w in sets])
-
-
-def _within(sets: list[tuple[str, list[str]]]) -> Column:
-    """The largest share of the different ``words`` that one template has."""
-    return F.array_max(F.array(*[F.size(F.array_intersect("words", F.lit(w))) / F.greatest(F.lit(1), F.size(F.array_distinct("words"))) for _, w in sets]))
-
-
 def _known(words: list[str]) -> str:
     return "array(" + ", ".join("'" + w.replace("'", "''") + "'" for w in dict.fromkeys(words)) + ")"
 
@@ -157,15 +138,7 @@ def find_licences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     spark = docs.sparkSession
     templates = spark.createDataFrame(TEMPLATES, "label string, body string").withColumn("words", _words(F.col("body")))
     listed = [(r["label"], r["words"]) for r in templates.select("label", "words").collect()]
-    sets = [(f, list(dict.fromkeys(w))) for f, w in listed]
-    total = docs.count()
-    draw = F.pmod(F.xxhash64("body", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    # about so many ordinary paragraphs, whatever the number of documents: one document in so many is read, whole
-    part = docs.where(F.pmod(F.xxhash64(text, F.lit(7)), F.lit(max(1, total // ORDINARY))) == 0)
-    ordinary = settle(paragraphs(part, key, text).where("trim(body) <> ''").select("body").distinct().withColumn("words", _words(F.col("body")))
-                      .withColumn("draw", draw).orderBy("draw", "body").limit(2 * ORDINARY))
-    every = sorted({w for _, words in sets for w in words})
-    similarity = F.array_max(_similar(sets))["s"]
+    every = sorted({w for _, words in listed for w in words})
     cues = [w for w in every if len(w) > 1 and w not in PLAIN_WORDS]
     cues += [w for w in NOTICE_WORDS if w not in cues]
     # what follows reads paragraphs with a cue only
@@ -173,15 +146,16 @@ def find_licences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     found = _candidates(docs, key, text, cues, max(len(w) for _, w in listed)).withColumn("shared", _shared(listed)).withColumn("each", _windows(listed)).withColumn("best", best)
     # a notice within a longer line or over several is judged by its own words
     found = settle(found.withColumn("words", F.expr(f"if(best.s >= {LEAST_SIMILARITY} and best.start >= 0, slice(stream, best.start + 1, best.n), words)"))
-                   .select(key, "paragraph", "words", F.col("best.s").alias("similarity"), F.col("best.f").alias("nearest"),
+                   .select(key, "paragraph", "words", F.expr(f"array_max(slice(shared, 1, {len(listed)})) / greatest(1, shared[{len(listed)}])").alias("within"), F.col("best.s").alias("similarity"), F.col("best.f").alias("nearest"),
                            F.transform("each", lambda x: F.struct(x["s"].alias("s"), x["f"].alias("f"))).alias("each")))
-    close = (found.where(f"similarity >= {LEAST_SIMILARITY}").groupBy("words").agg(F.first("nearest").alias("label"))
-             .withColumn("draw", F.xxhash64("words")).orderBy("draw", "words").limit(NEAR_TEMPLATE).select("label", "words"))
+    close = found.where(f"similarity >= {LEAST_SIMILARITY}").groupBy("words").agg(F.min("nearest").alias("label")).select("label", "words")
     lacking = templates.select("label", F.explode(F.expr(
         "transform(sequence(0, size(words)), i -> filter(words, (w, j) -> j <> i))")).alias("words"))
-    plain = ordinary.withColumn("s", F.when(F.arrays_overlap("words", F.lit(every)), similarity).otherwise(0.0)).where(
-        F.col("s") < LEAST_SIMILARITY / 2).where(~_notice("words")).where((F.size("words") < 4) | (_within(sets) < LEAST_SIMILARITY))
-    train = lacking.union(close).union(plain.where("pmod(hash(words), 2) = 0").select(F.lit(NONE).alias("label"), "words"))
+    # every other paragraph with a cue; ``within`` is the largest share of its different words that one template has
+    plain = settle(found.where(F.col("similarity") < LEAST_SIMILARITY / 2).where(~_notice("words"))
+                   .where((F.size("words") < 4) | (F.col("within") < LEAST_SIMILARITY)).select("words").distinct())
+    nothing = templates.limit(1).select(F.lit(NONE).alias("label"), F.expr("cast(array() as array<string>)").alias("words"))
+    train = lacking.union(close).union(nothing).union(plain.where("pmod(hash(words), 2) = 0").select(F.lit(NONE).alias("label"), "words"))
     order = [NONE, *sorted({f for f, _ in TEMPLATES})]
     number = F.array_position(F.lit(order), F.col("label")) - 1
     hasher = HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features")

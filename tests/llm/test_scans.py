@@ -183,3 +183,15 @@ def test_licence_lines_are_tokenized_once(spark):
     docs = spark.createDataFrame([(1, "MIT License\nx")], "doc_id long, text string")
     plan = _candidates(docs, "doc_id", "text", ["license"], 10)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(text") == 1
+
+
+def test_every_ordinary_line_is_learnt_from(spark, monkeypatch):
+    """All different lines with a cue, however many, are learnt from or calibrated on; one that repeats counts once."""
+    from sitewise.llm import licenses
+    seen, plain = [], licenses.settle
+    monkeypatch.setattr(licenses, "settle", lambda frame: seen.append(plain(frame)) or seen[-1])
+    docs = spark.range(9200).selectExpr("id AS doc_id", "concat('line ', id % 9000, ' about the version of others') AS text")
+    assert find_licences(docs).where("confirmed").count() == 0
+    assert [f.count() for f in seen if f.columns == ["words"]] == [9000]
+    learnt = next(f for f in seen if f.columns == ["label", "y", "grams"])
+    assert learnt.where("label = 'none' AND size(grams) > 0").count() == seen[1].where("pmod(hash(words), 2) = 0").count() > 4000
