@@ -129,10 +129,9 @@ def demand_catchment(sites: DataFrame, demand: DataFrame, baseline: DataFrame,
         sums |= {f"{g}_population_{t}min": (f"w_{g}", t) for g in SUBGROUPS}
         sums[f"vulnerability_weighted_population_{t}min"] = ("w_vulnerable", t)
     targets = targets.selectExpr("*", *[f"CASE WHEN base_minutes > {t} THEN w_population END AS w_new_{t}" for t in cfg.access_minutes])
-    # Decimals add up to the same sum in any order.
-    saving = {"weighted_drive_minutes_saved": "cast(w_population * saved as decimal(28, 10))",
-              "population_with_any_access_improvement": "CASE WHEN saved > 0 THEN w_population END"}
-    saving |= {f"population_saving_{t}plus_minutes": f"CASE WHEN saved >= {t} THEN w_population END" for t in cfg.saving_minutes}
+    # Minutes saved are decimals, which add up to the same sum in any order.
+    saving = {"weighted_drive_minutes_saved": ("w_population", None), "population_with_any_access_improvement": ("w_population", 0)}
+    saving |= {f"population_saving_{t}plus_minutes": ("w_population", t) for t in cfg.saving_minutes}
     reached = reach_totals(
         _site_points(sites), targets, "site_id", sums, miles=cfg.demand_miles, left_roads=("site_detour", "site_mph"),
         right_roads=("road_detour_factor", "effective_speed_mph"), floor_mph=cfg.roads.floor_mph, base="base_minutes", saving=saving)

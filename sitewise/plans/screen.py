@@ -56,9 +56,8 @@ def screening_catchment(gated: DataFrame, areas: DataFrame, key: str, cfg: Scree
     ).groupBy(F.col("latitude").alias("to_latitude"), F.col("longitude").alias("to_longitude"),
               F.col("detour").alias("to_detour"), F.col("mph").alias("to_mph"), F.col("existing_minutes").alias("base")
               ).agg(*[F.sum(c).alias(f"w_{c}") for c in ("population", *SUBGROUPS)])
-    saving = {"approx_weighted_drive_minutes_saved": "w_population * saved",
-              "approx_population_saving_10plus_minutes": "CASE WHEN saved >= 10 THEN w_population END",
-              "approx_population_saving_20plus_minutes": "CASE WHEN saved >= 20 THEN w_population END"}
+    saving = {"approx_weighted_drive_minutes_saved": ("w_population", None),
+              "approx_population_saving_10plus_minutes": ("w_population", 10), "approx_population_saving_20plus_minutes": ("w_population", 20)}
     sums: dict[str, tuple[str, float | None]] = {}
     for t in cfg.catchment_minutes:
         sums[f"approx_population_{t}min"] = ("w_population", t)
@@ -68,6 +67,7 @@ def screening_catchment(gated: DataFrame, areas: DataFrame, key: str, cfg: Scree
     totals = reach_totals(
         gated.select(key, "latitude", "longitude", "detour", "mph"), targets, key, sums, miles=widest, reach=reach,
         right_roads=("to_detour", "to_mph"), floor_mph=cfg.roads.floor_mph, base="base", saving=saving)
+    totals = totals.withColumn("approx_weighted_drive_minutes_saved", F.col("approx_weighted_drive_minutes_saved").cast("double"))
     return gated.join(totals, key, "left").withColumns({name: F.expr(f"coalesce({name}, 0)") for name in [*saving, *sums]})
 
 

@@ -243,8 +243,8 @@ def crowded_catchment(spark, folder):
                             F.col("mph").alias("to_mph"), "base").agg(F.count("*").alias("areas"), F.sum("people").alias("people"))
     sums = {"areas": ("areas", None)} | {f"people_{t}min": ("people", t) for t in T4}
     found = reach_totals(sites, targets, "id", sums, miles=70, right_roads=("to_detour", "to_mph"), base="base", saving={
-        "minutes_saved": "people * saved", "people_gaining": "CASE WHEN saved > 0 THEN people END"}, closest="nearest_minutes")
+        "minutes_saved": ("people", None), "people_gaining": ("people", 0)}, closest="nearest_minutes")
     return found.select(
         F.col("id").alias("site_id"), "areas", *[F.coalesce(f"people_{t}min", F.lit(0)).cast("long").alias(f"people_{t}min") for t in T4],
-        F.round("minutes_saved", 2).alias("minutes_saved"), F.coalesce("people_gaining", F.lit(0)).cast("long").alias("people_gaining"),
+        F.round(F.col("minutes_saved").cast("double"), 2).alias("minutes_saved"), F.coalesce("people_gaining", F.lit(0)).cast("long").alias("people_gaining"),
         F.round("nearest_minutes", 6).alias("nearest_minutes"))
