@@ -55,6 +55,7 @@ TEMPLATES = (
 NONE = "none"
 UNKNOWN = "unknown"
 FEATURES = 1 << 14
+PACKED = 7  # counts of templates in one long, a byte each
 # Share of ordinary paragraphs with a cue that may pass for a family.
 FALSE_SHARE = 0.001
 LEAST_PROBABILITY = 0.5
@@ -86,13 +87,23 @@ def _known(words: list[str]) -> str:
     return "array(" + ", ".join("'" + w.replace("'", "''") + "'" for w in dict.fromkeys(words)) + ")"
 
 
-def _shared(templates: list[tuple[str, list[str]]]) -> Column:
-    """How many different ``words`` each template has, and last how many there are."""
-    return F.expr("array(" + ", ".join(f"size(array_intersect(words, {_known(w)}))" for _, w in templates) + ", size(array_distinct(words)))")
+def _places(words: str, every: list[str]) -> Column:
+    return F.expr(f"transform({words}, w -> cast(array_position({_known(every)}, w) as int))")
+
+
+def _counts(places: str, every: list[str], templates: list[tuple[str, list[str]]]) -> Column:
+    """How many of ``places`` (from 1, in ``every``) each template has. A template word adds 1 to a byte for each template that has it,
+    so that all are counted by a few additions; no template has more than 255 different words."""
+    each = []
+    for first in range(0, len(templates), PACKED):
+        packed = [sum(1 << 8 * i for i, (_, known) in enumerate(templates[first:first + PACKED]) if w in known) for w in every]
+        total = f"aggregate({places}, 0L, (a, p) -> a + array({', '.join(f'{x}L' for x in packed)})[p - 1])"
+        each.append(f"transform(array({total}), a -> array({', '.join(f'cast(shiftright(a, {8 * i}) & 255L as int)' for i in range(len(templates[first:first + PACKED])))}))[0]")
+    return F.expr(f"concat({', '.join(each)})")
 
 
 def _windows(templates: list[tuple[str, list[str]]]) -> Column:
-    """By ``shared``, for each template the best of ``words`` and of the windows of the template's length that begin in them, as an
+    """By ``shared`` (and ``ahead``, the same of ``stream``), for each template the best of ``words`` and of the windows of the template's length that begin in them, as an
     array of (s, f, start, n); start -1 is ``words`` itself. Windows within ``words`` begin an eighth of the template
     apart. Those that run on in ``stream``, which begins with ``words``, begin like the template, so that a notice of
     the next line is not found in this one. Templates whose words are missing are not looked for."""
@@ -105,7 +116,7 @@ def _windows(templates: list[tuple[str, list[str]]]) -> Column:
         each.append(f"""array_max(concat(array(named_struct('s', {whole}, 'f', '{family}', 'start', -1, 'n', size(words))),
             if(shared[{i}] >= {enough}, transform(sequence(0, size(words) - 1, {max(1, n // 8)}), p ->
                named_struct('s', {_jaccard(f"slice(words, p + 1, {n})", known)}, 'f', '{family}', 'start', p, 'n', least({n}, size(words) - p))), null_windows),
-            if(size(array_intersect(stream, {known})) >= {enough}, transform(
+            if(ahead[{i}] >= {enough}, transform(
                filter(sequence(greatest(0, size(words) - {n - 1}), size(words) - 1), p -> array_contains(slice({known}, 1, 3), words[p])
                       and size(array_except(slice(words, p + 1, {n}), {known})) <= (size(words) - p) / 4), p ->
                named_struct('s', {_jaccard(f"slice(stream, p + 1, {n})", known)}, 'f', '{family}', 'start', p, 'n', {n})), null_windows)))""")
@@ -143,7 +154,11 @@ def find_licences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     cues += [w for w in NOTICE_WORDS if w not in cues]
     # what follows reads paragraphs with a cue only
     best = F.array_max("each")
-    found = _candidates(docs, key, text, cues, max(len(w) for _, w in listed)).withColumn("shared", _shared(listed)).withColumn("each", _windows(listed)).withColumn("best", best)
+    found = _candidates(docs, key, text, cues, max(len(w) for _, w in listed))
+    found = found.withColumn("_ahead", F.array_intersect("stream", F.lit(every)))
+    found = found.withColumn("_own", F.array_intersect("words", "_ahead")).withColumns({c: _places(c, every) for c in ("_own", "_ahead")})
+    found = found.withColumn("shared", F.concat(_counts("_own", every, listed), F.array(F.size(F.array_distinct("words"))))).withColumn("ahead", _counts("_ahead", every, listed))
+    found = found.withColumn("each", _windows(listed)).withColumn("best", best)
     # a notice within a longer line or over several is judged by its own words
     found = settle(found.withColumn("words", F.expr(f"if(best.s >= {LEAST_SIMILARITY} and best.start >= 0, slice(stream, best.start + 1, best.n), words)"))
                    .select(key, "paragraph", "words", F.expr(f"array_max(slice(shared, 1, {len(listed)})) / greatest(1, shared[{len(listed)}])").alias("within"), F.col("best.s").alias("similarity"), F.col("best.f").alias("nearest"),

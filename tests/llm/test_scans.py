@@ -195,3 +195,18 @@ def test_every_ordinary_line_is_learnt_from(spark, monkeypatch):
     assert [f.count() for f in seen if f.columns == ["words"]] == [9000]
     learnt = next(f for f in seen if f.columns == ["label", "y", "grams"])
     assert learnt.where("label = 'none' AND size(grams) > 0").count() == seen[1].where("pmod(hash(words), 2) = 0").count() > 4000
+
+
+def test_template_words_are_counted_once_a_line(spark):
+    """Counts of all templates come from one look at a line's words, and are those of an intersection for each template."""
+    from pyspark.sql import functions as F
+
+    from sitewise.llm.licenses import _counts, _known, _places, _words
+    templates = [(f, r["w"]) for (f, _), r in zip(TEMPLATES, spark.createDataFrame(TEMPLATES, "f string, b string").select(_words("b").alias("w")).collect())]
+    every = sorted({w for _, words in templates for w in words})
+    lines = spark.createDataFrame([([],), (["other"],), *[(words + ["other", words[0]],) for _, words in templates], (every,)], "words array<string>")
+    got = lines.withColumn("own", F.array_intersect("words", F.lit(every))).withColumn("own", _places("own", every)).select(
+        _counts("own", every, templates).alias("n"), F.array(*[F.expr(f"size(array_intersect(words, {_known(w)}))") for _, w in templates]).alias("want"))
+    assert all(r["n"] == r["want"] for r in got.collect()) and max(r["n"][0] for r in got.collect()) > 0
+    plan = got.drop("want")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect") <= len(templates) // 4
