@@ -159,10 +159,13 @@ def find_licences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     found = found.withColumn("_own", F.array_intersect("words", "_ahead")).withColumns({c: _places(c, every) for c in ("_own", "_ahead")})
     found = found.withColumn("shared", F.concat(_counts("_own", every, listed), F.array(F.size(F.array_distinct("words"))))).withColumn("ahead", _counts("_ahead", every, listed))
     found = found.withColumn("each", _windows(listed)).withColumn("best", best)
+    order = [NONE, *sorted({f for f, _ in TEMPLATES})]
+    # the best of each family is all that is asked for later: a third of the table's width
+    of_family = [f"array_max(array({', '.join(f'each[{i}].s' for i, (f, _) in enumerate(listed) if f == family)}))" for family in order[1:]]
     # a notice within a longer line or over several is judged by its own words
     found = settle(found.withColumn("words", F.expr(f"if(best.s >= {LEAST_SIMILARITY} and best.start >= 0, slice(stream, best.start + 1, best.n), words)"))
                    .select(key, "paragraph", "words", F.expr(f"array_max(slice(shared, 1, {len(listed)})) / greatest(1, shared[{len(listed)}])").alias("within"), F.col("best.s").alias("similarity"), F.col("best.f").alias("nearest"),
-                           F.transform("each", lambda x: F.struct(x["s"].alias("s"), x["f"].alias("f"))).alias("each")))
+                           F.expr(f"array({', '.join(of_family)})").alias("families")))
     close = found.where(f"similarity >= {LEAST_SIMILARITY}").groupBy("words").agg(F.min("nearest").alias("label")).select("label", "words")
     lacking = templates.select("label", F.explode(F.expr(
         "transform(sequence(0, size(words)), i -> filter(words, (w, j) -> j <> i))")).alias("words"))
@@ -171,7 +174,6 @@ def find_licences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                    .where((F.size("words") < 4) | (F.col("within") < LEAST_SIMILARITY)).select("words").distinct())
     nothing = templates.limit(1).select(F.lit(NONE).alias("label"), F.expr("cast(array() as array<string>)").alias("words"))
     train = lacking.union(close).union(nothing).union(plain.where("pmod(hash(words), 2) = 0").select(F.lit(NONE).alias("label"), "words"))
-    order = [NONE, *sorted({f for f, _ in TEMPLATES})]
     number = F.array_position(F.lit(order), F.col("label")) - 1
     hasher = HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features")
     train = settle(train.withColumn("grams", _grams("words")).withColumn("y", number.cast("double")).select("label", "y", "grams"))
@@ -191,7 +193,7 @@ def find_licences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     tested = judged(plain.where("pmod(hash(words), 2) = 1").select("words")).withColumn("any", F.lit(1.0) - F.col("p")[0])
     limit = tested.agg(F.percentile_approx("any", 1 - FALSE_SHARE, 10_000)).first()[0]
     limit = max(LEAST_PROBABILITY, limit or 0.0)
-    own = F.array_max(F.filter("each", lambda x: x["f"] == F.col("family")).getField("s"))
+    own = F.get("families", (F.array_position(F.lit(order[1:]), F.col("family")) - 1).cast("int"))
     result = judged(found).where(F.col("family") != NONE).withColumn("similarity", own)
     sure = (F.col("probability") >= limit) & (F.col("similarity") >= LEAST_SIMILARITY)
     return result.select(key, F.col("paragraph").cast("long").alias("paragraph"), F.when(sure, F.col("family")).otherwise(UNKNOWN).alias("family"),
