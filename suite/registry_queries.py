@@ -190,10 +190,11 @@ m AS (SELECT facility_id, p_name, la, lo, {sql_miles('latitude', 'longitude', 'l
 @case("adr03_adr04_tie_resolution", _TIES + """ SELECT facility_id, round(miles, 6) AS miles, p_name AS matched_address FROM m WHERE miles <= 300
 QUALIFY row_number() OVER (PARTITION BY facility_id ORDER BY miles, la, lo, p_name) = 1""")
 def ties(spark, folder):
+    # a code has five digits: facilities beyond 99,999 are areas of further books, each with codes of its own
     zcta = role(spark, folder, "facilities").selectExpr(
-        "lpad(string(facility_id), 5, '0') AS zcta5", "concat('POINT (', longitude, ' ', latitude, ')') AS geolocation")
-    anchors = addresses.zip_anchors(zcta, "zcta5", "geolocation")
-    tied = anchors.where("int(zip) % 2 = 0").selectExpr("int(zip) AS facility_id", "int(zip) % 60 AS address", "anchor_lat", "anchor_lon")
+        "facility_id div 100000 AS book", "lpad(string(facility_id % 100000), 5, '0') AS zcta5", "concat('POINT (', longitude, ' ', latitude, ')') AS geolocation")
+    anchors = addresses.zip_anchors(zcta, "zcta5", "geolocation", by=["book"]).withColumn("facility_id", F.expr("book * 100000 + int(zip)"))
+    tied = anchors.where("facility_id % 2 = 0").selectExpr("facility_id", "facility_id % 60 AS address", "anchor_lat", "anchor_lon")
     options = table(spark, folder, "part").selectExpr(
         "p_partkey % 60 AS address", "25 + (p_partkey * 7919 % 24000) / 1000D AS latitude", "-67 - (p_partkey * 104729 % 57000) / 1000D AS longitude", "p_name AS matched_address")
     return addresses.resolve_ties(tied, options, "facility_id", 300).select("facility_id", F.round("miles", 6).alias("miles"), "matched_address")

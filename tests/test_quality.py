@@ -187,3 +187,23 @@ def test_registry_cells_are_hashed_not_sorted(spark, monkeypatch):
     assert below
     for i in below:  # what meets the cells first must not sort all of them
         assert "HashAggregate" in next(line for line in reversed(lines[:i]) if "Aggregate" in line)
+
+
+def test_ties_of_a_shared_address_are_not_compared_with_all_options(spark, monkeypatch):
+    tied = spark.range(600).selectExpr("id", "if(id % 3 = 0, 'a', 'b') AS address", "30 + id % 25 / 4D AS anchor_lat", "-100 + id div 25 / 4D AS anchor_lon")
+    options = spark.range(2000).selectExpr("if(id % 2 = 0, 'a', 'b') AS address", "CASE WHEN id % 99 <> 0 THEN 30 + id % 50 / 8D END AS latitude", "-100 + id div 50 / 8D AS longitude",
+                                           "concat('m', id % 7) AS matched_address")
+    met, joined = [], addresses.spatial._joined
+    monkeypatch.setattr(addresses.spatial, "_joined", lambda *a: met.append(joined(*a)) or met[-1])
+    got = {tuple(r) for r in addresses.resolve_ties(tied, options, "id", 20).collect()}
+    pairs = tied.join(options.where("latitude IS NOT NULL"), "address").withColumn(
+        "miles", addresses.haversine("anchor_lat", "anchor_lon", "latitude", "longitude", addresses.EARTH_MILES_ROUNDED)).where("miles <= 20")
+    want = {tuple(r) for r in pairs.groupBy("id").agg(F.min(F.struct("miles", "latitude", "longitude", "matched_address")).alias("b")).select("id", "b.*").collect()}
+    assert got == want and 0 < len(want) < 600
+    assert sum(m.count() for m in met) < 0.1 * 600 * 1000
+
+
+def test_postal_codes_of_several_books_stay_apart(spark):
+    zcta = spark.createDataFrame([(0, "00007", "POINT (-90 40)"), (1, "00007", "POINT (-80 30)")], "book int, code string, at string")
+    got = {(r["book"], r["zip"], r["anchor_lon"]) for r in addresses.zip_anchors(zcta, "code", "at", by=["book"]).collect()}
+    assert got == {(0, "00007", -90.0), (1, "00007", -80.0)}
