@@ -1,9 +1,12 @@
 """Shortage designations: loading, area coverage, facility membership."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.exprs import strip
+from ..operators import spatial
 from ..operators.checks import require_none, require_rows
 from ..operators.polygons import overlay, points_in_polygons, ring_problems, with_shape
 from ..session import settle
@@ -13,6 +16,8 @@ KINDS = {
     "medically underserved area": "mua", "medically underserved population": "mup",
     "medically underserved area-governor's exception": "mua", "medically underserved population-governor's exception": "mup"}
 ID_PATTERN = r"^([0-9]{5}|[0-9]{10})$"
+# Links that a task makes, and the most tasks for them.
+TASK_LINKS, MOST_TASKS = 20_000_000, 2_000
 
 
 def load_designations(components: DataFrame) -> DataFrame:
@@ -64,24 +69,42 @@ def area_coverage(areas: DataFrame, designations: DataFrame, key: str, rings: st
         "muap_spatial_evaluated": F.lit(True)})
 
 
-def _places_in_shapes(facilities: DataFrame, designations: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _places_in_shapes(facilities: DataFrame, designations: DataFrame, carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(latitude, longitude, _form) of places inside shapes, and designations with the _form of their shape.
 
     Facilities at one spot, and equal shapes, are tested once."""
-    shapes = with_shape(designations).select("_shape", "designation_id", "designation_kind", "rings")
+    shapes = with_shape(designations).select("_shape", "designation_id", "designation_kind", *carry, "rings")
     forms = settle(shapes.groupBy("rings").agg(F.concat_ws("/", F.min("_shape"), F.xxhash64("rings")).alias("_form")))
-    members = shapes.join(forms, "rings").select("designation_id", "designation_kind", "_form").distinct()
+    members = shapes.join(forms, "rings").select("designation_id", "designation_kind", *carry, "_form").distinct()
     places = facilities.where("latitude IS NOT NULL AND longitude IS NOT NULL").select("latitude", "longitude").distinct().withColumn(
         "_place", F.struct("latitude", "longitude"))
     return points_in_polygons(places, forms, "_place", "_form").select("_place.latitude", "_place.longitude", "_form"), members
 
 
-def facility_links(facilities: DataFrame, designations: DataFrame) -> DataFrame:
-    """Distinct facility_id, designation_id, designation_kind of facilities (one place each) inside designations."""
-    hits, members = _places_in_shapes(facilities, designations)
-    links = hits.join(members, "_form").select("latitude", "longitude", "designation_id", "designation_kind").distinct()
-    return facilities.select("facility_id", "latitude", "longitude").distinct().join(links, ["latitude", "longitude"]).select(
-        "facility_id", "designation_id", "designation_kind")
+def facility_links(facilities: DataFrame, designations: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Distinct facility_id, designation_id, designation_kind of facilities (one place each) inside designations.
+
+    ``carry`` names further columns of a designation, which are returned too. Designations of the same shapes are a family:
+    a place lies in all of them or in none. Links are few between places and families; they become as many as facilities
+    and designations make them in the last join only, after which no row moves.
+    """
+    hits, members = _places_in_shapes(facilities, designations, carry)
+    own, place = ["designation_id", "designation_kind", *carry], ["latitude", "longitude"]
+    units = members.groupBy(*own).agg(F.array_sort(F.collect_set("_form")).alias("_forms"))
+    families = settle(units.groupBy("_forms").agg(F.count("*").alias("_units")).withColumn("_family", F.monotonically_increasing_id()))
+    units = settle(units.join(families.select("_forms", "_family"), "_forms").select(*own, "_family"))
+    sites = facilities.select("facility_id", *place).where("latitude IS NOT NULL AND longitude IS NOT NULL").distinct()
+    inside = settle(hits.join(families.select("_family", "_units", F.explode("_forms").alias("_form")), "_form")
+                    .select(*place, "_family", "_units").distinct().join(sites.groupBy(*place).agg(F.count("*").alias("_sites")), place))
+    by_site, by_unit, links = inside.agg(F.sum("_sites"), F.sum("_units"), F.sum(F.col("_sites") * F.col("_units"))).first()
+    # what gives fewer rows is joined first: the other join makes the links
+    if (by_site or 0) <= (by_unit or 0):
+        key, left, right = ["_family"], sites.join(inside.select(*place, "_family"), place).select("facility_id", "_family"), units
+        counts = inside.groupBy(*key).agg(F.sum("_sites").alias("l"), F.first("_units").alias("r"))
+    else:
+        key, left, right = place, inside.select(*place, "_family").join(units, "_family").select(*place, *own), sites
+        counts = inside.groupBy(*key).agg(F.sum("_units").alias("l"), F.first("_sites").alias("r"))
+    return spatial._cell_join(left, right, spatial.CROWDED_ROWS, key, counts=counts, tasks=min(MOST_TASKS, (links or 0) // TASK_LINKS)).select("facility_id", *own)
 
 
 def membership(facilities: DataFrame, designations: DataFrame) -> DataFrame:

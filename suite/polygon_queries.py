@@ -138,7 +138,9 @@ def union_coverage(spark, folder):
 
 @case("sp08_facility_designation_links", _OVER + """ SELECT facility_id, designation_id, designation_kind FROM p JOIN d ON longitude BETWEEN x0 AND x1 AND latitude BETWEEN y0 AND y1""")
 def facility_links(spark, folder):
-    return designations.facility_links(_points(spark, folder), _designations(spark, folder)).select("facility_id", F.expr(_SHOWN), "designation_kind")
+    # shown once for each designation, not for each link
+    shown = _designations(spark, folder).withColumn("shown", F.expr(_SHOWN))
+    return designations.facility_links(_points(spark, folder), shown, carry=["shown"]).select("facility_id", F.col("shown").alias("designation_id"), "designation_kind")
 
 
 @case("sp08_membership_flags", _OVER + """, l AS (SELECT facility_id, designation_kind FROM p JOIN d ON longitude BETWEEN x0 AND x1 AND latitude BETWEEN y0 AND y1)

@@ -148,3 +148,25 @@ def test_membership_equals_flags_of_all_links(spark):
     want = {tuple(r) for r in designations.with_membership(points, links).collect()}
     got = {tuple(r) for r in designations.membership(points, shapes).select("facility_id", "latitude", "longitude", "inside_mua_boundary", "inside_mup_boundary").collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("sites,units,key", [(30, 12, "_family"), (600, 3, "latitude")])
+def test_links_grow_in_the_last_join_only(spark, monkeypatch, sites, units, key):
+    rows = [(f"d{i}", "mua" if i % 2 else "mup", f"s{i}", lo, 0.0, lo + 1.5, 1.0) for i in range(units) for lo in (0.0, 1.0)]  # components overlap
+    rows.append(("e", "mua", "x", 1.0, 0.0, 2.0, 1.0))
+    shapes = spark.createDataFrame([(d, k, s, n, [ring((a, b), (c, b), (c, t), (a, t))]) for n, (d, k, s, a, b, c, t) in enumerate(rows)],
+                                   f"designation_id string, designation_kind string, shown string, component int, rings {RING}")
+    if key == "latitude":  # shapes of their own, facilities at one spot
+        shapes = shapes.withColumn("rings", F.expr("transform(rings, r -> transform(r, p -> named_struct('x', p.x + component / 100D, 'y', p.y)))"))
+    points = spark.range(sites).selectExpr("id AS facility_id", "CASE WHEN id % 9 = 0 THEN NULL ELSE 0.5D END AS latitude",
+                                           "1.2D AS longitude" if key == "latitude" else "id % 8 * 0.4D AS longitude")
+    last, join = [], designations.spatial._cell_join
+    monkeypatch.setattr(designations.spatial, "_cell_join", lambda left, right, n, keys=designations.spatial.CELL, **k: last.append((left, list(keys))) or join(left, right, n, keys, **k))
+    links = designations.facility_links(points, shapes, carry=["shown"])
+    boxed = shapes.selectExpr("designation_id", "designation_kind", "shown", "rings[0][0].x AS x0", "rings[0][2].x AS x1")
+    want = [tuple(r) for r in points.where("latitude IS NOT NULL").join(boxed, F.expr("longitude BETWEEN x0 AND x1")).select(
+        "facility_id", "designation_id", "designation_kind", "shown").distinct().collect()]
+    got = [tuple(r) for r in links.collect()]
+    assert sorted(got) == sorted(want) and len(got) > sites
+    left, keys = last[-1]
+    assert key in keys and left.count() < len(got)
