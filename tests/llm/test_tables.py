@@ -127,3 +127,19 @@ def test_texts_decide_about_contamination(spark, tmp_path):
     kept = corpus_pipeline.decontaminated(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns
     assert {(r["doc_id"], r["text"]) for r in kept.collect()} == {(1, "a clean text"), (None, "another clean text"), (2, None)}
+
+
+def test_queries_travel_in_short_batches(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [float(i % 40), float(i % 7), 1.0]) for i in range(2000)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(topk_search, "ANNULUS_ROWS", 16)
+    runs, plain = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, *a, **b: runs.append((self, f)) or plain(self, f, *a, **b))
+    got = top_k(df, 5, 2)
+    assert got.count() == 5 * 1000
+    asked = [(x, f) for x, f in runs if "q" in x.columns]
+    assert len(asked) == 2
+    for x, f in asked:
+        table = x.toArrow().combine_chunks()
+        sent = [(b.num_rows, b.column("query_id")) for b in f(table.to_batches())]
+        assert max(n for n, _ in sent) <= topk_search.ASK_ROWS < 1000 * 2
+        assert sum(n for n, _ in sent) <= 1000 * 64  # a query goes to a block, not to each annulus
