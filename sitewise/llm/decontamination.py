@@ -86,11 +86,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     # a hash that repeats within an item, or is shared by items, gives a hit for each place
     seeds = settle(seeds.select("seed", "_id", F.col("at").alias("item_at")).distinct())
     known = items.select("_id", "_item", F.col("w").alias("item_w"))
-    if seeds.count() <= SENT_SEEDS:
-        seeds, known = F.broadcast(seeds), F.broadcast(known)
+    worded = docs.select(F.col(key).alias("_key"), _words(F.col(text)).alias("w"))
     earlier = " or ".join("(" + " and ".join(f"w[at - d + {o}] = item_w[item_at - d + {o}]" for o in m) + ")" for m in MASKS)
-    hits = (_placed(docs.select(F.col(key).alias("_key"), _words(F.col(text)).alias("w")), masks)
-            .join(seeds, "seed").join(known, "_id")
+    if seeds.count() <= SENT_SEEDS:
+        met = _placed(worded, masks).join(F.broadcast(seeds), "seed").join(F.broadcast(known), "_id")
+    else:
+        # a document has a seed for each word: only places travel by seed, and words once for each item that a document hits
+        worded = settle(worded.withColumn("_row", F.monotonically_increasing_id()))
+        places = _placed(worded.select("_row", "w"), masks).where("seed is not null").select("_row", "seed", "at")
+        places = settle(places.join(seeds, "seed").select("_row", "_id", "at", "item_at"))
+        pairs = places.select("_row", "_id").distinct().join(known, "_id").join(worded, "_row")
+        met = places.join(pairs, ["_row", "_id"])
+    hits = (met
             .withColumn("lo", F.least("at", "item_at", F.lit(AROUND)))
             .where(f"size(item_w) < {SHORT} or lo = 0 or not exists(sequence(1, lo), d -> {earlier})")
             .withColumn("n", F.expr("least(size(w) - at, size(item_w) - item_at) + lo"))

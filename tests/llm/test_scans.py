@@ -210,3 +210,15 @@ def test_template_words_are_counted_once_a_line(spark):
     assert all(r["n"] == r["want"] for r in got.collect()) and max(r["n"][0] for r in got.collect()) > 0
     plan = got.drop("want")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_intersect") <= len(templates) // 4
+
+
+def test_words_do_not_travel_by_seed(spark, monkeypatch):
+    from sitewise.llm import decontamination
+    docs = spark.createDataFrame([(1, "a b " + " ".join(ITEM)), (1, " ".join(ITEM[3:]) + " z"), (None, "c " * 300 + " ".join(ITEM)), (None, "x y z"), (4, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(ITEM)), (2, " ".join(f"v{i}" for i in range(12))), (3, " ".join(ITEM[10:28]))], "item_id long, text string")
+    sent = sorted(map(str, contaminated(docs, bench).collect()))
+    settled, settle = [], decontamination.settle
+    monkeypatch.setattr(decontamination, "SENT_SEEDS", 0)
+    monkeypatch.setattr(decontamination, "settle", lambda df: settled.append(df.columns) or settle(df))
+    assert sorted(map(str, contaminated(docs, bench).collect())) == sent and len(sent) == 4
+    assert settled[-1] == ["_row", "_id", "at", "item_at"]  # what has met by seed
